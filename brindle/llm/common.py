@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +20,14 @@ def words(text: str | Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once, also where body uses it inside a lambda.
+
+    A column that only a lambda of a later projection uses would be merged into that lambda and computed per element.
+    """
+    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
+
+
 def n_words(text: str | Column) -> Column:
     """Number of words of a text, 0 for null: white-space runs of the trimmed text, plus one."""
     text = F.col(text) if isinstance(text, str) else text

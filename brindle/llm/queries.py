@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from brindle.llm import url_filter
+from brindle.llm import quality_rules, url_filter
 
 OPERATORS = {
+    "op1_quality_rules": (quality_rules.op1_quality_rules, None),
     "op3_url_filter": (url_filter.op3_url_filter, url_filter.ORACLE),
 }
 
