@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from brindle.llm import mixing, packing, quality_rules, url_filter
+from brindle.llm import mixing, packing, quality_rules, token_files, url_filter
 
 OPERATORS = {
     "op1_quality_rules": (quality_rules.op1_quality_rules, None),
     "op4_mixing": (mixing.op4_mixing, None),
     "op10_packing": (packing.op10_packing, None),
+    "op9_token_files": (token_files.op9_token_files, None),
     "op3_url_filter": (url_filter.op3_url_filter, url_filter.ORACLE),
 }
 
