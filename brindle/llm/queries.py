@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from brindle.llm import mixing, packing, quality_rules, token_files, url_filter
+from brindle.llm import line_dedup, mixing, packing, quality_rules, token_files, url_filter
 
 OPERATORS = {
     "op1_quality_rules": (quality_rules.op1_quality_rules, None),
     "op4_mixing": (mixing.op4_mixing, None),
     "op10_packing": (packing.op10_packing, None),
     "op9_token_files": (token_files.op9_token_files, None),
+    "op2_line_dedup": (line_dedup.op2_line_dedup, None),
     "op3_url_filter": (url_filter.op3_url_filter, url_filter.ORACLE),
 }
 
