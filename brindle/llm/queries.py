@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from brindle.llm import language_id, line_dedup, mixing, packing, quality_classifier, quality_rules, token_files, url_filter
+from brindle.llm import language_id, line_dedup, mixing, ngram_join, packing, quality_classifier, quality_rules, token_files, url_filter
 
 OPERATORS = {
     "op1_quality_rules": (quality_rules.op1_quality_rules, None),
@@ -12,6 +12,7 @@ OPERATORS = {
     "op2_line_dedup": (line_dedup.op2_line_dedup, None),
     "op8_quality_classifier": (quality_classifier.op8_quality_classifier, None),
     "op5_language_id": (language_id.op5_language_id, None),
+    "op7_ngram_join": (ngram_join.op7_ngram_join, ngram_join.ORACLE),
     "op3_url_filter": (url_filter.op3_url_filter, url_filter.ORACLE),
 }
 
