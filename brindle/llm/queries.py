@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from brindle.llm import language_id, line_dedup, mixing, ngram_join, packing, quality_classifier, quality_rules, token_files, url_filter
+from brindle.llm import language_id, line_dedup, mixing, ngram_join, packing, quality_classifier, quality_rules, token_files, url_filter, vector_graph
 
 OPERATORS = {
     "op1_quality_rules": (quality_rules.op1_quality_rules, None),
@@ -13,6 +13,7 @@ OPERATORS = {
     "op8_quality_classifier": (quality_classifier.op8_quality_classifier, None),
     "op5_language_id": (language_id.op5_language_id, None),
     "op7_ngram_join": (ngram_join.op7_ngram_join, ngram_join.ORACLE),
+    "op6_vector_graph": (vector_graph.op6_vector_graph, None),
     "op3_url_filter": (url_filter.op3_url_filter, url_filter.ORACLE),
 }
 
