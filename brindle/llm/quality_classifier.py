@@ -169,24 +169,38 @@ def train(
     return fit([np.frombuffer(c, np.uint8).reshape(-1, SPAN) for c, _ in got], np.array([y for _, y in got]), seed=seed)
 
 
+def _scores(model: Net, texts: pa.Array, batch_bytes: int) -> np.ndarray:
+    scores, held, size = [np.zeros(0)], [], 0
+    for value in texts:
+        held.append((value.as_py() or "").encode())
+        size += len(held[-1]) + CHUNK
+        if size >= batch_bytes:
+            scores.append(model.score(held))
+            held, size = [], 0
+    if held:
+        scores.append(model.score(held))
+    return np.concatenate(scores)
+
+
+def keep(docs: DataFrame, net: Net, least: float = 0.7, text_col: str = "text", batch_bytes: int = 1 << 20) -> DataFrame:
+    """The rows of docs with a score of at least ``least``, all columns as they are."""
+    shared = docs.sparkSession.sparkContext.broadcast(net)  # of fixed size
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(_scores(shared.value, b.column(text_col), batch_bytes) >= least))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def score(docs: DataFrame, net: Net, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = 1 << 20) -> DataFrame:
     """id_col and score of every row of docs."""
     shared = docs.sparkSession.sparkContext.broadcast(net)  # of fixed size
     schema = f"{id_col} {docs.schema[id_col].dataType.simpleString()}, score double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
         for b in batches:
-            texts, scores, held, size = b.column(1), [], [], 0
-            for value in texts:
-                held.append((value.as_py() or "").encode())
-                size += len(held[-1]) + CHUNK
-                if size >= batch_bytes:
-                    scores.append(model.score(held))
-                    held, size = [], 0
-            if held:
-                scores.append(model.score(held))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate(scores) if scores else np.zeros(0))], names=[id_col, "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_scores(shared.value, b.column(1), batch_bytes))], names=[id_col, "score"])
 
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
