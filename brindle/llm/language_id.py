@@ -53,7 +53,7 @@ class LanguageModel:
                 for word, c in counts[lang].items():
                     for g in [word] if n == 0 else grams(word, n):
                         table[g][k] += c
-            seen = np.array(list(table.values())).reshape(-1, width)
+            seen = np.array(list(table.values())).reshape(len(table), width)
             # Add-half smoothing over the entries of all languages.
             self.rows.append(np.log((seen + 0.5) / (seen.sum(0) + 0.5 * max(1, len(table)))))
             self.index.append(dict(zip(table, range(len(table)), strict=True)))
