@@ -13,7 +13,7 @@ by weight; none exceeds ``cap`` times its source's size, and what lies above is
 
 Random numbers are hashes of ids, level and seed: a rerun takes the same documents.
 
-Defined cases: a null text has size 0; documents of size 0 take 0. A null source is a source of its own. Rows that
+Defined cases: a null text has size 0; documents of size 0 take 0, and so does a source without words. A null source is a source of its own. Rows that
 share an id are separate documents (equal rows may be told apart by nothing, so either may be the one taken). A null
 id is an id like any other. An empty table gives an empty result. Other columns are ignored.
 """
@@ -147,7 +147,7 @@ def mix(
     if not counts:
         zero = F.lit(0).cast("long")
         return sizes.select(F.col("_id").alias(id_col), F.col("_th").alias("text_key"), "size", zero.alias("source_size"), F.lit(0.0).alias("target"), zero.alias("copies"), zero.alias("taken"))
-    by = targets.select(F.col("_source").alias("_s"), F.col("_order").alias("part"), (F.col("target") / F.col("source_size")).alias("ratio"))
+    by = targets.select(F.col("_source").alias("_s"), F.col("_order").alias("part"), F.coalesce(F.col("target") / F.nullif("source_size", F.lit(0)), F.lit(0.0)).alias("ratio"))
     by = F.broadcast(by) if len(counts) <= 10_000 else by
     a = sizes.join(by, sizes["_source"].eqNullSafe(by["_s"]))
     ratio = F.when(F.col("size") > 0, F.col("ratio")).otherwise(0.0)

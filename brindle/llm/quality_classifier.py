@@ -81,8 +81,8 @@ class Net:
         return self.head(np.add.reduceat(p, begins, axis=0) / counts, np.maximum.reduceat(p, begins, axis=0)).astype(np.float64)
 
 
-def fit(texts: list[np.ndarray], labels: np.ndarray, epochs: int = 12, rate: float = 0.01, batch: int = 32, seed: int = 0) -> Net:
-    """texts: an array of chunks (rows of SPAN bytes) for each document."""
+def fit(texts: list[np.ndarray], labels: np.ndarray, epochs: int = 12, min_steps: int = 400, rate: float = 0.01, batch: int = 32, seed: int = 0) -> Net:
+    """texts: an array of chunks (rows of SPAN bytes) for each document. Small samples are gone through more often."""
     rng = np.random.default_rng(seed)
     y = labels.astype(np.float64)
     if len(set(labels.tolist())) < 2:
@@ -99,6 +99,7 @@ def fit(texts: list[np.ndarray], labels: np.ndarray, epochs: int = 12, rate: flo
     m1, m2 = {k: np.zeros_like(v) for k, v in p.items()}, {k: np.zeros_like(v) for k, v in p.items()}
     weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
     t = 0
+    epochs = max(epochs, -(-min_steps * batch // max(1, len(texts))))
     for epoch in range(epochs):
         order = rng.permutation(len(texts))
         for k in range(0, len(order), batch):
