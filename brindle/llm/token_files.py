@@ -18,6 +18,8 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +41,7 @@ class WordEncoder:
     encoded as its letters and its end signs where it has that form, and as it stands otherwise.
     """
 
-    def __init__(self, tokenizer_path: str, remember: int = 300_000):
+    def __init__(self, tokenizer_path: str, remember: int = 600_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -70,7 +72,7 @@ class WordEncoder:
             self.parts.update(zip(some, (e.ids for e in self.tok.encode_batch_fast(some, add_special_tokens=False)), strict=True))
         got = [self.parts[x] + self.parts[y] for x, y in pairs]
         size = np.fromiter(map(len, got), np.int64, len(got))
-        flat = np.fromiter((i for x in got for i in x), np.int32, int(size.sum()))
+        flat = np.fromiter(chain.from_iterable(got), np.int32, int(size.sum()))
         self.begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(size) - size])
         self.flat, self.size = np.concatenate([self.flat, flat]), np.concatenate([self.size, size])
         n = len(self.slot)
@@ -85,7 +87,7 @@ class WordEncoder:
         if len(self.slot) > self.remember:
             self._forget()
         self._learn([w for w in known if w not in self.slot])
-        slots = np.fromiter((self.slot[w] for w in known), np.int64, len(known))[coded.indices.to_numpy()]
+        slots = np.fromiter(map(self.slot.__getitem__, known), np.int64, len(known))[coded.indices.to_numpy()]
         size = self.size[slots]
         ends = np.cumsum(size)
         total = int(ends[-1]) if len(ends) else 0
@@ -94,15 +96,21 @@ class WordEncoder:
         return ids, before[bounds[1:] - bounds[0]] - before[bounds[:-1] - bounds[0]]
 
 
+@lru_cache(maxsize=1)
+def _encoder(tokenizer_path: str) -> WordEncoder:
+    """One for all tasks of a worker."""
+    return WordEncoder(tokenizer_path)
+
+
 def _encoded(batches: Iterator[pa.RecordBatch], tokenizer_path: str, end_id: int) -> Iterator[pa.RecordBatch]:
-    encoder, at = WordEncoder(tokenizer_path), 0
+    encoder, at = _encoder(tokenizer_path), 0
     for whole in batches:
-        for k in range(0, whole.num_rows, 2_000):
-            batch = whole.slice(k, 2_000)
+        for k in range(0, whole.num_rows, 4_000):
+            batch = whole.slice(k, 4_000)
             ids, size = encoder.encode(batch.column("text"))
             ids = np.insert(ids, np.cumsum(size), end_id).astype(np.int32)
             bounds = np.concatenate([[0], np.cumsum(size + 1)])
-            # A list column of 32-bit offsets: 2,000 texts of one task stay far below 2**31 ids.
+            # A list column of 32-bit offsets: 4,000 texts of one task stay far below 2**31 ids.
             lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists, pa.array(at + bounds[:-1])], names=["doc_id", "ids", "at"])
             at += int(bounds[-1])
