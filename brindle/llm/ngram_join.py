@@ -8,12 +8,14 @@ least 0.8. The join finds every component of links:
    is at most the sum of the smaller counts of each group; a similarity of t needs t / (1 + t) of both sizes together.
 3. Blocks cut the join into tasks and lose no link: two sets with the similarity share an n-gram among the first
    ``n - ceil(t n) + 1`` of each under any one order. The order is rare first, by counts over the whole corpus in
-   2**18 buckets, so that common passages come last. Blocks with the same members are kept once.
-4. In each block the members are first compared with one of them, and what links is verified on the whole sets.
-5. Then each block's members of different components are joined through an R-tree over count vectors (nodes hold the
+   2**18 buckets, so that common passages come last. The blocks with one smallest member, their lead, are one family:
+   its members are those of any of its blocks, once each, so that a pair is met once a family and not once a block.
+4. In each family the members are first compared with the lead, and what links is verified on the whole sets.
+5. Then each family's members of different components are joined through an R-tree over count vectors (nodes hold the
    greatest counts and the least and greatest sizes below them): pairs of nodes whose bound fails are cut off, pairs
-   of members that pass are verified. A block of more than ``block_rows`` members is cut into chunks, and each pair of
-   chunks is a task of its own.
+   of members that pass are verified. This is done twice: first with the ``first_best`` likeliest partners of each
+   member, whose links join most of what belongs together, then with all pairs still in different components. A family
+   of more than ``block_rows`` members is cut into chunks, and each pair of chunks is a cell of its own.
 
 Pairs are tested against whole sets, cut from the texts again, so nothing of a set's size is stored for all documents.
 
@@ -33,10 +35,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm.common import Scratch
+from brindle.llm.common import Scratch, shuffle_partitions
 from brindle.llm.components import connected_components
 
-N, GROUPS, FANOUT = 5, 128, 16
+N, GROUPS, FANOUT = 5, 256, 16
 DF_BITS = 18
 U = np.uint64
 _SPACE = np.zeros(256, bool)
@@ -152,8 +154,8 @@ def _describe(batches: Iterator[pa.RecordBatch], counts: np.ndarray) -> Iterator
                 p = _prefix_size(len(s))
                 rank = counts[(s & U((1 << DF_BITS) - 1)).astype(np.int64)]
                 prefix.append(s[np.lexsort((s, rank))[:p]].astype(np.int64))
-                groups = np.bincount((s >> U(64 - 7)).astype(np.int64), minlength=GROUPS)
-                vec.append(np.minimum(groups, 65_535).astype("<u2").tobytes() if len(s) < 65_536 else groups.astype("<u4").tobytes())
+                groups = np.bincount((s >> U(64 - 8)).astype(np.int64), minlength=GROUPS)
+                vec.append(groups.astype("u1" if groups.max() < 256 else "<u2" if groups.max() < 65_536 else "<u4").tobytes())
         flat = np.concatenate(prefix) if prefix else np.zeros(0, np.int64)
         lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, prefix)]).astype(np.int32)), pa.array(flat))
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(cls, pa.int64()), pa.array(size, pa.int64()), lists, pa.array(vec, pa.binary())], names=["doc_id", "cls", "n", "prefix", "vec"])
@@ -166,7 +168,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _vector(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw, "<u2" if len(raw) == 2 * GROUPS else "<u4").astype(np.int32)
+    return np.frombuffer(raw, {1: "u1", 2: "<u2", 4: "<u4"}[len(raw) // GROUPS]).astype(np.int32)
 
 
 def _may_link(overlap: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> np.ndarray:
@@ -229,16 +231,32 @@ def tree_pairs(vec: np.ndarray, size: np.ndarray, comp: np.ndarray, side: np.nda
     return pairs
 
 
-def _search_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (block, cell, cls, n, comp, side, vec) in order of block and cell: candidate pairs of each cell."""
+def likeliest(pairs: np.ndarray, vec: np.ndarray, size: np.ndarray, best: int) -> np.ndarray:
+    """Of the pairs those that are among the ``best`` of either point, by overlap bound to sizes."""
+    ratio = np.concatenate([np.minimum(vec[p[:, 0]], vec[p[:, 1]]).sum(axis=1) / (size[p[:, 0]] + size[p[:, 1]]) for p in np.array_split(pairs, max(1, len(pairs) // 20_000))])
+    point, row = pairs.T.reshape(-1), np.tile(np.arange(len(pairs)), 2)
+    order = np.lexsort((-ratio[row], point))
+    first = np.concatenate([[0], np.flatnonzero(np.diff(point[order])) + 1])
+    rank = np.arange(len(order)) - np.repeat(first, np.diff([*first, len(order)]))
+    return pairs[np.unique(row[order[rank < best]])]
+
+
+def _search_families(batches: Iterator[pa.RecordBatch], best: int | None) -> Iterator[pa.RecordBatch]:
+    """Rows (lead, cell, cls, n, comp, side, vec) in order of lead and cell: candidate pairs of each cell.
+
+    best: if given, only that many of each member's candidates, the likeliest.
+    """
 
     def search(rows: pa.Table) -> pa.RecordBatch | None:
         cls = rows.column("cls").to_numpy()
         vec = np.stack([_vector(x) for x in rows.column("vec").to_pylist()])
         side = rows.column("side").to_numpy()
-        pairs = tree_pairs(vec, rows.column("n").to_numpy(), rows.column("comp").to_numpy(), side if side.min() != side.max() else None)
+        size = rows.column("n").to_numpy()
+        pairs = tree_pairs(vec, size, rows.column("comp").to_numpy(), side if side.min() != side.max() else None)
         if not len(pairs):
             return None
+        if best is not None:
+            pairs = likeliest(pairs, vec, size, best)
         a, b = cls[pairs[:, 0]], cls[pairs[:, 1]]
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
@@ -246,11 +264,11 @@ def _search_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     for b in batches:
         if not b.num_rows:
             continue
-        key = np.stack([b.column("block").to_numpy(), b.column("cell").to_numpy()])
+        key = np.stack([b.column("lead").to_numpy(), b.column("cell").to_numpy()])
         cuts = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1).tolist(), b.num_rows]
         for x, y in zip(cuts[:-1], cuts[1:], strict=True):
             part = b.slice(x, y - x)
-            if held and (held[-1].column("block")[0] != part.column("block")[0] or held[-1].column("cell")[0] != part.column("cell")[0]):
+            if held and (held[-1].column("lead")[0] != part.column("lead")[0] or held[-1].column("cell")[0] != part.column("cell")[0]):
                 if out := search(pa.Table.from_batches(held)):
                     yield out
                 held = []
@@ -260,11 +278,11 @@ def _search_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 class NgramJoin:
-    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_rows: int = 4_096, broadcast_ids: int = 1_000_000):
+    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_rows: int = 2_048, first_best: int = 4, broadcast_ids: int = 1_000_000):
         self.spark: SparkSession = docs.sparkSession
         self.docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
         self.scratch = Scratch(self.spark, "ngram-join")
-        self.block_rows, self.broadcast_ids = block_rows, broadcast_ids
+        self.block_rows, self.first_best, self.broadcast_ids = block_rows, first_best, broadcast_ids
 
     def describe(self) -> DataFrame:
         """doc_id, cls, n, prefix, vec of every row."""
@@ -292,40 +310,46 @@ class NgramJoin:
         self.scratch.drop(sets, pairs, ids)
         return out
 
-    def run(self) -> DataFrame:
-        """doc_id, cls, n_shingles, component_id of every row."""
-        each = self.describe()
-        rows = each.select("doc_id", "cls", "n").filter("n > 0")
-        classes = each.filter("n > 0").select("cls", "n", "prefix", "vec").dropDuplicates(["cls"])
-        classes = self.scratch.write(classes, "classes")
-        points = classes.select("cls", "n", "vec")
+    def families(self, classes: DataFrame) -> DataFrame:
+        """lead, cls, n: the distinct members of all blocks with the smallest member lead."""
         keyed = classes.select(F.explode("prefix").alias("block"), "cls", "n")
-        members = keyed.groupBy("block").agg(F.count("*").alias("c"), F.min("cls").alias("lead"), F.max("cls").alias("top"), F.bit_xor(F.xxhash64("cls")).alias("sig")).filter("c > 1")
-        blocks = members.groupBy("c", "lead", "top", "sig").agg(F.min("block").alias("block")).select("block", "c", "lead")
-        active = self.scratch.write(keyed.join(blocks, "block").select("block", "c", "lead", "cls", "n"), "active")
-
-        star = active.filter("cls != lead").select(F.col("lead").alias("a"), F.col("cls").alias("b"), F.col("n").alias("bn")).distinct()
-        star = star.join(points.select(F.col("cls").alias("a"), F.col("n").alias("an"), F.col("vec").alias("avec")), "a")
-        star = star.filter((5 * F.col("an") >= 4 * F.col("bn")) & (5 * F.col("bn") >= 4 * F.col("an")))
-        star = star.join(points.select(F.col("cls").alias("b"), F.col("vec").alias("bvec")), "b").select("a", "b", "an", "bn", "avec", "bvec")
-        links = self.verify(star.mapInArrow(_bounded, "a bigint, b bigint"), rows)
-
-        comps = connected_components(links, self.scratch)
-        rest = active.join(comps, F.col("cls") == F.col("node"), "left").select("block", "c", "cls", "n", F.coalesce("comp", "cls").alias("comp"))
-        mixed = rest.groupBy("block").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 != c1").select("block")
-        rest = rest.join(mixed, "block").join(points.select("cls", "vec"), "cls")
-        chunks = F.ceil(F.col("c") / self.block_rows).cast("int")
-        rest = rest.withColumn("k", chunks).withColumn("chunk", F.pmod(F.xxhash64("cls"), F.col("k")).cast("int"))
-        # A small block is one cell; a large one has a cell for each pair of its chunks.
-        rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+        blocks = keyed.groupBy("block").agg(F.count("*").alias("c"), F.min("cls").alias("lead")).filter("c > 1").select("block", "lead")
+        return self.scratch.write(keyed.join(blocks, "block").select("lead", "cls", "n").distinct(), "families")
+
+    def star(self, families: DataFrame, points: DataFrame) -> DataFrame:
+        """Pairs (a, b) of a lead and a member that sizes and count vectors allow."""
+        pairs = families.filter("cls != lead").select(F.col("lead").alias("a"), F.col("cls").alias("b"), F.col("n").alias("bn"))
+        pairs = pairs.join(points.select(F.col("cls").alias("a"), F.col("n").alias("an"), F.col("vec").alias("avec")), "a")
+        pairs = pairs.filter((5 * F.col("an") >= 4 * F.col("bn")) & (5 * F.col("bn") >= 4 * F.col("an")))
+        pairs = pairs.join(points.select(F.col("cls").alias("b"), F.col("vec").alias("bvec")), "b").select("a", "b", "an", "bn", "avec", "bvec")
+        return pairs.mapInArrow(_bounded, "a bigint, b bigint")
+
+    def tree(self, families: DataFrame, points: DataFrame, comps: DataFrame, best: int | None) -> DataFrame:
+        """Pairs (a, b) of members of one family and different components that the R-trees find."""
+        rest = families.join(comps, F.col("cls") == F.col("node"), "left").select("lead", "cls", "n", F.coalesce("comp", "cls").alias("comp"))
+        mixed = rest.groupBy("lead").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.ceil(F.count("*") / self.block_rows).cast("int").alias("k"))
+        rest = rest.join(mixed.filter("c0 != c1").select("lead", "k"), "lead").join(points.select("cls", "vec"), "cls")
+        # A small family is one cell; a large one has a cell for each pair of its chunks.
+        rest = rest.withColumn("chunk", F.pmod(F.xxhash64("cls"), F.col("k")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
         cell = (F.least("chunk", "other") * F.col("k") + F.greatest("chunk", "other")).cast("int")
-        side = F.when(F.col("k") == 1, 0).otherwise(F.col("chunk"))
-        cells = rest.select("block", cell.alias("cell"), "cls", "n", "comp", side.alias("side"), "vec")
-        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        cells = cells.repartition(parts, "block", "cell").sortWithinPartitions("block", "cell")
-        more = self.verify(cells.mapInArrow(_search_blocks, "a bigint, b bigint"), rows)
+        cells = rest.select("lead", cell.alias("cell"), "cls", "n", "comp", F.when(F.col("k") == 1, 0).otherwise(F.col("chunk")).alias("side"), "vec")
+        cells = cells.repartition(shuffle_partitions(self.spark), "lead", "cell").sortWithinPartitions("lead", "cell")
+        return cells.mapInArrow(lambda b: _search_families(b, best), "a bigint, b bigint")
 
-        comps = connected_components(links.unionByName(more), self.scratch)
+    def run(self) -> DataFrame:
+        """doc_id, cls, n_shingles, component_id of every row."""
+        described = self.describe()
+        each = self.scratch.write(described.select("doc_id", "cls", "n"), "each")
+        classes = self.scratch.write(described.filter("n > 0").select("cls", "n", "prefix", "vec").dropDuplicates(["cls"]), "classes")
+        self.scratch.drop(described)
+        rows, points = each.filter("n > 0"), classes.select("cls", "n", "vec")
+        families = self.families(classes)
+
+        links = self.verify(self.star(families, points), rows)
+        comps = connected_components(links, self.scratch)
+        for best in (self.first_best, None):
+            links = links.unionByName(self.verify(self.tree(families, points, comps, best), rows))
+            comps = connected_components(links, self.scratch)
         low = each.groupBy("cls").agg(F.min("doc_id").alias("low"))
         low = low.join(comps, F.col("cls") == F.col("node"), "left").select("cls", F.coalesce("comp", "cls").alias("comp"), "low")
         root = low.groupBy("comp").agg(F.min("low").alias("component_id"))
