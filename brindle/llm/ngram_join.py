@@ -14,7 +14,8 @@ least 0.8. The join finds every component of links:
 5. Then each family's members of different components are joined through an R-tree over count vectors (nodes hold the
    greatest counts and the least and greatest sizes below them): pairs of nodes whose bound fails are cut off, pairs
    of members that pass are verified. This is done twice: first with the ``first_best`` likeliest partners of each
-   member, whose links join most of what belongs together, then with all pairs still in different components. A family
+   member, whose links join most of what belongs together, then with all pairs still in different components; no pair
+   is verified twice. A family
    of more than ``block_rows`` members is cut into chunks, and each pair of chunks is a cell of its own.
 
 Pairs are tested against whole sets, cut from the texts again, so nothing of a set's size is stored for all documents.
@@ -282,6 +283,7 @@ class NgramJoin:
         self.spark: SparkSession = docs.sparkSession
         self.docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
         self.scratch = Scratch(self.spark, "ngram-join")
+        self.verified: list[DataFrame] = []
         self.block_rows, self.first_best, self.broadcast_ids = block_rows, first_best, broadcast_ids
 
     def describe(self) -> DataFrame:
@@ -295,8 +297,12 @@ class NgramJoin:
         return self.scratch.write(out, "described")
 
     def verify(self, pairs: DataFrame, rows: DataFrame) -> DataFrame:
-        """Of candidate pairs (a, b) of classes those that link. rows: doc_id and cls of every row."""
-        pairs = self.scratch.write(pairs.distinct(), "pairs")
+        """Of candidate pairs (a, b) of classes, a < b, not verified before, those that link. rows: doc_id and cls of every row."""
+        pairs = pairs.distinct()
+        for before in self.verified:
+            pairs = pairs.join(before, ["a", "b"], "left_anti")
+        pairs = self.scratch.write(pairs, "pairs")
+        self.verified.append(pairs)
         wanted = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
         ids = self.scratch.write(rows.join(wanted, "cls", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("doc_id")), "wanted")
         few = ids.count() <= self.broadcast_ids
@@ -307,7 +313,7 @@ class NgramJoin:
         named = lambda k: sets.select(F.col("cls").alias(k), F.col("items").alias(f"{k}set"))
         out = pairs.join(named("b"), "b").join(named("a"), "a").select("a", "b", "aset", "bset").mapInArrow(_verified, "a bigint, b bigint")
         out = self.scratch.write(out, "links")
-        self.scratch.drop(sets, pairs, ids)
+        self.scratch.drop(sets, ids)
         return out
 
     def families(self, classes: DataFrame) -> DataFrame:
