@@ -19,7 +19,6 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -48,7 +47,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tok, self.remember = Tokenizer.from_file(tokenizer_path), remember
-        self.parts: dict[str, list[int]] = {}
+        self.parts: dict[str, bytes] = {}  # ids as 32-bit integers
         self._forget()
 
     def _forget(self) -> None:
@@ -69,10 +68,10 @@ class WordEncoder:
         parts = list({p for pair in pairs for p in pair if p not in self.parts})
         for k in range(0, len(parts), 20_000):
             some = parts[k : k + 20_000]
-            self.parts.update(zip(some, (e.ids for e in self.tok.encode_batch_fast(some, add_special_tokens=False)), strict=True))
+            self.parts.update(zip(some, (np.array(e.ids, np.int32).tobytes() for e in self.tok.encode_batch_fast(some, add_special_tokens=False)), strict=True))
         got = [self.parts[x] + self.parts[y] for x, y in pairs]
-        size = np.fromiter(map(len, got), np.int64, len(got))
-        flat = np.fromiter(chain.from_iterable(got), np.int32, int(size.sum()))
+        size = np.fromiter(map(len, got), np.int64, len(got)) // 4
+        flat = np.frombuffer(b"".join(got), np.int32)
         self.begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(size) - size])
         self.flat, self.size = np.concatenate([self.flat, flat]), np.concatenate([self.size, size])
         n = len(self.slot)
@@ -102,15 +101,18 @@ def _encoder(tokenizer_path: str) -> WordEncoder:
     return WordEncoder(tokenizer_path)
 
 
-def _encoded(batches: Iterator[pa.RecordBatch], tokenizer_path: str, end_id: int) -> Iterator[pa.RecordBatch]:
+def _encoded(batches: Iterator[pa.RecordBatch], tokenizer_path: str, end_id: int, slice_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     encoder, at = _encoder(tokenizer_path), 0
     for whole in batches:
-        for k in range(0, whole.num_rows, 4_000):
-            batch = whole.slice(k, 4_000)
+        # Slices of about slice_bytes of text, so that memory doesn't follow the rows of a batch.
+        read = np.cumsum(pc.fill_null(pc.binary_length(whole.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        cuts = [0, *(np.flatnonzero(np.diff(read // slice_bytes)) + 1).tolist(), whole.num_rows]
+        for k, upto in zip(cuts[:-1], cuts[1:], strict=True):
+            batch = whole.slice(k, upto - k)
             ids, size = encoder.encode(batch.column("text"))
             ids = np.insert(ids, np.cumsum(size), end_id).astype(np.int32)
             bounds = np.concatenate([[0], np.cumsum(size + 1)])
-            # A list column of 32-bit offsets: 4,000 texts of one task stay far below 2**31 ids.
+            # A list column of 32-bit offsets: the ids of a slice stay far below 2**31.
             lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists, pa.array(at + bounds[:-1])], names=["doc_id", "ids", "at"])
             at += int(bounds[-1])
