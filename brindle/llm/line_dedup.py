@@ -1,16 +1,20 @@
 """Removal of repeated runs of lines by winnowing over line hashes.
 
-A window is the shortest group of consecutive lines that holds ``min_words`` words; of each window the line with the
-smallest hash is selected (the last of equals). Two places with the same run of at least ``min_words`` words hold a
-common window whole, and so select a common line: it is a guaranteed fingerprint. Each fingerprint is joined to its
-earliest place in the corpus (and, inside a document, to its place before), both lines' surroundings are compared in
-both directions as far as the lines agree, and a run that reaches ``min_words`` words is deleted at the later place.
+A window is the shortest group of consecutive lines that holds ``min_words`` words, counted from its first line on or
+from its last line back; of each window the line with the smallest hash is selected (the last of equals). A fingerprint
+is the selected line, its offset in the window and a hash of all the window's lines, so two windows with one fingerprint
+hold the same lines. Each window is joined to the earliest place of its fingerprint in the corpus, and if that is
+another place, all its lines are deleted.
+
+Whatever else stands around a common line, a run of at least ``min_words`` words that stands at an earlier place goes
+whole: each of its lines is in a window inside the run (the one that begins there, or ends there, or begins the run),
+and that window has an earlier place, too.
 
 Earlier means a smaller (doc_id, text hash, line). A deleted line therefore always has an equal line at an earlier
 place, and the earliest place of a line is never deleted.
 
-Occurrences are never paired with each other, only with one earlier place, so a line that a third of all documents
-share makes one pair for each of them. The joins are on hashes and (document, line) keys whose other side has one row.
+Occurrences are never paired with each other, only with one earlier place, so a passage that a third of all documents
+share makes one pair for each of its windows there. The other side of the join has one row per fingerprint.
 
 Defined cases: lines are what lies between newline characters, compared without white space at either end. Lines
 without a word are no part of runs and stay. A null text stays null. Rows with an equal id and text are one document
@@ -27,6 +31,8 @@ from pyspark.sql import functions as F
 from brindle.llm.common import NOT_WORD, WORD, Scratch, text_hash
 
 KEY = ["_did", "_th"]
+#: The selected line, its offset in the window, and all the window's lines.
+FINGERPRINT = ["h", "at", "wh"]
 
 
 def _stripped(line: Column) -> Column:
@@ -44,44 +50,40 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return line.withColumn("ord", F.row_number().over(order)).withColumn("before", before)
 
 
+def _windows(lines: DataFrame, min_words: int) -> DataFrame:
+    """_did, _th, start, stop (numbers of the first and last line) and the fingerprint of every window."""
+    lines = lines.withColumn("after", F.col("before") + F.col("n")).withColumn("all", F.sum("n").over(Window.partitionBy(*KEY)))
+
+    def over(frame: Window) -> list[Column]:
+        least = F.min(F.struct("h", (-F.col("ord")).alias("at"))).over(frame)
+        return [least.alias("least"), F.min("ord").over(frame).alias("start"), F.max("ord").over(frame).alias("stop"), F.min("before").over(frame).alias("begin"), F.collect_list("h").over(frame).alias("hs")]
+
+    # The lines that begin less than min_words words after this one's begin, or end less than that before its end.
+    onwards = Window.partitionBy(*KEY).orderBy("before").rangeBetween(0, min_words - 1)
+    back = Window.partitionBy(*KEY).orderBy("after").rangeBetween(1 - min_words, 0)
+    begun = lines.select("*", *over(onwards)).filter(F.col("all") - F.col("before") >= min_words)
+    # Without its last line a window that ends here has min_words words left, or it is its first line's window as well.
+    ended = lines.select("*", *over(back)).filter((F.col("after") >= min_words) & (F.col("before") - F.col("begin") >= min_words))
+    out = begun.unionByName(ended)
+    return out.select(*KEY, "start", "stop", F.col("least.h").alias("h"), (-F.col("least.at") - F.col("start")).alias("at"), F.xxhash64("hs").alias("wh"))
+
+
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50) -> DataFrame:
     """_did, _th, pos of the lines to delete."""
     scratch = Scratch(docs.sparkSession, "line-dedup")
     lines = scratch.write(_lines(docs, id_col, text_col), "lines")
 
-    # The lines that begin less than min_words words after this one's begin: the shortest window from here on.
-    window = Window.partitionBy(*KEY).orderBy("before").rangeBetween(0, min_words - 1)
-    whole = Window.partitionBy(*KEY)
-    picked = (
-        lines.withColumn("least", F.min(F.struct("h", (-F.col("ord")).alias("at"))).over(window))
-        .withColumn("left", F.sum("n").over(whole) - F.col("before"))
-        .filter(F.col("left") >= min_words)
-        .select(*KEY, F.col("least.h").alias("h"), (-F.col("least.at")).alias("ord"))
-        .distinct()
-    )
-    again = Window.partitionBy(*KEY, "h").orderBy("ord")
-    picked = picked.withColumn("prev", F.lag("ord").over(again))
-    picked = scratch.write(picked, "picked")
-
-    place = F.struct("_did", "_th", "ord")
-    first = picked.filter("prev is null").groupBy("h").agg(F.min(place).alias("src"), F.count("*").alias("times")).filter("times > 1")
-    across = picked.filter("prev is null").join(first, "h").filter(F.col("src") < place)
-    across = across.select(*KEY, F.col("src._did").alias("_sdid"), F.col("src._th").alias("_sth"), (F.col("ord") - F.col("src.ord")).alias("shift"))
-    inside = picked.filter("prev is not null").select(*KEY, F.col("_did").alias("_sdid"), F.col("_th").alias("_sth"), (F.col("ord") - F.col("prev")).alias("shift"))
-    # Fingerprints of one run have one shift: one row each for a document, its earlier place and the shift.
-    diagonals = scratch.write(across.unionByName(inside).distinct(), "diagonals")
-
-    # The lines of the document that agree with the line at the same shift.
-    same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
-    src = lines.select(F.col("_did").alias("_d2"), F.col("_th").alias("_t2"), F.col("ord").alias("_p2"), F.col("h").alias("_h2"))
-    own = lines.select(F.col("_did").alias("_d1"), F.col("_th").alias("_t1"), "pos", "ord", "h", "n")
-    along = diagonals.join(own, same("_did", "_d1") & (F.col("_th") == F.col("_t1")))
-    agreeing = along.join(src, same("_sdid", "_d2") & (F.col("_sth") == F.col("_t2")) & (F.col("ord") - F.col("shift") == F.col("_p2")) & (F.col("h") == F.col("_h2")))
-    # Runs: neighbours among the lines with words; blank lines between them end no run.
-    pair = Window.partitionBy(*KEY, "_sdid", "_sth", "shift").orderBy("ord")
-    runs = agreeing.select(*KEY, "_sdid", "_sth", "shift", "pos", "ord", "n").withColumn("run", F.col("ord") - F.row_number().over(pair))
-    by_run = Window.partitionBy(*KEY, "_sdid", "_sth", "shift", "run")
-    return runs.withColumn("words", F.sum("n").over(by_run)).filter(F.col("words") >= min_words).select(*KEY, "pos").distinct()
+    windows = scratch.write(_windows(lines, min_words), "windows")
+
+    place = F.struct("_did", "_th", "start")
+    first = windows.groupBy(*FINGERPRINT).agg(F.min(place).alias("src"), F.count("*").alias("times")).filter("times > 1").drop("times")
+    first = scratch.write(first, "first")
+    later = windows.join(first, FINGERPRINT).filter(F.col("src") < place).groupBy(*KEY, "start").agg(F.max("stop").alias("stop"))
+    # A line is in a later window if one that begins up to there ends no earlier.
+    both = lines.select(*KEY, "ord", "pos", F.lit(None).cast("int").alias("stop"))
+    both = both.unionByName(later.select(*KEY, F.col("start").alias("ord"), F.lit(None).cast("int").alias("pos"), "stop"))
+    upto = Window.partitionBy(*KEY).orderBy("ord").rangeBetween(Window.unboundedPreceding, 0)
+    return both.withColumn("reach", F.max("stop").over(upto)).filter("pos is not null and reach >= ord").select(*KEY, "pos")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50) -> DataFrame:

@@ -107,6 +107,40 @@ def test_line_dedup_against_all_places(spark):
     assert all(v == 1 for v in kept.values())
 
 
+def brute_repeats(rows, least=50):
+    """Lines in runs of ``least`` words that stand at an earlier place, by comparing all pairs of places."""
+    docs = {i: [(n, x.strip(), len(WORD.findall(x))) for n, x in enumerate(text.split("\n")) if WORD.search(x)] for i, text, _, _ in rows}
+    places, gone = [(i, k) for i in sorted(docs) for k in range(len(docs[i]))], {i: set() for i in docs}
+    for at, (i, k) in enumerate(places):
+        for j, m in places[:at]:
+            n = 0
+            while k + n < len(docs[i]) and m + n < len(docs[j]) and docs[i][k + n][1] == docs[j][m + n][1]:
+                n += 1
+            if sum(x[2] for x in docs[i][k : k + n]) >= least:
+                gone[i] |= {x[0] for x in docs[i][k : k + n]}
+    return {i: sorted(x) for i, x in gone.items()}
+
+
+def test_line_dedup_common_line_in_passage(spark):
+    """A line of the passage also stands earlier elsewhere, or once more before it in the document."""
+    lines = [runs(20, f"p{i}_") for i in range(4)]
+    passage = "\n".join(lines)
+    rows = [(k, f"{x}\nonly {k}", None, None) for k, x in enumerate(lines)] + [(10, f"b\n{passage}\nbb", None, None), (11, f"c\n{passage}\ncc", None, None)]
+    rows += [(20 + k, f"{x}\nd{k}\n{passage}\ndd{k}", None, None) for k, x in enumerate(lines)]
+    long = runs(60, "long")
+    rows += [(30, f"{long}\ne", None, None), (31, f"f\n{long}\nshort one", None, None), (32, f"g\n{long}\nshort one\nh", None, None)]
+    got = {r.doc_id: r.removed_lines for r in line_dedup.dedup_lines(docs_of(spark, rows)).collect()}
+    assert got[10] == [] and got[11] == [1, 2, 3, 4] and got[20] == [2, 3, 4, 5] and got[31] == [1] and got[32] == [1, 2]
+    assert got == brute_repeats(rows)
+
+
+def test_line_dedup_against_all_pairs(spark):
+    rng = random.Random(8)
+    pool = [runs(n, f"p{i}_") for i, n in enumerate([1, 3, 9, 20, 30, 49, 50, 60])]
+    rows = [(i, "\n".join(pool[j % 8] for s in [rng.randrange(8) for _ in range(rng.randrange(1, 5))] for j in range(s, s + rng.randrange(1, 7))), None, None) for i in range(40)]
+    assert {r.doc_id: r.removed_lines for r in line_dedup.dedup_lines(docs_of(spark, rows)).collect()} == brute_repeats(rows)
+
+
 def verdict(url, rules):
     host = path = ""
     if url is not None and "://" in url:
