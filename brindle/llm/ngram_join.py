@@ -19,6 +19,7 @@ least 0.8. The join finds every component of links:
    of more than ``block_rows`` members is cut into chunks, and each pair of chunks is a cell of its own.
 
 Pairs are tested against whole sets, cut from the texts again, so nothing of a set's size is stored for all documents.
+The text of a class is found by its smallest (doc_id, text hash), null safe, so texts under null ids link like any other.
 
 Defined cases: a null text, or one without words, has no n-grams, size 0, and is its own component. A text of one to
 four words has its whole word sequence as one n-gram. Rows with one id and different texts are judged apart; both get
@@ -36,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm.common import Scratch, shuffle_partitions
+from brindle.llm.common import Scratch, shuffle_partitions, text_hash
 from brindle.llm.components import connected_components
 
 N, GROUPS, FANOUT = 5, 256, 16
@@ -159,7 +160,7 @@ def _describe(batches: Iterator[pa.RecordBatch], counts: np.ndarray) -> Iterator
                 vec.append(groups.astype("u1" if groups.max() < 256 else "<u2" if groups.max() < 65_536 else "<u4").tobytes())
         flat = np.concatenate(prefix) if prefix else np.zeros(0, np.int64)
         lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, prefix)]).astype(np.int32)), pa.array(flat))
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(cls, pa.int64()), pa.array(size, pa.int64()), lists, pa.array(vec, pa.binary())], names=["doc_id", "cls", "n", "prefix", "vec"])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), pa.array(cls, pa.int64()), pa.array(size, pa.int64()), lists, pa.array(vec, pa.binary())], names=["doc_id", "th", "cls", "n", "prefix", "vec"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,33 +282,35 @@ def _search_families(batches: Iterator[pa.RecordBatch], best: int | None) -> Ite
 class NgramJoin:
     def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_rows: int = 2_048, first_best: int = 4, broadcast_ids: int = 1_000_000):
         self.spark: SparkSession = docs.sparkSession
-        self.docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+        self.docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), text_hash(text_col).alias("th"))
         self.scratch = Scratch(self.spark, "ngram-join")
         self.verified: list[DataFrame] = []
         self.block_rows, self.first_best, self.broadcast_ids = block_rows, first_best, broadcast_ids
 
     def describe(self) -> DataFrame:
-        """doc_id, cls, n, prefix, vec of every row."""
+        """doc_id, th (text hash), cls, n, prefix, vec of every row."""
         counted = self.docs.select("text").mapInArrow(_count_buckets, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
         counts = np.zeros(1 << DF_BITS, np.int64)
         got = counted.toPandas()  # at most 2**DF_BITS rows
         counts[got["bucket"].to_numpy()] = got["n"].to_numpy()
         shared = self.spark.sparkContext.broadcast(counts)
-        out = self.docs.mapInArrow(lambda b: _describe(b, shared.value), "doc_id bigint, cls bigint, n bigint, prefix array<bigint>, vec binary")
+        out = self.docs.mapInArrow(lambda b: _describe(b, shared.value), "doc_id bigint, th bigint, cls bigint, n bigint, prefix array<bigint>, vec binary")
         return self.scratch.write(out, "described")
 
     def verify(self, pairs: DataFrame, rows: DataFrame) -> DataFrame:
-        """Of candidate pairs (a, b) of classes, a < b, not verified before, those that link. rows: doc_id and cls of every row."""
+        """Of candidate pairs (a, b) of classes, a < b, not verified before, those that link. rows: doc_id, th and cls of every row."""
         pairs = pairs.distinct()
         for before in self.verified:
             pairs = pairs.join(before, ["a", "b"], "left_anti")
         pairs = self.scratch.write(pairs, "pairs")
         self.verified.append(pairs)
         wanted = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
-        ids = self.scratch.write(rows.join(wanted, "cls", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("doc_id")), "wanted")
+        least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th"))
+        ids = rows.join(wanted, "cls", "left_semi").groupBy("cls").agg(least.alias("at"))
+        ids = self.scratch.write(ids.select("cls", F.col("at.doc_id").alias("_did"), F.col("at.th").alias("_th")), "wanted")
         few = ids.count() <= self.broadcast_ids
-        some = ids.select("doc_id").distinct()
-        texts = self.docs.join(F.broadcast(some) if few else some, "doc_id", "left_semi").select("text")
+        some = ids.select("_did", "_th").distinct()
+        texts = self.docs.join(F.broadcast(some) if few else some, F.col("doc_id").eqNullSafe(F.col("_did")) & (F.col("th") == F.col("_th")), "left_semi").select("text")
         sets = texts.mapInArrow(_sets, "cls bigint, items binary").join(F.broadcast(wanted) if few else wanted, "cls", "left_semi").dropDuplicates(["cls"])
         sets = self.scratch.write(sets, "sets")
         named = lambda k: sets.select(F.col("cls").alias(k), F.col("items").alias(f"{k}set"))
@@ -343,9 +346,9 @@ class NgramJoin:
         return cells.mapInArrow(lambda b: _search_families(b, best), "a bigint, b bigint")
 
     def run(self) -> DataFrame:
-        """doc_id, cls, n_shingles, component_id of every row."""
+        """doc_id, th (text hash), cls, n_shingles, component_id, comp (a class that names the component) of every row."""
         described = self.describe()
-        each = self.scratch.write(described.select("doc_id", "cls", "n"), "each")
+        each = self.scratch.write(described.select("doc_id", "th", "cls", "n"), "each")
         classes = self.scratch.write(described.filter("n > 0").select("cls", "n", "prefix", "vec").dropDuplicates(["cls"]), "classes")
         self.scratch.drop(described)
         rows, points = each.filter("n > 0"), classes.select("cls", "n", "vec")
@@ -359,9 +362,9 @@ class NgramJoin:
         low = each.groupBy("cls").agg(F.min("doc_id").alias("low"))
         low = low.join(comps, F.col("cls") == F.col("node"), "left").select("cls", F.coalesce("comp", "cls").alias("comp"), "low")
         root = low.groupBy("comp").agg(F.min("low").alias("component_id"))
-        by_class = low.join(root, "comp").select(F.col("cls").alias("_cls"), "component_id")
-        out = each.select("doc_id", "cls", F.col("n").alias("n_shingles")).join(by_class, F.col("cls") == F.col("_cls"))
-        return out.select("doc_id", "cls", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+        by_class = low.join(root, "comp").select(F.col("cls").alias("_cls"), "component_id", "comp")
+        out = each.select("doc_id", "th", "cls", F.col("n").alias("n_shingles")).join(by_class, F.col("cls") == F.col("_cls"))
+        return out.select("doc_id", "th", "cls", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "comp")
 
 
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

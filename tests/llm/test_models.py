@@ -207,6 +207,17 @@ def test_ngram_join(spark, block_rows):
     assert ngram_join.NgramJoin(df.limit(0)).run().count() == 0
 
 
+def test_ngram_join_null_ids_bridge(spark):
+    """Near copies under null ids link, and join two ids that are too far from each other."""
+    w = runs(100, "w").split()
+    change = lambda *at: " ".join(f"x{i}" if i in at else x for i, x in enumerate(w))
+    rows = [(7, change(10)), (None, change(10, 50)), (9, change(10, 50, 90)), (None, change(10, 50, 90, 30)), (20, runs(60, "v")), (None, runs(60, "v") + " more"), (None, runs(40, "u")), (None, runs(40, "u") + " more")]
+    expected = brute_components(rows)
+    assert expected[(None, 96, 7)] == 2 and expected[(9, 96, 7)] == 1 and expected[(None, 57, 20)] == 1
+    got = ngram_join.NgramJoin(docs_of(spark, [(i, t, None, None) for i, t in rows])).run().collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == expected
+
+
 def test_shingle_sets_are_exact():
     rng = random.Random(9)
     texts = ["", " ", "a", "A b\tC d", "x" * 5000] + [" ".join(rng.choice("ab") for _ in range(rng.randrange(40))) for _ in range(200)]
