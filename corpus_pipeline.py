@@ -33,14 +33,16 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def join_ngrams(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near duplicates stays, that with the smallest doc_id."""
+    """One document of each component of near duplicates stays, that with the smallest doc_id (nulls last), then text hash."""
     scratch = Scratch(spark, "join-stage")
-    found = scratch.write(ngram_join.NgramJoin(docs).run().select("doc_id", "component_id"), "found")
-    # component_id is the smallest doc_id of its component. An id with several texts goes if one of them has a smaller id.
-    losers = found.groupBy("doc_id").agg(F.min("component_id").alias("_least")).filter("_least != doc_id").select(F.col("doc_id").alias("_gone"))
-    losers = scratch.write(losers, "losers")
+    found = ngram_join.NgramJoin(docs).run().filter("n_shingles > 0").groupBy("doc_id", "th").agg(F.min("comp").alias("comp"))
+    found = scratch.write(found, "found")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th"))
+    kept = found.groupBy("comp").agg(least.alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k.th").alias("_th"))
+    losers = found.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")), "left_anti")
+    losers = scratch.write(losers.select(F.col("doc_id").alias("_gone"), F.col("th").alias("_gone_th")), "losers")
     side = F.broadcast(losers) if losers.count() <= 1_000_000 else losers.hint("shuffle_hash")
-    return docs.join(side, F.col("doc_id") == F.col("_gone"), "left_anti")
+    return docs.join(side, F.col("doc_id").eqNullSafe(F.col("_gone")) & (text_hash("text") == F.col("_gone_th")), "left_anti")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -54,3 +54,14 @@ def test_odd_rows(spark):
     ) + Counter((r.doc_id, r.text) for r in mixed if r.doc_id != 3)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), D).count() == 0
+
+
+def test_join_decides_by_id_and_text(spark):
+    """One document of each group stays: ids with two texts, members of such an id's group, null ids, two groups of one id."""
+    a, b, c, d = (" ".join(f"{p}{i}" for i in range(40)) for p in "abcd")
+    rows = [(1, a), (5, a), (5, b), (6, b + " more"), (None, a), (None, c), (8, c + " more"), (None, d), (None, d + " more"), (9, "own " + d[:20]), (1, " ".join(reversed(a.split())))]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = Counter((r.doc_id, r.text) for r in corpus_pipeline.join_ngrams(spark, docs, D).collect())
+    of_d = [k for k in got if k[0] is None]
+    assert len(of_d) == 1 and of_d[0][1] in (d, d + " more")
+    assert got == Counter([rows[0], rows[2], rows[6], rows[9], rows[10], of_d[0]])
