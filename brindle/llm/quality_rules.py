@@ -1,28 +1,29 @@
 """Quality rules: divergence of a document's histograms from references of its language.
 
 Two histograms are compared by Jensen-Shannon distance (base 2, so 0 to 1): the classes of the characters in words, and
-the common words of the language with one bin for all others. The references are counted over the whole corpus, one
-per language (medians of class shares, sums of word counts), from documents of at least ``min_reference_chars`` characters.
+the common words of the language with one bin for all others. The references are counted over all documents, one per
+language (medians of class shares, to 1/10,000, each document weighed by its characters; sums of word counts).
 Common words are those with at least ``common_share`` of a language's words there, at most ``max_common`` of them (by count, then word).
 They are found exactly in two counts: all words by hash bucket, then the words of the heavy buckets alone.
 
 Length guards: a distance is judged only from ``min_class_chars`` characters or ``min_words`` words on, since histograms
 of short texts are noise; both bounds also have an allowance for the sampling noise of a text of that length.
 
-Defined cases: null and empty texts have no words and fail the base rules. A null or unseen language, or one without a
+Defined cases: null and empty texts have no words and fail the base rules. A null or unseen language, or one without words, so without a
 reference, is judged against the pooled reference of all languages; without any reference the base rules decide alone.
 Repeated rows are judged alike and all kept. Columns beside the id, text and language are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from brindle.llm.common import NOT_WORD, Scratch, let, words
 
 CLASSES = ("lower", "upper", "digit", "symbol", "punct", "other")
 POOLED = "\x00all"
+REFERENCE = ("classes", "common", "word_shares")
 
 
 def _sum(xs: Column, start: Column) -> Column:
@@ -93,20 +94,25 @@ def signals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
 
 def references(
     docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
-    common_share: float = 0.005, max_common: int = 16, min_reference_chars: int = 600, buckets: int = 4096,
+    common_share: float = 0.005, max_common: int = 16, buckets: int = 4096, steps: int = 10_000,
 ) -> DataFrame:
     """_lang, classes (shares), common (words), word_shares (of the common words, then of all others).
 
-    One row per language and a pooled one, counted over all documents of at least min_reference_chars characters.
+    One row per language with words and a pooled one, counted over all documents. Medians are counted in ``steps``.
     """
     spark = docs.sparkSession
-    good = docs.select(F.coalesce(F.col(lang_col), F.lit(POOLED)).alias("_lang"), F.col(text_col).alias("_text")).filter(F.length("_text") >= min_reference_chars)
+    good = docs.select(F.coalesce(F.col(lang_col), F.lit(POOLED)).alias("_lang"), F.col(text_col).alias("_text")).filter(F.col("_text").rlike(r"[^\x20\x09-\x0D]"))
     pooled = lambda df: df.withColumn("_lang", F.explode(F.array_distinct(F.array("_lang", F.lit(POOLED)))))
     by_doc = with_classes(good)
-    chars = F.greatest(_sum(F.col("_classes"), F.lit(0.0)), F.lit(1.0))
-    by_doc = by_doc.select("_lang", let(chars, lambda t: F.transform("_classes", lambda c: c / t)).alias("_s"))
-    # Medians over documents: junk that is under half of a language's documents doesn't move them.
-    by_class = pooled(by_doc).groupBy("_lang").agg(*[F.percentile_approx(F.col("_s")[i], 0.5, 1000).alias(c) for i, c in enumerate(CLASSES)])
+    by_doc = by_doc.withColumn("_chars", _sum(F.col("_classes"), F.lit(0.0)).cast("long"))
+    # Medians by characters: junk that is under half of a language doesn't move them, and noise of short texts has little weight.
+    bins = by_doc.select("_lang", "_chars", F.posexplode(F.transform("_classes", lambda c: F.round(steps * c / F.col("_chars")).cast("int"))).alias("k", "bin"))
+    bins = pooled(bins.groupBy("_lang", "k", "bin").agg(F.sum("_chars").alias("c"))).groupBy("_lang", "k", "bin").agg(F.sum("c").alias("c"))
+    of_class = Window.partitionBy("_lang", "k")  # at most steps + 1 rows
+    bins = bins.withColumn("upto", F.sum("c").over(of_class.orderBy("bin"))).withColumn("all", F.sum("c").over(of_class))
+    middle = F.min(F.when(2 * F.col("upto") >= F.col("all"), F.col("bin")))
+    medians = bins.groupBy("_lang", "k").agg((middle / steps).alias("m"))
+    by_class = medians.groupBy("_lang").agg(*[F.max(F.when(F.col("k") == i, F.col("m"))).alias(c) for i, c in enumerate(CLASSES)])
 
     each = good.select("_lang", F.explode(words("_text")).alias("w")).withColumn("b", F.pmod(F.xxhash64("w"), F.lit(buckets)).cast("int"))
     # At most ``buckets`` rows a language leave each task here. A word with the share has a bucket with the share, too.
@@ -154,17 +160,20 @@ def apply_rules(
     min_class_chars: int = 80,
     min_words: int = 50,
     refs: DataFrame | None = None,
+    broadcast_langs: int = 4096,
 ) -> DataFrame:
     """One row per row of docs: id_col, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept,
     class_distance, word_distance (null where a guard holds)."""
     judged = signals(docs, id_col, text_col, lang_col)
     refs = references(docs, text_col, lang_col) if refs is None else refs
-    known = {r["_lang"] for r in refs.select("_lang").limit(4097).collect()}
-    if len(known) <= 4096:  # a row of a few hundred numbers each
+    known = {r["_lang"] for r in refs.select("_lang").limit(broadcast_langs + 1).collect()}
+    if len(known) <= broadcast_langs:  # a row of a few hundred numbers each
         lang = F.when(F.col("_lang").isin(list(known)), F.col("_lang")).otherwise(POOLED)
         a = judged.withColumn("_lang", lang).join(F.broadcast(refs), "_lang", "left")
     else:
-        a = judged.join(refs, "_lang", "left")
+        pool = refs.filter(F.col("_lang") == POOLED).select(*[F.col(c).alias(f"_pool_{c}") for c in REFERENCE])
+        a = judged.join(refs, "_lang", "left").join(F.broadcast(pool), F.lit(True), "left")  # one row
+        a = a.withColumns({c: F.coalesce(c, f"_pool_{c}") for c in REFERENCE})
     n = F.col("_n")
     a = a.withColumn("_chars", _sum(F.col("_classes"), F.lit(0.0)))
     places = F.filter(F.transform("_words", lambda w: F.array_position("common", w).cast("int")), lambda i: i > 0)

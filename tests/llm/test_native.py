@@ -66,6 +66,19 @@ def test_quality_rules_empty(spark):
     assert quality_rules.apply_rules(docs_of(spark, ODD).limit(0)).count() == 0
 
 
+def test_quality_references_over_all_documents(spark):
+    """A small language of short documents has its own reference, and an unknown one is judged by the pooled row."""
+    rows = [(i, " ".join(f"the of w{i}_{j}" for j in range(100)), "en", "a") for i in range(5)] + [(100 + i, " ".join(f"og en x{i}{j}" for j in range(18)), "da", "a") for i in range(20)]
+    assert all(len(r[1]) < 600 for r in rows[5:])
+    df = docs_of(spark, rows)
+    refs = quality_rules.references(df)
+    assert {r["_lang"]: set(r.common) for r in refs.collect() if r["_lang"] != quality_rules.POOLED} == {"en": {"the", "of"}, "da": {"og", "en"}}
+    assert all(r.word_distance < 0.01 for r in quality_rules.apply_rules(df, refs=refs).filter("doc_id >= 100").collect())
+    other = docs_of(spark, [(1, rows[0][1], "xx", "a"), (2, rows[0][1], None, "a")])
+    both = [sorted(tuple(r) for r in quality_rules.apply_rules(other, refs=refs, broadcast_langs=n).collect()) for n in (4096, 1)]
+    assert both[0] == both[1] and all(r[-1] is not None for r in both[0])
+
+
 def runs(n, p):
     return " ".join(f"{p}{i}" for i in range(n))
 
