@@ -5,12 +5,13 @@ Learned filters of ``WIDTH`` bytes run over each chunk (a filter is a learned ve
 activations are max-pooled over the chunk. Over the chunks of a text the pooled values are combined by their mean and
 maximum, and one hidden layer makes them one probability that the text has label 1.
 
-The network is fitted on the driver on a bounded sample: ``per_class`` labelled rows of each label (those with the
-smallest hashes of their id among rows not held out), each with at most ``chunks_per_doc`` chunks spread evenly over
+The network is fitted on the driver on a bounded sample: ``per_class`` labelled documents of each label (those with the
+smallest hashes of their id and text among labelled documents not held out; equal rows are one), each with at most ``chunks_per_doc`` chunks spread evenly over
 its whole text. These bounds are parameters and hold for fitting only: scoring reads every byte of every text.
 
 Defined cases: a null or empty text is one chunk of zero bytes and is scored like any other. Labels other than 0 and 1,
-and labels of unknown documents, are ignored; a document labelled twice counts twice. Without rows of both labels the
+and labels of unknown documents, are ignored; a document labelled twice counts twice, and
+each text of an id has its label. Without rows of both labels the
 score is the known label's, or 0.5 without any. Equal rows get equal scores. Other columns are ignored.
 """
 
@@ -23,8 +24,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from brindle.llm.common import held_out
+from brindle.llm.common import Scratch, held_out, text_hash
 
 CHUNK, OVERLAP, WIDTH, FILTERS, HIDDEN = 256, 32, 5, 24, 16
 STEP = CHUNK - OVERLAP
@@ -146,7 +148,7 @@ def _sampled_chunks(batches: Iterator[pa.RecordBatch], chunks_per_doc: int) -> I
             all_chunks = cut((text or "").encode())
             some = np.unique(np.linspace(0, len(all_chunks) - 1, min(len(all_chunks), chunks_per_doc)).round().astype(int))
             out.append(all_chunks[some].tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), b.column("label")], names=["chunks", "label"])
+        yield pa.RecordBatch.from_arrays([b.column("_did"), b.column("_th"), pa.array(out, pa.binary())], names=["_did", "_th", "chunks"])
 
 
 def train(
@@ -161,12 +163,16 @@ def train(
 ) -> Net:
     """Fit on labelled rows that are not held out. At most 2 * per_class * chunks_per_doc * CHUNK bytes reach the driver."""
     known = labels.filter(F.col(label_col).isin(0, 1) & ~held_out(id_col)).select(F.col(id_col).alias("_lid"), F.col(label_col).cast("int").alias("label"))
-    order = [F.xxhash64("_lid", F.lit(seed)), F.col("_lid")]
-    picked = [known.filter(F.col("label") == c).orderBy(*order).limit(per_class) for c in (0, 1)]
-    some = picked[0].unionByName(picked[1])
-    rows = docs.select(F.col(id_col).alias("_did"), F.col(text_col).alias("text")).join(F.broadcast(some), F.col("_did") == F.col("_lid")).select("text", "label")
-    got = rows.mapInArrow(lambda b: _sampled_chunks(b, chunks_per_doc), "chunks binary, label int").collect()
-    got = sorted(((bytes(r.chunks), r.label) for r in got), key=lambda r: (r[1], r[0]))[: 2 * per_class * 2]
+    texts = docs.select(F.col(id_col).alias("_did"), text_hash(text_col).alias("_th"), F.col(text_col).alias("text")).filter(F.col("_did").isNotNull())
+    found = texts.select("_did", "_th").distinct().join(known, F.col("_did") == F.col("_lid")).select("_did", "_th", "label")
+    found = Scratch(docs.sparkSession, "classifier").write(found, "labelled")
+    order = [F.xxhash64("_did", "_th", F.lit(seed)), F.col("_did"), F.col("_th")]
+    picked = [r for c in (0, 1) for r in found.filter(F.col("label") == c).orderBy(*order).limit(per_class).collect()]
+    some = docs.sparkSession.createDataFrame(sorted({(r["_did"], r["_th"]) for r in picked}), found.select("_did", "_th").schema)
+    rows = texts.join(F.broadcast(some), ["_did", "_th"], "left_semi")
+    cuts = rows.mapInArrow(lambda b: _sampled_chunks(b, chunks_per_doc), T.StructType([*some.schema.fields, T.StructField("chunks", T.BinaryType())]))
+    chunks = {(r["_did"], r["_th"]): bytes(r.chunks) for r in cuts.groupBy("_did", "_th").agg(F.min("chunks").alias("chunks")).collect()}
+    got = sorted(((chunks[r["_did"], r["_th"]], r.label) for r in picked), key=lambda r: (r[1], r[0]))
     return fit([np.frombuffer(c, np.uint8).reshape(-1, SPAN) for c, _ in got], np.array([y for _, y in got]), seed=seed)
 
 

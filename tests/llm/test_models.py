@@ -54,6 +54,17 @@ def test_classifier_odd_rows(spark):
     assert quality_classifier.score(df.limit(0), net).count() == 0
 
 
+def test_classifier_sample_is_bounded_by_documents(spark, monkeypatch):
+    """Copies of a row and labels without a document take no places, and no label is cut away."""
+    rows = [(1, "bad one", None, None)] * 50 + [(4, "good four", None, None), (6, "good six", None, None), (6, "good six, again", None, None)]
+    labels = spark.createDataFrame([(1, 0), (4, 1), (6, 1)] + [(i, 1) for i in range(100, 200)], "doc_id bigint, quality int")
+    seen = []
+    monkeypatch.setattr(quality_classifier, "fit", lambda texts, y, seed: seen.append((len(texts), sorted(y.tolist()))))
+    for per_class in (1, 2, 3, 10):
+        quality_classifier.train(docs_of(spark, rows), labels, per_class=per_class)
+    assert seen == [(2, [0, 1]), (3, [0, 1, 1]), (4, [0, 1, 1, 1]), (4, [0, 1, 1, 1])]
+
+
 def test_language(spark):
     docs = spark.read.parquet(f"{D}/documents.parquet")
     model = language_id.train(docs)
