@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,10 +40,17 @@ def messages(s, d):
 
 
 def _run_stream(df: DataFrame, mode: str) -> DataFrame:
-    """All available rows of a stream through a memory table."""
-    name = f"t{uuid.uuid4().hex}"
-    df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
-    return df.sparkSession.table(name)
+    """All available rows of a stream, written batch by batch below spark.checkpoint.dir and read again."""
+    spark = df.sparkSession
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp(prefix='brindle-')}"
+    root = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    spark.createDataFrame([], df.schema).write.parquet(f"{root}/rows/none")  # for a stream without batches
+
+    def write(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/rows/{n}")
+
+    df.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(df.schema).parquet(f"{root}/rows/*")
 
 
 def stream_fold(s, d):

@@ -191,3 +191,10 @@ def test_merge_new_is_idempotent(spark):
     new = spark.createDataFrame([("h1", 2), ("h2", 3), ("h2", 3)], "content_hash string, doc_id int")
     once = S.merge_new(old, new)
     assert once.count() == 2 and S.merge_new(once, new).count() == 2
+
+
+def test_stream_rows_lie_in_files(spark, sf_dir):
+    from brindle.plans import stream_queries
+
+    for query in (stream_queries.stream_fold, stream_queries.stream_windows):
+        assert all("/rows/" in f for f in query(spark, sf_dir).inputFiles()) and query(spark, sf_dir).inputFiles()
