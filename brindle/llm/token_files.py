@@ -10,8 +10,8 @@ A text is encoded word by word: the tokenizer's own pattern never joins text acr
 a text are those of its words one after another, and each worker remembers the ids of recent words (a bounded number).
 
 Defined cases: null and empty texts give the end id alone. A null doc_id sorts first. Rows with an equal doc_id are
-separate documents in the order of their texts. An empty table gives no rows. Other columns are ignored. Reading fails
-if a file of the set is missing from the listing written beside it.
+separate documents in the order of their texts. An empty table gives no rows. Other columns are ignored. The names of
+the files are written beside them (``_listing`` appended to the path), and reading fails if one of them is missing.
 """
 
 from __future__ import annotations
@@ -29,15 +29,16 @@ from pyspark.sql import functions as F
 from brindle.llm.common import Scratch, shuffle_partitions
 
 
-#: Signs that end a word; after letters they are a token run of their own, so both parts can be encoded apart.
+#: Signs that end a word; after ASCII letters they are a token run of their own, so both parts can be encoded apart.
 END_SIGNS = ".,;:!?$&%#*|"
 
 
 class WordEncoder:
     """Ids of texts by way of their words, with a memory of at most ``remember`` words and as many word parts.
 
-    The tokenizer joins nothing across ASCII white space, lower-cases, and parts letters from signs. So a word is
-    encoded as its letters and its end signs where it has that form, and as it stands otherwise.
+    The tokenizer joins nothing across ASCII white space, normalises, lower-cases, and parts letters from signs. So a
+    word is encoded as its letters and its end signs where it has that form and its letters are ASCII, and as it stands
+    otherwise: other letters may be normalised to a letter and a mark, which joins the signs behind it.
     """
 
     def __init__(self, tokenizer_path: str, remember: int = 600_000):
@@ -57,9 +58,9 @@ class WordEncoder:
     @staticmethod
     def _split(word: str) -> tuple[str, str]:
         core = word.rstrip(END_SIGNS)
-        if not core.isalpha():
+        if not (core.isascii() and core.isalpha()):
             return (word, "")
-        return (core.lower() if core.isascii() else core, word[len(core) :])
+        return (core.lower(), word[len(core) :])
 
     def _learn(self, new: list[str]) -> None:
         pairs = [self._split(w) for w in new]
@@ -142,6 +143,15 @@ def write_tokens(
         .option("compression", "zstd")
         .orc(path)
     )
+    names = [(x,) for x in _names(docs.sparkSession, path)]
+    docs.sparkSession.createDataFrame(names, "file string").coalesce(1).write.parquet(f"{path}_listing")
+
+
+def _names(spark: SparkSession, path: str) -> list[str]:
+    """The data files in a folder, one for each range of ids."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(at)
+    return sorted(n for n in (x.getPath().getName() for x in found) if not n.startswith(("_", ".")))
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,7 +167,10 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, ids, at, file: the rows as written."""
+    """doc_id, ids, at, file: the rows as written. Fails if a file of the listing is missing."""
+    missing = {x.file for x in spark.read.schema("file string").parquet(f"{path}_listing").collect()} - set(_names(spark, path))
+    if missing:
+        raise FileNotFoundError(f"{path} lacks {', '.join(sorted(missing))}")
     return spark.read.schema("doc_id bigint, ids array<int>, at bigint").orc(path).select("doc_id", "ids", "at", F.col("_metadata.file_name").alias("file"))
 
 

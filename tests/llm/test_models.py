@@ -107,6 +107,28 @@ def test_token_files(spark, tmp_path):
     assert token_files.token_index(spark, empty).count() == 0
 
 
+def test_token_files_letters_that_become_marks(spark, tmp_path):
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tok = Tokenizer.from_file(path)
+    texts = ["MESELESİ. a", "क़. \u0915\u0958. b", "straße, c"]
+    at = str(tmp_path / "tokens")
+    token_files.write_tokens(docs_of(spark, [(i, x, None, None) for i, x in enumerate(texts)]), at, path, files=2)
+    got = {r.doc_id: r.ids for r in token_files.read_tokens(spark, at).collect()}
+    assert got == {i: [*tok.encode(x, add_special_tokens=False).ids, 1] for i, x in enumerate(texts)}
+
+
+def test_token_files_missing_file(spark, tmp_path):
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    at = tmp_path / "tokens"
+    token_files.write_tokens(docs_of(spark, ODD), str(at), public_tokenizers.path("word_bpe_49k.json"), files=2)
+    sorted(at.glob("part-*"))[-1].unlink()
+    with pytest.raises(FileNotFoundError):
+        token_files.read_tokens(spark, str(at))
+
+
 def test_vector_recall(spark):
     e = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     index = vector_graph.VectorIndex(e, shard_rows=600)
