@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.operators import signals as S
+from brindle.session import shared_dir
 from brindle.sources.tables import SCHEMAS, table
 from brindle.streaming import progress as T
 
@@ -42,8 +42,7 @@ def messages(s, d):
 def _run_stream(df: DataFrame, mode: str) -> DataFrame:
     """All available rows of a stream, written batch by batch below spark.checkpoint.dir and read again."""
     spark = df.sparkSession
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp(prefix='brindle-')}"
-    root = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     spark.createDataFrame([], df.schema).write.parquet(f"{root}/rows/none")  # for a stream without batches
 
     def write(batch: DataFrame, n: int) -> None:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
@@ -19,3 +21,15 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8) -> SparkSes
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local session (as in tests)
+    gets a temporary folder of its own, and a cluster, which shares no such folder, an error."""
+    context = spark.sparkContext
+    found = context.getConf().get("spark.checkpoint.dir") or getattr(context, "_brindle_shared", None)
+    if not found:
+        if context.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        found = context._brindle_shared = f"file://{tempfile.mkdtemp(prefix='brindle-')}"
+    return found.rstrip("/")
