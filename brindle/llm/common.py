@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brindle.session import shared_dir
+
 #: A word is a run of anything but space and the five control characters from tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 NOT_WORD = r"[\x20\x09-\x0D]+"
@@ -45,13 +46,28 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = getattr(spark.sparkContext, "_brindle_shared", None) or f"file://{tempfile.mkdtemp(prefix='brindle-')}"
-        spark.sparkContext._brindle_shared = found
-    return found.rstrip("/")
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores behind those that df has a column of, in upper or lower case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def join_by_weight(left: DataFrame, right: DataFrame, key: str, weight: str, share: int = 10_000) -> DataFrame:
+    """Inner join of left with right, a written table of one row per key that holds the key's number of left rows in weight.
+
+    Keys with over 1 / share of the rows, which are fewer than ``share``, go to the tasks of left by broadcast; the rest
+    is shuffled, so no task gets more than that share of one key.
+    """
+    total = right.agg(F.sum(weight)).first()[0] or 0
+    hot = F.col(weight) * share > total
+    few = F.broadcast(right.filter(hot))
+    rest = left.join(few.select(key), key, "left_anti").join(right.filter(~hot), key)
+    return left.join(few, key).unionByName(rest)
 
 
 class Scratch:
