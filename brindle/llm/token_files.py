@@ -9,13 +9,15 @@ stripes in parallel. ``read_tokens`` reads the files back with each row's place
 A text is encoded word by word: the tokenizer's own pattern never joins text across ASCII white space, so the ids of
 a text are those of its words one after another, and each worker remembers the ids of recent words (a bounded number).
 
-Defined cases: null and empty texts give the end id alone. A null doc_id sorts first. Rows with an equal doc_id are
-separate documents in the order of their texts. An empty table gives no rows. Other columns are ignored. The names of
+Defined cases: null and empty texts give the end id alone. A very long text is encoded whole, in a slice of its own. A
+null doc_id sorts first. Rows with an equal doc_id are separate documents in the order of a hash of their texts, so that
+many texts under one id, or under none, are dealt to many files. An empty table gives no rows. Other columns are ignored. The names of
 the files are written beside them (``_listing`` appended to the path), and reading fails if one of them is missing.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -26,19 +28,26 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from brindle.llm.common import Scratch, shuffle_partitions
+from brindle.llm.common import Scratch, shuffle_partitions, text_hash
 
-
-#: Signs that end a word; after ASCII letters they are a token run of their own, so both parts can be encoded apart.
+#: Signs that end a word; after letters they are a token run of their own, so both parts can be encoded apart.
 END_SIGNS = ".,;:!?$&%#*|"
+#: Letters that stay one letter each when normalised and lower-cased.
+LETTERS = "[A-Za-zÀ-ÖØ-öø-ÿ]+"
+
+
+def _gather(flat: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """flat[begin : begin + size] of each entry, one after another."""
+    ends = np.cumsum(size)
+    return flat[np.repeat(begin - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)]
 
 
 class WordEncoder:
-    """Ids of texts by way of their words, with a memory of at most ``remember`` words and as many word parts.
+    """Ids of texts by way of their words, with a memory of about ``remember`` word parts.
 
     The tokenizer joins nothing across ASCII white space, normalises, lower-cases, and parts letters from signs. So a
-    word is encoded as its letters and its end signs where it has that form and its letters are ASCII, and as it stands
-    otherwise: other letters may be normalised to a letter and a mark, which joins the signs behind it.
+    word is encoded as its letters and its end signs where it has that form and its letters are among LETTERS, and as it
+    stands otherwise: other letters may be normalised to a letter and a mark, which joins the signs behind it.
     """
 
     def __init__(self, tokenizer_path: str, remember: int = 600_000):
@@ -47,52 +56,67 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        self.letters = re.compile(LETTERS).fullmatch
         self.tok, self.remember = Tokenizer.from_file(tokenizer_path), remember
-        self.parts: dict[str, bytes] = {}  # ids as 32-bit integers
+        self.ends_word = np.array([(self.tok.id_to_token(i) or "").endswith("</w>") for i in range(self.tok.get_vocab_size())])
         self._forget()
 
     def _forget(self) -> None:
         self.slot: dict[str, int] = {}
         self.flat, self.begin, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    @staticmethod
-    def _split(word: str) -> tuple[str, str]:
-        core = word.rstrip(END_SIGNS)
-        if not (core.isascii() and core.isalpha()):
-            return (word, "")
-        return (core.lower(), word[len(core) :])
-
-    def _learn(self, new: list[str]) -> None:
-        pairs = [self._split(w) for w in new]
-        if len(self.parts) > self.remember:
-            self.parts = {}
-        parts = list({p for pair in pairs for p in pair if p not in self.parts})
-        for k in range(0, len(parts), 20_000):
-            some = parts[k : k + 20_000]
-            self.parts.update(zip(some, (np.array(e.ids, np.int32).tobytes() for e in self.tok.encode_batch_fast(some, add_special_tokens=False)), strict=True))
-        got = [self.parts[x] + self.parts[y] for x, y in pairs]
-        size = np.fromiter(map(len, got), np.int64, len(got)) // 4
-        flat = np.frombuffer(b"".join(got), np.int32)
-        self.begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(size) - size])
-        self.flat, self.size = np.concatenate([self.flat, flat]), np.concatenate([self.size, size])
-        n = len(self.slot)
-        self.slot.update(zip(new, range(n, n + len(new)), strict=True))
+    def _one_by_one(self, parts: list[str]) -> tuple[list[np.ndarray], list[int]]:
+        ids = [e.ids for k in range(0, len(parts), 20_000) for e in self.tok.encode_batch_fast(parts[k : k + 20_000], add_special_tokens=False)]
+        return [np.array(x, np.int32) for x in ids], [len(x) for x in ids]
+
+    def _side_by_side(self, parts: list[str], together: int = 256) -> tuple[list[np.ndarray], list[int]]:
+        """Parts of LETTERS, many in one text: each ends with an id that ends a word."""
+        flat, size = [], []
+        for k in range(0, len(parts), 100 * together):
+            groups = [parts[i : i + together] for i in range(k, min(len(parts), k + 100 * together), together)]
+            for group, e in zip(groups, self.tok.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, np.int32)
+                ends = np.flatnonzero(self.ends_word[ids]) + 1
+                if len(ends) == len(group) and ends[-1] == len(ids):
+                    flat.append(ids)
+                    size += np.diff(ends, prepend=0).tolist()
+                else:  # a tokenizer without such ids
+                    one, sizes = self._one_by_one(group)
+                    flat, size = flat + one, size + sizes
+        return flat, size
+
+    def _slots(self, parts: pa.Array) -> np.ndarray:
+        """Where the ids of distinct parts are kept; new ones are encoded."""
+        known = parts.to_pylist()
+        new = [x for x in known if x not in self.slot]
+        plain = list(filter(self.letters, new))
+        odd = [x for x in new if not self.letters(x)]
+        for some, (flat, size) in ((plain, self._side_by_side(plain)), (odd, self._one_by_one(odd))):
+            size, n = np.array(size, np.int64), len(self.slot)
+            self.begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(size) - size])
+            self.flat, self.size = np.concatenate([self.flat, *flat]), np.concatenate([self.size, size])
+            self.slot.update(zip(some, range(n, n + len(some)), strict=True))
+        return np.fromiter(map(self.slot.__getitem__, known), np.int64, len(known))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in one array, and how many each text has. Null counts as empty."""
         lists = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
         bounds = lists.offsets.to_numpy()
         coded = lists.flatten().dictionary_encode()
-        known = coded.dictionary.to_pylist()
+        words = coded.dictionary
+        core = pc.ascii_rtrim(words, characters=END_SIGNS)
+        plain = pc.match_substring_regex(core, f"^{LETTERS}$")
         if len(self.slot) > self.remember:
             self._forget()
-        self._learn([w for w in known if w not in self.slot])
-        slots = np.fromiter(map(self.slot.__getitem__, known), np.int64, len(known))[coded.indices.to_numpy()]
-        size = self.size[slots]
-        ends = np.cumsum(size)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self.flat[np.repeat(self.begin[slots] - (ends - size), size) + np.arange(total)]
-        before = np.concatenate([[0], ends])
+        halves = []
+        for half in (pc.if_else(plain, pc.utf8_lower(core), words), pc.if_else(plain, pc.replace_substring_regex(words, f"^{LETTERS}", ""), "")):
+            half = half.dictionary_encode()
+            halves.append(self._slots(half.dictionary)[half.indices.to_numpy()])
+        both = np.stack(halves, axis=1)
+        flat, size = _gather(self.flat, self.begin[both].reshape(-1), self.size[both].reshape(-1)), self.size[both].sum(axis=1)
+        at = coded.indices.to_numpy()
+        ids = _gather(flat, (np.cumsum(size) - size)[at], size[at])
+        before = np.concatenate([[0], np.cumsum(size[at])])
         return ids, before[bounds[1:] - bounds[0]] - before[bounds[:-1] - bounds[0]]
 
 
@@ -130,10 +154,11 @@ def write_tokens(
     row_index_stride: int = 1_000,
     stripe_bytes: int = 16 << 20,
 ) -> None:
-    """files: number of id ranges, one file each; the session's shuffle partitions if not given."""
+    """files: number of ranges of (id, text hash), one file each; the session's shuffle partitions if not given."""
     parts = files or shuffle_partitions(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = rows.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), text_hash(text_col).alias("th"))
+    order = (F.col("doc_id").asc_nulls_first(), F.col("th"))
+    rows = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "text")
     out = rows.mapInArrow(lambda b: _encoded(b, tokenizer_path, end_id), "doc_id bigint, ids array<int>, at bigint")
     (
         out.write.option("orc.bloom.filter.columns", "doc_id")
@@ -178,7 +203,7 @@ def token_index(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document of the files."""
     each = read_tokens(spark, path).mapInArrow(_digests, "doc_id bigint, file string, at bigint, n_tokens bigint, ids_crc32 bigint")
     each = Scratch(spark, "token-index").write(each, "digests")
-    # A row per file; ranges of ids don't overlap, so files are in order of their first id.
+    # A row per file; ranges don't overlap, so files are in order of their first id, and of their names where one id has several.
     order = Window.orderBy(F.col("first").asc_nulls_first(), "file").rowsBetween(Window.unboundedPreceding, -1)
     files = each.groupBy("file").agg(F.min(F.struct("at", "doc_id"))["doc_id"].alias("first"), F.sum("n_tokens").alias("n"))
     files = files.select(F.col("file").alias("_file"), F.coalesce(F.sum("n").over(order), F.lit(0)).alias("_from"))
