@@ -14,7 +14,8 @@ as ties go to smaller ids. So a vector that a third of all rows share is one poi
 
 Defined cases: vectors that are null, empty, all zero, hold nulls or values that aren't finite, or have another
 dimension than the query set's most frequent one, take no part, as queries or candidates; so do rows with a null id.
-Rows with an equal id and vector are one candidate; those with an equal id and different vectors are ranked once each.
+Rows with an equal id and vector are one candidate, and one query. Rows with an equal id and different vectors are
+candidates each, and queries with a result each; no row is a candidate of a query of its own id. Ids may be negative.
 Fewer than k candidates: all of them. An empty table gives an empty result. Other columns are ignored.
 """
 
@@ -144,28 +145,29 @@ class VectorIndex:
             g = g.sort_values("h", kind="stable")
             x = np.stack(g["v"].to_list()).astype(np.float64)
             graph, start = build_graph(unit(x), seed=seed)
-            ids = np.full((len(g), k + 1), -1, np.int64)
-            for row, some in enumerate(g["ids"]):
-                ids[row, : len(some)] = some
-            return pd.DataFrame({"shard": [g["shard"].iloc[0]], "start": [start], "x": [x.tobytes()], "ids": [ids.tobytes()], "graph": [graph.astype(np.int32).tobytes()]})
+            ids, held = np.zeros((len(g), k + 1), np.int64), g["ids"].map(len).to_numpy()
+            ids[np.arange(k + 1) < held[:, None]] = np.concatenate(g["ids"].to_list())
+            return pd.DataFrame({"shard": [g["shard"].iloc[0]], "start": [start], "x": [x.tobytes()], "ids": [ids.tobytes()], "held": [held.astype(np.int64).tobytes()], "graph": [graph.astype(np.int32).tobytes()]})
 
-        built = sharded.select("shard", "h", "v", "ids").groupBy("shard").applyInPandas(build, "shard int, start int, x binary, ids binary, graph binary")
+        built = sharded.select("shard", "h", "v", "ids").groupBy("shard").applyInPandas(build, "shard int, start int, x binary, ids binary, held binary, graph binary")
         self.index = self.scratch.write(built, "index")
 
     def search(self, queries: DataFrame, beam: int = 96, chunk_rows: int = 4_096) -> DataFrame:
-        """query_id, rank (from 1), vec_id, score of the k nearest. queries: id and v, usable vectors of this dimension."""
+        """query_id, rank (from 1), vec_id, score of the k nearest of each query vector. queries: id and v, usable vectors of
+        this dimension."""
         k, dim, shards = self.k, self.dim, self.shards
         chunks = max(1, -(-queries.count() // chunk_rows))
-        q = queries.select(F.col("id").alias("qid"), F.col("v").alias("qv")).withColumn("chunk", F.pmod(F.xxhash64("qid"), F.lit(chunks)).cast("int"))
+        q = queries.select(F.col("id").alias("qid"), F.xxhash64("v").alias("qh"), F.col("v").alias("qv")).withColumn("chunk", F.pmod(F.xxhash64("qid"), F.lit(chunks)).cast("int"))
         q = q.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
         index = self.index.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
 
         def run(ask: pd.DataFrame, shard: pd.DataFrame) -> pd.DataFrame:
-            out = {"query_id": [], "vec_id": [], "score": []}
+            out = {"query_id": [], "qh": [], "vec_id": [], "score": []}
             if len(ask) and len(shard):
                 s = shard.iloc[0]
                 x = np.frombuffer(s["x"]).reshape(-1, dim)
                 ids, graph = np.frombuffer(s["ids"], np.int64).reshape(len(x), k + 1), np.frombuffer(s["graph"], np.int32).reshape(len(x), -1).astype(np.int64)
+                filled = np.arange(k + 1) < np.frombuffer(s["held"], np.int64)[:, None]
                 near, norm = unit(x), np.linalg.norm(x, axis=1)
                 for b in range(0, len(ask), 256):
                     some = ask.iloc[b : b + 256]
@@ -176,17 +178,18 @@ class VectorIndex:
                     score = np.einsum("bkd,bd->bk", x[at], qv) / (norm[at] * np.linalg.norm(qv, axis=1)[:, None])
                     score = np.where(found < 0, -np.inf, score)
                     every, scores = ids[at].reshape(len(some), -1), np.repeat(score, k + 1, axis=1)
-                    scores = np.where((every < 0) | (every == qid[:, None]), -np.inf, scores)
+                    scores = np.where(~filled[at].reshape(len(some), -1) | (every == qid[:, None]), -np.inf, scores)
                     order = np.lexsort((every, -scores), axis=1)[:, :k]
                     rows = np.arange(len(some))[:, None]
                     good = np.isfinite(scores[rows, order])
                     out["query_id"].append(np.broadcast_to(qid[:, None], order.shape)[good])
+                    out["qh"].append(np.broadcast_to(some["qh"].to_numpy()[:, None], order.shape)[good])
                     out["vec_id"].append(every[rows, order][good])
                     out["score"].append(scores[rows, order][good])
-            return pd.DataFrame({c: np.concatenate(x) if x else np.zeros(0, t) for (c, x), t in zip(out.items(), (np.int64, np.int64, np.float64), strict=True)})
+            return pd.DataFrame({c: np.concatenate(x) if x else np.zeros(0, t) for (c, x), t in zip(out.items(), (np.int64, np.int64, np.int64, np.float64), strict=True)})
 
-        got = q.groupBy("shard", "chunk").cogroup(index.groupBy("shard", "chunk")).applyInPandas(run, "query_id bigint, vec_id bigint, score double")
-        best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+        got = q.groupBy("shard", "chunk").cogroup(index.groupBy("shard", "chunk")).applyInPandas(run, "query_id bigint, qh bigint, vec_id bigint, score double")
+        best = F.row_number().over(Window.partitionBy("query_id", "qh").orderBy(F.desc("score"), "vec_id"))
         return got.withColumn("rank", best).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
