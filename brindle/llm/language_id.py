@@ -6,10 +6,11 @@ its log frequency in each language; an unseen word by its n-grams of the largest
 mean, less a fixed penalty for each step down. A language's score is the mean over all words of the whole text.
 
 Fitting covers a bounded sample: about ``docs_per_lang`` rows of each language among rows that are not held out, chosen
-by a hash of the id, and of these the ``words_per_lang`` most frequent words. Both are parameters; with them the model
-has a bounded size and is broadcast. Prediction reads every word of every text and never the language, source or id.
+by a hash of the id, and of these the ``words_per_lang`` most frequent words; of more than ``max_langs`` languages those
+with the most rows. All three are parameters; with them the model has a bounded size and is broadcast. Prediction reads every word of every text and never the language, source or id.
 
-Defined cases: a null text, or one without a letter, is ``und`` with score 0. Rows with a null or empty language are
+Defined cases: a null text, or one without a letter (Unicode category L), is ``und`` with score 0. A very long text is
+scored whole, from the counts of its distinct words. Rows with a null or empty language are
 not learned from, but predicted. Without any row to learn from every text is ``und`` with score 0. Equal texts get
 equal results. Other columns are ignored.
 """
@@ -30,7 +31,9 @@ from brindle.llm.common import held_out
 MAX_N, BACKOFF = 4, 1.0
 #: Unseen words whose scores a worker keeps.
 REMEMBER = 200_000
-LETTERS = re.compile(r"[^\W\d_]+")
+#: Runs of letters (Unicode category L, as \\p{L} in the JVM): word signs but digits, the underscore and other numbers.
+_NUMBERS = "".join(re.escape(c) for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+LETTERS = re.compile(rf"[^\W\d_{_NUMBERS}]+")
 UND = "und"
 
 
@@ -99,11 +102,12 @@ class LanguageModel:
 
 
 def train(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = 1_500, words_per_lang: int = 30_000
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = 1_500, words_per_lang: int = 30_000,
+    max_langs: int = 1_000,
 ) -> LanguageModel:
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang"))
     rows = rows.filter(F.col("_lang").isNotNull() & (F.col("_lang") != "") & (F.col("_lang") != UND) & F.col("_text").isNotNull() & ~held_out("_id"))
-    sizes = {r["_lang"]: r["count"] for r in rows.groupBy("_lang").count().orderBy(F.desc("count"), "_lang").limit(1_000).collect()}
+    sizes = {r["_lang"]: r["count"] for r in rows.groupBy("_lang").count().orderBy(F.desc("count"), "_lang").limit(max_langs).collect()}
     if not sizes:
         return LanguageModel({})
     rate = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, docs_per_lang / n))])
