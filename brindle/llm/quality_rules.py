@@ -10,7 +10,8 @@ Length guards: a distance is judged only from ``min_class_chars`` characters or
 of short texts are noise; both bounds also have an allowance for the sampling noise of a text of that length.
 
 Defined cases: null and empty texts have no words and fail the base rules. A null or unseen language, or one without words, so without a
-reference, is judged against the pooled reference of all languages; without any reference the base rules decide alone.
+reference, is judged against the pooled reference of all languages (any number of them; references are broadcast while
+they are at most ``broadcast_langs`` rows); a very long text is counted whole; without any reference the base rules decide alone.
 Repeated rows are judged alike and all kept. Columns beside the id, text and language are ignored.
 """
 
@@ -166,14 +167,10 @@ def apply_rules(
     class_distance, word_distance (null where a guard holds)."""
     judged = signals(docs, id_col, text_col, lang_col)
     refs = references(docs, text_col, lang_col) if refs is None else refs
-    known = {r["_lang"] for r in refs.select("_lang").limit(broadcast_langs + 1).collect()}
-    if len(known) <= broadcast_langs:  # a row of a few hundred numbers each
-        lang = F.when(F.col("_lang").isin(list(known)), F.col("_lang")).otherwise(POOLED)
-        a = judged.withColumn("_lang", lang).join(F.broadcast(refs), "_lang", "left")
-    else:
-        pool = refs.filter(F.col("_lang") == POOLED).select(*[F.col(c).alias(f"_pool_{c}") for c in REFERENCE])
-        a = judged.join(refs, "_lang", "left").join(F.broadcast(pool), F.lit(True), "left")  # one row
-        a = a.withColumns({c: F.coalesce(c, f"_pool_{c}") for c in REFERENCE})
+    few = refs.limit(broadcast_langs + 1).count() <= broadcast_langs  # a row of a few hundred numbers each
+    pool = refs.filter(F.col("_lang") == POOLED).select(*[F.col(c).alias(f"_pool_{c}") for c in REFERENCE])
+    a = judged.join(F.broadcast(refs) if few else refs, "_lang", "left").join(F.broadcast(pool), F.lit(True), "left")  # one row
+    a = a.withColumns({c: F.coalesce(c, f"_pool_{c}") for c in REFERENCE})
     n = F.col("_n")
     a = a.withColumn("_chars", _sum(F.col("_classes"), F.lit(0.0)))
     places = F.filter(F.transform("_words", lambda w: F.array_position("common", w).cast("int")), lambda i: i > 0)
