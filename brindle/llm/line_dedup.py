@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from brindle.llm.common import NOT_WORD, WORD, Scratch, text_hash
+from brindle.llm.common import NOT_WORD, Scratch, fresh, text_hash
 
 KEY = ["_did", "_th"]
 #: The selected line, its offset in the window, and all the window's lines.
@@ -86,16 +86,18 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return both.withColumn("reach", F.max("stop").over(upto)).filter("pos is not null and reach >= ord").select(*KEY, "pos")
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50) -> DataFrame:
-    """The rows of docs with the later copies of repeated runs deleted from text_col, and removed_lines (their numbers from 0)."""
-    gone = repeated_lines(docs, id_col, text_col, min_words).groupBy(*KEY).agg(F.array_sort(F.collect_list("pos")).alias("_gone"))
-    gone = gone.select(F.col("_did").alias("_gd"), F.col("_th").alias("_gt"), "_gone")
-    out = docs.join(gone.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col("_gd")) & (text_hash(text_col) == F.col("_gt")), "left")
-    kept = F.array_join(F.filter(F.split(text_col, "\n"), lambda line, i: ~F.array_contains("_gone", i)), "\n")
-    text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(kept)
-    removed = F.coalesce("_gone", F.array().cast("array<int>"))
-    plain = [docs[c] for c in docs.columns if c not in (text_col, "removed_lines")]
-    return out.select(*plain, text.alias(text_col), removed.alias("removed_lines"))
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50, removed_col: str = "removed_lines") -> DataFrame:
+    """The rows of docs with the later copies of repeated runs deleted from text_col, and removed_col (their numbers from
+    0), which replaces a column of that name."""
+    did, th, lines = fresh(docs, "_did", "_th", "_gone")
+    gone = repeated_lines(docs, id_col, text_col, min_words).groupBy(*KEY).agg(F.array_sort(F.collect_list("pos")).alias(lines))
+    gone = gone.select(F.col("_did").alias(did), F.col("_th").alias(th), lines)
+    out = docs.join(gone.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col(did)) & (text_hash(text_col) == F.col(th)), "left")
+    kept = F.array_join(F.filter(F.split(text_col, "\n"), lambda line, i: ~F.array_contains(lines, i)), "\n")
+    text = F.when(F.col(lines).isNull(), F.col(text_col)).otherwise(kept)
+    removed = F.coalesce(lines, F.array().cast("array<int>"))
+    plain = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in (text_col.lower(), removed_col.lower())]
+    return out.select(*plain, text.alias(text_col), removed.alias(removed_col))
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
