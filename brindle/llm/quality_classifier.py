@@ -39,11 +39,10 @@ def chunk_starts(n: int) -> np.ndarray:
 
 
 def cut(text: bytes) -> np.ndarray:
-    """Chunks of a text as rows of SPAN byte values, padded with zeros at its end."""
-    starts = chunk_starts(len(text))
-    raw = np.zeros(int(starts[-1]) + SPAN, np.uint8)
+    """Chunks of a text as rows of SPAN byte values, padded with zeros at its end: a view, of the text's size."""
+    raw = np.zeros(int(chunk_starts(len(text))[-1]) + SPAN, np.uint8)
     raw[: len(text)] = np.frombuffer(text, np.uint8)
-    return raw[starts[:, None] + np.arange(SPAN)]
+    return np.lib.stride_tricks.sliding_window_view(raw, SPAN)[::STEP]
 
 
 @dataclass
@@ -83,6 +82,36 @@ class Net:
         return self.head(np.add.reduceat(p, begins, axis=0) / counts, np.maximum.reduceat(p, begins, axis=0)).astype(np.float64)
 
 
+def loss_and_gradients(p: dict[str, np.ndarray], chunks: np.ndarray, counts: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+    """Weighted mean cross-entropy of documents of ``counts`` chunks each, and its gradient by each parameter."""
+    begins = np.cumsum(np.concatenate([[0], counts]))[:-1]
+    m = SPAN - WIDTH + 1
+    act = p["table"][0][chunks[:, :m]]
+    for j in range(1, WIDTH):
+        act += p["table"][j][chunks[:, j : j + m]]
+    at = act.argmax(axis=1)  # chunks x FILTERS
+    best = np.take_along_axis(act, at[:, None, :], axis=1)[:, 0] + p["bias"]
+    pooled = np.maximum(best, 0)
+    mean = np.add.reduceat(pooled, begins, axis=0) / counts[:, None]
+    top = np.maximum.reduceat(pooled, begins, axis=0)
+    x = np.concatenate([mean, top], axis=1)
+    pre = x @ p["w1"] + p["b1"]
+    h = np.maximum(pre, 0)
+    out = 1 / (1 + np.exp(-np.clip(h @ p["w2"] + p["b2"], -30, 30)))
+    g = (out - y) * weight / len(y)
+    gh = np.outer(g, p["w2"]) * (pre > 0)
+    gx = gh @ p["w1"].T
+    doc = np.repeat(np.arange(len(y)), counts)
+    gp = gx[doc, :FILTERS] / counts[doc, None] + gx[doc, FILTERS:] * (pooled == top[doc]) * (pooled > 0)
+    gp = (gp * (best > 0)).astype(np.float32)
+    gt = np.zeros_like(p["table"])
+    rows, f = np.arange(len(chunks))[:, None], np.arange(FILTERS)[None, :]
+    for j in range(WIDTH):
+        np.add.at(gt[j], (chunks[rows, at + j], np.broadcast_to(f, at.shape)), gp)
+    loss = float(-(weight * (y * np.log(out) + (1 - y) * np.log(1 - out))).mean())
+    return loss, {"table": gt, "bias": gp.sum(0), "w1": x.T @ gh, "b1": gh.sum(0), "w2": h.T @ g, "b2": np.array([g.sum()])}
+
+
 def fit(texts: list[np.ndarray], labels: np.ndarray, epochs: int = 12, min_steps: int = 400, rate: float = 0.01, batch: int = 32, seed: int = 0) -> Net:
     """texts: an array of chunks (rows of SPAN bytes) for each document. Small samples are gone through more often."""
     rng = np.random.default_rng(seed)
@@ -106,33 +135,8 @@ def fit(texts: list[np.ndarray], labels: np.ndarray, epochs: int = 12, min_steps
         order = rng.permutation(len(texts))
         for k in range(0, len(order), batch):
             ids = order[k : k + batch]
-            chunks = np.concatenate([texts[i] for i in ids])
             counts = np.array([len(texts[i]) for i in ids])
-            begins = np.cumsum(np.concatenate([[0], counts]))[:-1]
-            m = SPAN - WIDTH + 1
-            act = p["table"][0][chunks[:, :m]]
-            for j in range(1, WIDTH):
-                act += p["table"][j][chunks[:, j : j + m]]
-            at = act.argmax(axis=1)  # chunks x FILTERS
-            best = np.take_along_axis(act, at[:, None, :], axis=1)[:, 0] + p["bias"]
-            pooled = np.maximum(best, 0)
-            mean = np.add.reduceat(pooled, begins, axis=0) / counts[:, None]
-            top = np.maximum.reduceat(pooled, begins, axis=0)
-            x = np.concatenate([mean, top], axis=1)
-            pre = x @ p["w1"] + p["b1"]
-            h = np.maximum(pre, 0)
-            out = 1 / (1 + np.exp(-np.clip(h @ p["w2"] + p["b2"], -30, 30)))
-            g = (out - y[ids]) * weight[ids] / len(ids)
-            gh = np.outer(g, p["w2"]) * (pre > 0)
-            gx = gh @ p["w1"].T
-            doc = np.repeat(np.arange(len(ids)), counts)
-            gp = gx[doc, :FILTERS] / counts[doc, None] + gx[doc, FILTERS:] * (pooled == top[doc]) * (pooled > 0)
-            gp = (gp * (best > 0)).astype(np.float32)
-            gt = np.zeros_like(p["table"])
-            rows, f = np.arange(len(chunks))[:, None], np.arange(FILTERS)[None, :]
-            for j in range(WIDTH):
-                np.add.at(gt[j], (chunks[rows, at + j], np.broadcast_to(f, at.shape)), gp)
-            grads = {"table": gt, "bias": gp.sum(0), "w1": x.T @ gh, "b1": gh.sum(0), "w2": h.T @ g, "b2": np.array([g.sum()])}
+            _, grads = loss_and_gradients(p, np.concatenate([texts[i] for i in ids]), counts, y[ids], weight[ids])
             t += 1
             for name, gr in grads.items():
                 m1[name] = 0.9 * m1[name] + 0.1 * gr
