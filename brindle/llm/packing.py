@@ -4,15 +4,15 @@ A bucket holds the documents of a range of lengths; each is padded to the bucket
 length occurs over the whole corpus, dynamic programming chooses at most ``max_buckets`` bounds with the least padding
 in total. Within a bucket, documents in a fixed pseudo-random order fill batches of ``token_budget`` padded tokens.
 
-The histogram is exact up to ``exact_to`` tokens and beyond that by steps of about 1/64 of the length, so its number of
-bins grows with the logarithm of the longest document only, and it alone goes through the driver. Every document is
-placed: one longer than the budget has a batch of its own.
+The histogram has a row for each length that occurs, and it alone goes through the driver. D different lengths make up
+at least D * D / 2 tokens, so a corpus of T tokens has at most sqrt(2 * T) of them: 6 million for 100 TB at the very most.
+Every document is placed: one longer than the budget has a batch of its own.
 
 Places within a bucket are numbered without gathering it: each bucket is split into shards by hash, documents are
 numbered inside their shard and a shard begins where those before it end.
 
 Defined cases: null and empty texts have length 0 and go to batches of the shortest bucket (padded like any other); if
-every text is empty, the one bucket has bound 1. Equal rows are separate documents. An empty table gives no batches.
+every text is empty, the one bucket has bound 1. Of a very long text only its length is used. Equal rows are separate documents. An empty table gives no batches.
 Other columns are ignored.
 """
 
@@ -25,50 +25,41 @@ from pyspark.sql import functions as F
 from brindle.llm.common import Scratch, n_words, shuffle_partitions, text_hash
 
 
-def length_bin(length: Column, exact_to: int = 1024) -> Column:
-    """The upper end of a length's histogram bin: itself up to exact_to, then rounded up by 1/64 of its power of two."""
-    n = F.greatest(length, F.lit(1))
-    step = F.pow(F.lit(2.0), F.floor(F.log2(n.cast("double"))) - 6)
-    return F.when(n <= exact_to, n).otherwise((F.ceil(n / step) * step).cast("long")).cast("long")
-
-
 def best_bounds(lengths: np.ndarray, counts: np.ndarray, max_buckets: int) -> list[int]:
-    """Upper bounds of at most max_buckets buckets that minimise sum(count * (bound - length)); bins are ascending.
+    """Upper bounds of at most max_buckets buckets that minimise sum(count * (bound - length)); lengths are ascending.
 
-    cost[k][j]: least padded total of the first j bins in k buckets. Divide and conquer over the monotone split points
-    makes it O(max_buckets * bins * log(bins)).
+    cost[j]: least padded total of the j shortest lengths. A bucket from i on adds lengths[j - 1] * (c[j] - c[i]), so the
+    best i is that of the lowest line with slope -c[i] at lengths[j - 1]; lines and lengths come in order, and a lower
+    envelope gives each bucket in time linear in the lengths. Whole numbers throughout, so the optimum is exact.
     """
-    n = len(lengths)
+    n, at = len(lengths), [int(x) for x in lengths]
     if n == 0:
         return []
-    c = np.concatenate([[0], np.cumsum(counts.astype(np.float64))])
-    cost, back = lengths * c[1:], []  # one bucket
-    cost = np.concatenate([[0.0], cost])
+    c = [0, *(int(x) for x in np.cumsum(counts.astype(np.int64)))]
+    cost, splits = [0, *(at[j] * c[j + 1] for j in range(n))], []
     for _ in range(1, min(max_buckets, n)):
-        new, split = np.full(n + 1, np.inf), np.zeros(n + 1, dtype=np.int64)
-        new[0] = 0.0
-        todo = [(1, n, 0, n - 1)]
-        while todo:
-            lo, hi, first, last = todo.pop()
-            if lo > hi:
-                continue
-            j = (lo + hi) // 2
-            i = np.arange(first, min(last, j - 1) + 1)
-            total = cost[i] + lengths[j - 1] * (c[j] - c[i])
-            at = int(np.argmin(total))
-            new[j], split[j] = total[at], i[at]
-            todo += [(lo, j - 1, first, int(i[at])), (j + 1, hi, int(i[at]), last)]
-        back.append(split)
+        new, split, hull, low = [0] * (n + 1), np.zeros(n + 1, np.int64), [], 0
+        for j in range(1, n + 1):
+            i = j - 1
+            while len(hull) - low >= 2:
+                x, y = hull[-2], hull[-1]
+                if (cost[i] - cost[x]) * (c[y] - c[x]) > (cost[y] - cost[x]) * (c[i] - c[x]):
+                    break
+                hull.pop()
+            hull.append(i)
+            here = at[j - 1]
+            while len(hull) - low >= 2 and cost[hull[low + 1]] - here * c[hull[low + 1]] <= cost[hull[low]] - here * c[hull[low]]:
+                low += 1
+            new[j], split[j] = cost[hull[low]] + here * (c[j] - c[hull[low]]), hull[low]
+        splits.append(split)
         cost = new
     j, bounds = n, []
-    for split in reversed(back):
-        if j == 0:
-            break
-        bounds.append(int(lengths[j - 1]))
+    for split in reversed(splits):
+        bounds.append(at[j - 1])
         j = int(split[j])
-    if j:
-        bounds.append(int(lengths[j - 1]))
-    return sorted(set(bounds))
+        if j == 0:
+            return bounds[::-1]
+    return [at[j - 1], *bounds[::-1]]
 
 
 def pack(
@@ -78,7 +69,6 @@ def pack(
     length: Column | None = None,
     max_buckets: int = 16,
     token_budget: int = 65_536,
-    exact_to: int = 1024,
     shard_rows: int = 100_000,
     seed: int = 0,
 ) -> DataFrame:
@@ -89,13 +79,13 @@ def pack(
     spark: SparkSession = docs.sparkSession
     n = n_words(text_col) if length is None else length
     rows = docs.select(F.col(id_col).alias("_id"), text_hash(text_col).alias("_th"), F.coalesce(n, F.lit(0)).cast("long").alias("_n"))
-    rows = Scratch(spark, "packing").write(rows.withColumn("_bin", length_bin(F.col("_n"), exact_to)), "lengths")
-    counted = sorted((r["_bin"], r["count"]) for r in rows.groupBy("_bin").count().collect())
-    lengths, counts = np.array([x for x, _ in counted], dtype=np.float64), np.array([x for _, x in counted], dtype=np.float64)
+    rows = Scratch(spark, "packing").write(rows, "lengths")
+    counted = rows.groupBy(F.greatest("_n", F.lit(1)).alias("length")).count().toArrow().sort_by("length")
+    lengths, counts = counted.column("length").to_numpy(), counted.column("count").to_numpy()
     bounds = best_bounds(lengths, counts, max_buckets) or [1]
 
     bound = F.array(*[F.lit(b).cast("long") for b in bounds])
-    bucket = F.size(F.filter(bound, lambda b: b < F.col("_bin")))
+    bucket = F.size(F.filter(bound, lambda b: b < F.col("_n")))
     shards = max(4 * shuffle_partitions(spark), -(-int(counts.sum()) // shard_rows))
     rows = rows.select("_id", "_th", "_n", bucket.alias("bucket"), F.pmod(F.xxhash64("_id", "_th", F.lit(seed)), F.lit(shards)).cast("int").alias("_shard"))
     before = Window.partitionBy("bucket").orderBy("_shard").rowsBetween(Window.unboundedPreceding, -1)
