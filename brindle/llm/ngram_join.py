@@ -10,19 +10,20 @@ least 0.8. The join finds every component of links:
    ``n - ceil(t n) + 1`` of each under any one order. The order is rare first, by counts over the whole corpus in
    2**18 buckets, so that common passages come last. The blocks with one smallest member, their lead, are one family:
    its members are those of any of its blocks, once each, so that a pair is met once a family and not once a block.
-4. In each family the members are first compared with the lead, and what links is verified on the whole sets.
-5. Then each family's members of different components are joined through an R-tree over count vectors (nodes hold the
-   greatest counts and the least and greatest sizes below them): pairs of nodes whose bound fails are cut off, pairs
-   of members that pass are verified. This is done twice: first with the ``first_best`` likeliest partners of each
-   member, whose links join most of what belongs together, then with all pairs still in different components; no pair
-   is verified twice. A family
-   of more than ``block_rows`` members is cut into chunks, and each pair of chunks is a cell of its own.
+4. Each family has an R-tree over its members' count vectors (nodes hold the greatest counts and the least and greatest
+   sizes below them). A descent cuts off what a bound rules out, and the members that pass are candidate pairs; every
+   pair that is verified on the whole sets comes out of such a tree. First each tree is asked for its family's lead.
+5. Then, where a family's members still are in different components, its tree is joined with itself: twice, first with
+   the ``first_best`` likeliest partners of each member, whose links join most of what belongs together, then with all
+   pairs still in different components; no pair is verified twice. A family of more than ``block_rows`` members is cut
+   into chunks: each is asked for the lead, and each pair of chunks is a cell of its own.
 
 Pairs are tested against whole sets, cut from the texts again, so nothing of a set's size is stored for all documents.
 The text of a class is found by its smallest (doc_id, text hash), null safe, so texts under null ids link like any other.
+Classes and families that hold more than 1/10,000 of all rows are joined by broadcast, the others by shuffle.
 
-Defined cases: a null text, or one without words, has no n-grams, size 0, and is its own component. A text of one to
-four words has its whole word sequence as one n-gram. Rows with one id and different texts are judged apart; both get
+Defined cases: an empty table gives no rows. A null text, or one without words, has no n-grams, size 0, and is its own component. A text of one to
+four words has its whole word sequence as one n-gram. A very long text has all its n-grams in one set. Rows with one id and different texts are judged apart; both get
 the smallest id that their text reaches. Null ids: component_id is the smallest id reached that isn't null, null if
 there is none. Other columns are ignored. N-grams are compared by 64-bit hashes: of m different ones in all, about
 m * m / 2**65 pairs are taken for equal, which only matters within a pair of texts at the border.
@@ -37,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm.common import Scratch, shuffle_partitions, text_hash
+from brindle.llm.common import Scratch, join_by_weight, shuffle_partitions, text_hash
 from brindle.llm.components import connected_components
 
 N, GROUPS, FANOUT = 5, 256, 16
@@ -178,13 +179,6 @@ def _may_link(overlap: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> np
     return 9 * overlap >= 4 * (size_a + size_b)
 
 
-def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of pairs (a, b, an, bn, avec, bvec) those that the count vectors allow."""
-    for b in batches:
-        keep = [bool(_may_link(np.minimum(_vector(x), _vector(y)).sum(), n, m)) for x, y, n, m in zip(b.column("avec").to_pylist(), b.column("bvec").to_pylist(), b.column("an").to_pylist(), b.column("bn").to_pylist(), strict=True)]
-        yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         keep = []
@@ -195,18 +189,39 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def tree_pairs(vec: np.ndarray, size: np.ndarray, comp: np.ndarray, side: np.ndarray | None = None) -> np.ndarray:
-    """Pairs of points (rows of their numbers) of different components that their count vectors allow.
-
-    The tree is packed bottom-up from the points in order of component and size; both of its copies are descended at
-    once. side: if given, only pairs of different sides.
-    """
+def tree_levels(vec: np.ndarray, size: np.ndarray, comp: np.ndarray) -> tuple[np.ndarray, list[tuple]]:
+    """The order of the points (component, size) and, from leaves to root, the greatest counts, least and greatest sizes
+    and least and greatest components of the nodes: an R-tree packed bottom-up."""
     order = np.lexsort((size, comp))
     levels = [(vec[order], size[order], size[order], comp[order], comp[order])]
     while len(levels[-1][0]) > 1:
         hi, low, high, c0, c1 = levels[-1]
         at = np.arange(0, len(hi), FANOUT)
         levels.append((np.maximum.reduceat(hi, at), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at), np.minimum.reduceat(c0, at), np.maximum.reduceat(c1, at)))
+    return order, levels
+
+
+def tree_query(vec: np.ndarray, size: np.ndarray, point: int) -> np.ndarray:
+    """The numbers of the other points that their count vectors allow to link with one point, by descent of the tree."""
+    order, levels = tree_levels(vec, size, np.zeros(len(size), np.int64))
+    nodes = np.zeros(1, np.int64)
+    for k in range(len(levels) - 1, -1, -1):
+        hi, low, high, _, _ = levels[k]
+        nodes = nodes[(5 * high[nodes] >= 4 * size[point]) & (5 * size[point] >= 4 * low[nodes])]
+        nodes = nodes[_may_link(np.minimum(hi[nodes], vec[point]).sum(axis=1), low[nodes], size[point])]
+        if k:
+            nodes = (nodes[:, None] * FANOUT + np.arange(FANOUT)).reshape(-1)
+            nodes = nodes[nodes < len(levels[k - 1][0])]
+    found = order[nodes]
+    return found[found != point]
+
+
+def tree_pairs(vec: np.ndarray, size: np.ndarray, comp: np.ndarray, side: np.ndarray | None = None) -> np.ndarray:
+    """Pairs of points (rows of their numbers) of different components that their count vectors allow.
+
+    Two copies of the tree are descended at once. side: if given, only pairs of different sides.
+    """
+    order, levels = tree_levels(vec, size, comp)
     pairs = np.array([[0, 0]])
     for k in range(len(levels) - 1, -1, -1):
         hi, low, high, c0, c1 = levels[k]
@@ -243,10 +258,10 @@ def likeliest(pairs: np.ndarray, vec: np.ndarray, size: np.ndarray, best: int) -
     return pairs[np.unique(row[order[rank < best]])]
 
 
-def _search_families(batches: Iterator[pa.RecordBatch], best: int | None) -> Iterator[pa.RecordBatch]:
+def _search_families(batches: Iterator[pa.RecordBatch], best: int | None, lead_only: bool) -> Iterator[pa.RecordBatch]:
     """Rows (lead, cell, cls, n, comp, side, vec) in order of lead and cell: candidate pairs of each cell.
 
-    best: if given, only that many of each member's candidates, the likeliest.
+    best: if given, only that many of each member's candidates, the likeliest. lead_only: only pairs with the lead.
     """
 
     def search(rows: pa.Table) -> pa.RecordBatch | None:
@@ -254,6 +269,10 @@ def _search_families(batches: Iterator[pa.RecordBatch], best: int | None) -> Ite
         vec = np.stack([_vector(x) for x in rows.column("vec").to_pylist()])
         side = rows.column("side").to_numpy()
         size = rows.column("n").to_numpy()
+        if lead_only:
+            lead = int(np.flatnonzero(cls == rows.column("lead")[0].as_py())[0])
+            found = tree_query(vec, size, lead)
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(cls[found], cls[lead])), pa.array(np.maximum(cls[found], cls[lead]))], names=["a", "b"]) if len(found) else None
         pairs = tree_pairs(vec, size, rows.column("comp").to_numpy(), side if side.min() != side.max() else None)
         if not len(pairs):
             return None
@@ -297,16 +316,15 @@ class NgramJoin:
         out = self.docs.mapInArrow(lambda b: _describe(b, shared.value), "doc_id bigint, th bigint, cls bigint, n bigint, prefix array<bigint>, vec binary")
         return self.scratch.write(out, "described")
 
-    def verify(self, pairs: DataFrame, rows: DataFrame) -> DataFrame:
-        """Of candidate pairs (a, b) of classes, a < b, not verified before, those that link. rows: doc_id, th and cls of every row."""
+    def verify(self, pairs: DataFrame, places: DataFrame) -> DataFrame:
+        """Of candidate pairs (a, b) of classes, a < b, not verified before, those that link. places: cls and at (its smallest doc_id, th)."""
         pairs = pairs.distinct()
         for before in self.verified:
             pairs = pairs.join(before, ["a", "b"], "left_anti")
         pairs = self.scratch.write(pairs, "pairs")
         self.verified.append(pairs)
         wanted = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
-        least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th"))
-        ids = rows.join(wanted, "cls", "left_semi").groupBy("cls").agg(least.alias("at"))
+        ids = places.join(wanted, "cls", "left_semi")
         ids = self.scratch.write(ids.select("cls", F.col("at.doc_id").alias("_did"), F.col("at.th").alias("_th")), "wanted")
         few = ids.count() <= self.broadcast_ids
         some = ids.select("_did", "_th").distinct()
@@ -325,25 +343,25 @@ class NgramJoin:
         blocks = keyed.groupBy("block").agg(F.count("*").alias("c"), F.min("cls").alias("lead")).filter("c > 1").select("block", "lead")
         return self.scratch.write(keyed.join(blocks, "block").select("lead", "cls", "n").distinct(), "families")
 
-    def star(self, families: DataFrame, points: DataFrame) -> DataFrame:
-        """Pairs (a, b) of a lead and a member that sizes and count vectors allow."""
-        pairs = families.filter("cls != lead").select(F.col("lead").alias("a"), F.col("cls").alias("b"), F.col("n").alias("bn"))
-        pairs = pairs.join(points.select(F.col("cls").alias("a"), F.col("n").alias("an"), F.col("vec").alias("avec")), "a")
-        pairs = pairs.filter((5 * F.col("an") >= 4 * F.col("bn")) & (5 * F.col("bn") >= 4 * F.col("an")))
-        pairs = pairs.join(points.select(F.col("cls").alias("b"), F.col("vec").alias("bvec")), "b").select("a", "b", "an", "bn", "avec", "bvec")
-        return pairs.mapInArrow(_bounded, "a bigint, b bigint")
-
-    def tree(self, families: DataFrame, points: DataFrame, comps: DataFrame, best: int | None) -> DataFrame:
-        """Pairs (a, b) of members of one family and different components that the R-trees find."""
-        rest = families.join(comps, F.col("cls") == F.col("node"), "left").select("lead", "cls", "n", F.coalesce("comp", "cls").alias("comp"))
-        mixed = rest.groupBy("lead").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.ceil(F.count("*") / self.block_rows).cast("int").alias("k"))
-        rest = rest.join(mixed.filter("c0 != c1").select("lead", "k"), "lead").join(points.select("cls", "vec"), "cls")
-        # A small family is one cell; a large one has a cell for each pair of its chunks.
-        rest = rest.withColumn("chunk", F.pmod(F.xxhash64("cls"), F.col("k")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-        cell = (F.least("chunk", "other") * F.col("k") + F.greatest("chunk", "other")).cast("int")
+    def candidates(self, families: DataFrame, points: DataFrame, comps: DataFrame | None = None, best: int | None = None) -> DataFrame:
+        """Pairs (a, b) that the families' R-trees find: of each lead and its members, or, with the components found so
+        far, of members of different components."""
+        rest, lead_only = families, comps is None
+        if lead_only:
+            rest = rest.withColumn("comp", F.col("cls"))
+        else:
+            rest = rest.join(comps, F.col("cls") == F.col("node"), "left").select("lead", "cls", "n", F.coalesce("comp", "cls").alias("comp"))
+        mixed = rest.groupBy("lead").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("w")).filter("c0 != c1")
+        mixed = self.scratch.write(mixed.select("lead", "w", F.ceil(F.col("w") / self.block_rows).cast("int").alias("k")), "mixed")
+        rest = join_by_weight(rest, mixed, "lead", "w").join(points.select("cls", "vec"), "cls")
+        # A small family is one cell. A large one is asked for its lead chunk by chunk; else each pair of its chunks is a cell.
+        every = F.sequence(F.lit(0), F.col("k") - 1)
+        rest = rest.withColumn("chunk", F.pmod(F.xxhash64("cls"), F.col("k")).cast("int"))
+        rest = rest.withColumn("other", F.explode(F.when(F.col("cls") == F.col("lead"), every).otherwise(F.array("chunk")) if lead_only else every))
+        cell = F.col("other") if lead_only else (F.least("chunk", "other") * F.col("k") + F.greatest("chunk", "other")).cast("int")
         cells = rest.select("lead", cell.alias("cell"), "cls", "n", "comp", F.when(F.col("k") == 1, 0).otherwise(F.col("chunk")).alias("side"), "vec")
         cells = cells.repartition(shuffle_partitions(self.spark), "lead", "cell").sortWithinPartitions("lead", "cell")
-        return cells.mapInArrow(lambda b: _search_families(b, best), "a bigint, b bigint")
+        return cells.mapInArrow(lambda b: _search_families(b, best, lead_only), "a bigint, b bigint")
 
     def run(self) -> DataFrame:
         """doc_id, th (text hash), cls, n_shingles, component_id, comp (a class that names the component) of every row."""
@@ -351,19 +369,23 @@ class NgramJoin:
         each = self.scratch.write(described.select("doc_id", "th", "cls", "n"), "each")
         classes = self.scratch.write(described.filter("n > 0").select("cls", "n", "prefix", "vec").dropDuplicates(["cls"]), "classes")
         self.scratch.drop(described)
-        rows, points = each.filter("n > 0"), classes.select("cls", "n", "vec")
+        least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th"))
+        places = self.scratch.write(each.groupBy("cls").agg(least.alias("at"), F.count("*").alias("w")), "places")
+        points = classes.select("cls", "n", "vec")
         families = self.families(classes)
 
-        links = self.verify(self.star(families, points), rows)
+        links = self.verify(self.candidates(families, points), places)
         comps = connected_components(links, self.scratch)
         for best in (self.first_best, None):
-            links = links.unionByName(self.verify(self.tree(families, points, comps, best), rows))
-            comps = connected_components(links, self.scratch)
-        low = each.groupBy("cls").agg(F.min("doc_id").alias("low"))
-        low = low.join(comps, F.col("cls") == F.col("node"), "left").select("cls", F.coalesce("comp", "cls").alias("comp"), "low")
+            links = links.unionByName(self.verify(self.candidates(families, points, comps, best), places))
+            before, comps = comps, connected_components(links, self.scratch)
+            self.scratch.drop(before)
+        self.scratch.drop(classes, families, *self.verified)
+        low = places.select("cls", F.col("at.doc_id").alias("low"), "w")
+        low = low.join(comps, F.col("cls") == F.col("node"), "left").select("cls", F.coalesce("comp", "cls").alias("comp"), "low", "w")
         root = low.groupBy("comp").agg(F.min("low").alias("component_id"))
-        by_class = low.join(root, "comp").select(F.col("cls").alias("_cls"), "component_id", "comp")
-        out = each.select("doc_id", "th", "cls", F.col("n").alias("n_shingles")).join(by_class, F.col("cls") == F.col("_cls"))
+        by_class = self.scratch.write(low.join(root, "comp").select("cls", "component_id", "comp", "w"), "by-class")
+        out = join_by_weight(each.select("doc_id", "th", "cls", F.col("n").alias("n_shingles")), by_class, "cls", "w")
         return out.select("doc_id", "th", "cls", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "comp")
 
 
