@@ -4,7 +4,12 @@ quality classifier -> line dedup -> n-gram Jaccard join -> mixing to target weig
 last returns the columns of documents; its result is written as Parquet and read again as the next one's input.
 
 Identity of rows: (doc_id, hash of the text), null safe. Rows equal in both get one decision, except in mixing, which
-counts each. Columns beside the ones a stage changes are carried through.
+counts each. Columns beside the ones a stage changes are carried through, whatever their names.
+
+Defined cases, stage by stage. Null and empty texts: scored by the classifier like any other; no lines, no n-grams and
+no words, so the next two stages keep them and mixing drops them (size 0). Very long texts: read whole by each stage, no
+stage cuts them. Null ids, languages and sources: values like any other. Ties: the smaller doc_id, then the smaller hash
+of the text, stays or comes first. An empty table: empty results with the same columns.
 """
 
 from __future__ import annotations
@@ -13,7 +18,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from brindle.llm import line_dedup, mixing, ngram_join, packing, quality_classifier
-from brindle.llm.common import Scratch, text_hash
+from brindle.llm.common import Scratch, fresh, text_hash
+
+
+def _columns(docs: DataFrame) -> list[Column]:
+    return [F.col(f"`{c}`") for c in docs.columns]
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,47 +33,50 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of runs of lines are deleted; a document of which no word is left goes."""
-    out = line_dedup.dedup_lines(docs)
-    emptied = (F.size("removed_lines") > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    (removed,) = fresh(docs, "_removed")
+    out = line_dedup.dedup_lines(docs, removed_col=removed)
+    emptied = (F.size(removed) > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
     out = out.filter(~F.coalesce(emptied, F.lit(False)))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("removed_lines") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        out = out.withColumn("n_chars", F.when(F.size(removed) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return out.select(*_columns(docs))
 
 
 def join_ngrams(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near duplicates stays, that with the smallest doc_id (nulls last), then text hash."""
     scratch = Scratch(spark, "join-stage")
+    gone, gone_th = fresh(docs, "_gone", "_gone_th")
     found = ngram_join.NgramJoin(docs).run().filter("n_shingles > 0").groupBy("doc_id", "th").agg(F.min("comp").alias("comp"))
     found = scratch.write(found, "found")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th"))
     kept = found.groupBy("comp").agg(least.alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k.th").alias("_th"))
     losers = found.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")), "left_anti")
-    losers = scratch.write(losers.select(F.col("doc_id").alias("_gone"), F.col("th").alias("_gone_th")), "losers")
+    losers = scratch.write(losers.select(F.col("doc_id").alias(gone), F.col("th").alias(gone_th)), "losers")
     side = F.broadcast(losers) if losers.count() <= 1_000_000 else losers.hint("shuffle_hash")
-    return docs.join(side, F.col("doc_id").eqNullSafe(F.col("_gone")) & (text_hash("text") == F.col("_gone_th")), "left_anti")
+    return docs.join(side, F.col("doc_id").eqNullSafe(F.col(gone)) & (text_hash("text") == F.col(gone_th)), "left_anti")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: not at all, once or twice. Equal rows share what they take evenly."""
     scratch = Scratch(spark, "mix-stage")
-    taken = mixing.mix(docs.select("doc_id", "text", "source")).groupBy("doc_id", "text_key").agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows"))
-    taken = scratch.write(taken.filter("_copies > 0").select(F.col("doc_id").alias("_id"), "text_key", "_copies", "_rows"), "taken")
+    did, th, copies, rows, share, n = fresh(docs, "_id", "_th", "_copies", "_rows", "_share", "_n")
+    taken = mixing.mix(docs.select("doc_id", "text", "source")).groupBy("doc_id", "text_key").agg(F.sum("copies").alias(copies), F.count("*").alias(rows))
+    taken = scratch.write(taken.filter(F.col(copies) > 0).select(F.col("doc_id").alias(did), F.col("text_key").alias(th), copies, rows), "taken")
 
     def copied(times: DataFrame) -> DataFrame:
-        return docs.join(times.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id")) & (text_hash("text") == F.col("text_key")))
+        return docs.join(times.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col(did)) & (text_hash("text") == F.col(th)))
 
-    def as_often(rows: DataFrame, n: Column) -> DataFrame:
-        return rows.withColumn("_n", F.explode(F.sequence(F.lit(1), n.cast("int")))).select(*docs.columns)
+    def as_often(of: DataFrame, times: Column) -> DataFrame:
+        return of.withColumn(n, F.explode(F.sequence(F.lit(1), times.cast("int")))).select(*_columns(docs))
 
-    once = as_often(copied(taken.filter("_rows = 1")), F.col("_copies"))
-    repeated = taken.filter("_rows > 1")
+    once = as_often(copied(taken.filter(F.col(rows) == 1)), F.col(copies))
+    repeated = taken.filter(F.col(rows) > 1)
     if repeated.isEmpty():
         return once
-    nth = F.row_number().over(Window.partitionBy("_id", "text_key").orderBy("_copies"))
-    each = copied(repeated).withColumn("_share", F.floor(F.col("_copies") / F.col("_rows")))
-    each = each.withColumn("_share", F.col("_share") + F.when(nth <= F.col("_copies") - F.col("_share") * F.col("_rows"), 1).otherwise(0))
-    return once.unionByName(as_often(each.filter("_share > 0"), F.col("_share")))
+    nth = F.row_number().over(Window.partitionBy(did, th).orderBy(copies))
+    each = copied(repeated).withColumn(share, F.floor(F.col(copies) / F.col(rows)))
+    each = each.withColumn(share, F.col(share) + F.when(nth <= F.col(copies) - F.col(share) * F.col(rows), 1).otherwise(0))
+    return once.unionByName(as_often(each.filter(F.col(share) > 0), F.col(share)))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -86,8 +98,11 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)
-        docs = out if k == len(STAGES) - 1 else scratch.write(out, name)
-    return docs
+        if k == len(STAGES) - 1:
+            return out
+        before, docs = docs, scratch.write(out, name)
+        if k:
+            scratch.drop(before)
 
 
 #: A fitted network, random rounding and bucket bounds have no SQL form; tests compare the stages with plain Python.
