@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.functions.scalars import at_least_zero, not_ended, started
+from brindle.operators.windows import carried_before
 
 
 def running_balance(tx: DataFrame, user: str, amount: str, at: str, tx_id: str, reserved: str | None = None) -> DataFrame:
@@ -95,8 +96,8 @@ def redeem_log(attempts: DataFrame, coupons: DataFrame, usages: DataFrame) -> Da
     in_order = ["at", "attempt_id"]
     mine = Window.partitionBy("coupon_id", "user_id").orderBy(*in_order).rowsBetween(Window.unboundedPreceding, 0)
     a = a.withColumn("_within", live & (F.sum(live.cast("long")).over(mine) + F.col("used_by_user") <= F.col("per_user_limit")))
-    earlier = Window.partitionBy("coupon_id").orderBy(*in_order).rowsBetween(Window.unboundedPreceding, -1)
-    taken = F.coalesce(F.sum(F.col("_within").cast("long")).over(earlier), F.lit(0)) + F.col("used_count")
+    a = carried_before(a, ["coupon_id"], in_order, F.date_trunc("hour", "at"), F.col("_within").cast("long"), "_taken")
+    taken = F.col("_taken") + F.col("used_count")
     full = F.col("max_uses").isNotNull() & (taken >= F.col("max_uses"))
     reason = F.coalesce("_early", F.when(full, "Coupon exhausted").when(~F.col("_within"), LIMIT))
     return a.select("attempt_id", "user_id", "coupon_id", "at", "credit_amount", reason.alias("reason"))

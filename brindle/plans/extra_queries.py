@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from brindle.functions.predicates import where
 from brindle.operators import snapshots as M
 from brindle.operators import signals as S
+from brindle.operators.windows import carried_before
 from brindle.plans.ledger_queries import CU, MV, NC, customers, moves, new_customers
 from brindle.plans.stream_queries import PR, progress
 from brindle.sources.tables import table
@@ -17,10 +18,9 @@ from brindle.streaming import progress as T
 def reuse(s: SparkSession, d: str) -> DataFrame:
     """A job may reuse the newest result of its topic within five days, at 5 credits; otherwise it costs 50."""
     e = table(s, d, "events").withColumn("topic", F.get_json_object("props", "$.k"))
-    w = Window.partitionBy("topic").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
-    prior = F.last(F.when(F.col("event_type") == "purchase", F.struct("event_id", "ts")), ignorenulls=True).over(w)
+    e = carried_before(e, ["topic"], ["ts", "event_id"], F.date_trunc("day", "ts"), F.when(F.col("event_type") == "purchase", F.struct("event_id", "ts")), "p", last=True)
     near = F.col("p.ts") >= F.col("ts") - F.expr("interval 5 days")
-    return e.withColumn("p", prior).select("event_id", F.when(near, F.col("p.event_id")).alias("reused"), F.when(near, 5).otherwise(50).alias("credits"))
+    return e.select("event_id", F.when(near, F.col("p.event_id")).alias("reused"), F.when(near, 5).otherwise(50).alias("credits"))
 
 
 def iteration_gate(s: SparkSession, d: str, least: int = 3, threshold: int = 40) -> DataFrame:
