@@ -39,9 +39,11 @@ def intensity(text: Column, words: list[str]) -> Column:
 
 
 def preprocess(docs: DataFrame, labels: DataFrame, priority: dict[str, int], demand: dict[str, list[str]], strong: list[str]) -> DataFrame:
-    d = dedupe(docs).join(labels.select(F.col("doc_id").alias("_l"), "quality"), F.col("doc_id") == F.col("_l"), "left").filter("quality is null or quality = 1")
+    """One signal per content hash, with what is read off its text. No text is shuffled: copies combine to narrow rows first."""
     rank = F.coalesce(F.create_map(*[F.lit(x) for kv in priority.items() for x in kv])[F.col("source")], F.lit(3))
-    return d.select("doc_id", "source", "lang", rank.alias("priority"), tags(F.col("text"), demand).alias("demand_tags"), intensity(F.col("text"), strong).alias("intensity"), "content_hash")
+    narrow = docs.select("doc_id", "source", "lang", rank.alias("priority"), tags(F.col("text"), demand).alias("demand_tags"), intensity(F.col("text"), strong).alias("intensity"), content_hash(F.col("text")).alias("content_hash"))
+    first = narrow.groupBy("content_hash").agg(F.min_by(F.struct(*[c for c in narrow.columns if c != "content_hash"]), "doc_id").alias("r")).select("r.*", "content_hash")
+    return first.join(labels.select(F.col("doc_id").alias("_l"), "quality"), F.col("doc_id") == F.col("_l"), "left").filter("quality is null or quality = 1").select(*narrow.columns)
 
 
 def rollup(signals: DataFrame, cluster: str) -> DataFrame:
@@ -76,6 +78,54 @@ def near_matches(new: DataFrame, old: DataFrame, key: str, vector: str, block: s
     return a.join(b, F.col(block) == F.col("_block")).withColumn("similarity", dot(F.col("_a"), F.col("_b"))).filter(F.col("similarity") >= least).select("new_id", "old_id", "similarity")
 
 
+def near_in_window(new: DataFrame, old: DataFrame, key: str, vector: str, at: str, block: str, window_s: int, least: float) -> DataFrame:
+    """Pairs (new, old) of one block, at most ``window_s`` seconds apart, old first, whose unit vectors have at least this
+    dot product. An equi-join on the block and a piece of time of the window's length: an old row is in its own piece and
+    the next, so each pair meets once and only rows of two windows meet."""
+    piece = F.floor(F.unix_seconds(F.col(at).cast("timestamp")) / window_s)
+    a = new.select(F.col(key).alias("new_id"), F.col(vector).alias("_a"), F.col(at).alias("_new_at"), block, piece.alias("_piece"))
+    b = old.select(F.col(key).alias("old_id"), F.col(vector).alias("_b"), F.col(at).alias("_old_at"), F.col(block).alias("_block"), F.explode(F.array(piece, piece + 1)).alias("_of"))
+    apart = F.unix_seconds(F.col("_new_at").cast("timestamp")) - F.unix_seconds(F.col("_old_at").cast("timestamp"))
+    met = a.join(b, (F.col(block) == F.col("_block")) & (F.col("_piece") == F.col("_of"))).filter((F.col("new_id") != F.col("old_id")) & apart.between(0, window_s))
+    return met.withColumn("similarity", dot(F.col("_a"), F.col("_b"))).filter(F.col("similarity") >= least).select("new_id", "old_id", "similarity")
+
+
+def author_class(text: Column, rules: dict[str, list[str]], default: str = "unknown") -> Column:
+    """The first class one of whose phrases the text holds."""
+    lower, out = F.lower(text), None
+    for name, phrases in rules.items():
+        hit = reduce(lambda a, b: a | b, [lower.contains(p) for p in phrases])
+        out = F.when(hit, name) if out is None else out.when(hit, name)
+    return F.coalesce(out, F.lit(default))
+
+
+def demand(signals: DataFrame, cluster: str) -> DataFrame:
+    """How many of a cluster's signals carry each demand tag, and their share."""
+    each = signals.select(cluster, F.explode("demand_tags").alias("tag")).groupBy(cluster, "tag").agg(F.count("*").alias("n"))
+    total = signals.groupBy(F.col(cluster).alias("_c")).agg(F.count("*").alias("_n"))
+    return each.join(total, F.col(cluster).eqNullSafe(F.col("_c"))).select(cluster, "tag", "n", (F.col("n") / F.col("_n")).alias("share"))
+
+
+def estimates(signals: DataFrame, cluster: str) -> DataFrame:
+    """market (share of all signals), competition (share of the cluster's signals that name something in demand) and
+    opportunity (market times what is not contested), each 0 to 1."""
+    total = signals.agg(F.count("*").alias("_all"))  # one row
+    tagged = F.avg(F.when(F.size("demand_tags") > 0, 1.0).otherwise(0.0))
+    per = signals.groupBy(cluster).agg(F.count("*").alias("_n"), tagged.alias("competition")).join(F.broadcast(total))
+    market = F.col("_n") / F.col("_all")
+    return per.select(cluster, market.alias("market"), "competition", (market * (1 - F.col("competition"))).alias("opportunity"))
+
+
+def nearest_centre(vectors: DataFrame, vector: str, label: str) -> DataFrame:
+    """vectors with cluster: the label whose mean vector has the largest dot product, of equal ones the smaller label.
+    The centres are one array of one row per label (labels are a fixed, small set)."""
+    parts = vectors.select(F.col(label).alias("_l"), F.posexplode(F.col(vector).cast("array<double>")).alias("i", "x")).groupBy("_l", "i").agg(F.avg("x").alias("m"))
+    centres = parts.groupBy("_l").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda p: p["m"]).alias("m"))
+    one = centres.agg(F.array_sort(F.collect_list(F.struct(F.col("_l").alias("l"), "m"))).alias("_centres"))
+    scored = F.transform("_centres", lambda c: F.struct(dot(F.col(vector), c["m"]).alias("s"), (-c["l"]).alias("l")))
+    return vectors.join(F.broadcast(one)).withColumn("cluster", -F.array_max(scored)["l"]).drop("_centres")
+
+
 def kmeans(vectors: DataFrame, vector: str, k: int = 10, seed: int = 7, rounds: int = 20) -> DataFrame:
     """cluster: by Spark's own k-means on the vectors."""
     from pyspark.ml.clustering import KMeans

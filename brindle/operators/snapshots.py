@@ -1,7 +1,7 @@
 """Mutations as functions of a snapshot: old rows and a change in, new rows out. Nothing is changed in place.
 
 ``Change`` also holds the rows that changed, for the forms that return them or count them. ``publish`` swaps a written
-snapshot in by renaming its folder, so that readers see the old or the new one.
+snapshot in by two renames of folders; see there for what a crash between them leaves.
 """
 
 from __future__ import annotations
@@ -56,9 +56,9 @@ def create_many(rows: DataFrame, new: DataFrame, unique: Sequence[Sequence[str]]
     if skip_duplicates:
         for key in unique:
             filled = ~F.array_contains(F.array(*[F.col(k).isNull() for k in key]), True)
-            old = rows.select(*key).distinct()
             first = Window.partitionBy(*key).orderBy(position or key[0])
-            new = new.join(old, list(key), "left_anti").withColumn("_nth", F.when(filled, F.row_number().over(first)).otherwise(1)).filter("_nth = 1").drop("_nth")
+            left = new.filter(filled).join(rows.select(*key), list(key), "left_anti").withColumn("_nth", F.row_number().over(first)).filter("_nth = 1")
+            new = left.select(*new.columns).unionByName(new.filter(~filled))
     new = new.select(*rows.columns)
     return Change(rows.unionByName(new), new)
 
@@ -122,8 +122,60 @@ def disconnect(child: DataFrame, spec: dict, fk: str) -> Change:
     return update_many(child, spec, {fk: None})
 
 
+def assign(*items: Any) -> Column:
+    """A whole array in place of the old one."""
+    return F.array(*[F.lit(i) for i in items])
+
+
+def write_children(
+    parents: DataFrame, key: str, children: DataFrame, fk: str, create: dict[str, Column] | None = None, update: tuple[dict, dict] | None = None,
+    disconnect: dict | None = None, delete: dict | None = None,
+) -> DataFrame:
+    """Nested writes under a to-many relation: what is left of all children once those of ``parents`` are written.
+
+    delete and disconnect take a specification of the parents' children, update a specification and new values, in this
+    order; create gives columns of one new child per parent, computed from the parent's row.
+    """
+    mine = parents.select(F.col(key).alias("_pk"), F.lit(True).alias("_mine")).distinct()
+    rows = children.join(mine, F.col(fk) == F.col("_pk"), "left")
+    hit = lambda spec: F.coalesce(F.col("_mine") & where(spec), F.lit(False))
+    if delete is not None:
+        rows = rows.filter(~hit(delete))
+    if disconnect is not None:
+        rows = rows.withColumn("_off", hit(disconnect)).withColumn(fk, F.when(~F.col("_off"), F.col(fk))).withColumn("_mine", F.col("_mine") & ~F.col("_off"))
+    if update is not None:
+        rows = rows.withColumn("_hit", hit(update[0]))
+        rows = rows.withColumns({c: F.when(F.col("_hit"), _as_column(v)).otherwise(F.col(c)).cast(children.schema[c].dataType) for c, v in update[1].items()})
+    out = rows.select(*children.columns)
+    if create is not None:
+        values = create | {fk: F.col(key)}
+        out = out.unionByName(parents.select(*[_as_column(values.get(f.name)).cast(f.dataType).alias(f.name) for f in children.schema]))
+    return out
+
+
+def write_parents(children: DataFrame, fk: str, parents: DataFrame, key: str, update: dict[str, Any] | None = None, create: dict[str, Column] | None = None) -> DataFrame:
+    """Nested writes under a to-one relation: all parents once those of ``children`` are written.
+
+    update gives new values of the parents that the children have; create gives the columns of a new parent, computed
+    from the child's row, for each child that has none.
+    """
+    out = parents
+    if update is not None:
+        have = children.filter(F.col(fk).isNotNull()).select(F.col(fk).alias("_fk"), F.lit(True).alias("_hit")).distinct()
+        out = parents.join(have, F.col(key) == F.col("_fk"), "left")
+        out = out.withColumns({c: F.when(F.col("_hit"), _as_column(v)).otherwise(F.col(c)).cast(parents.schema[c].dataType) for c, v in update.items()}).select(*parents.columns)
+    if create is not None:
+        new = children.filter(F.col(fk).isNull()).select(*[_as_column(create.get(f.name)).cast(f.dataType).alias(f.name) for f in parents.schema])
+        out = out.unionByName(new)
+    return out
+
+
 def publish(spark: SparkSession, rows: DataFrame, path: str, batch: str) -> None:
-    """Write the snapshot beside ``path`` and swap it in. A batch that is already in place is not written again."""
+    """Write the snapshot beside ``path`` and swap it in. A batch that is already in place is not written again.
+
+    Between the two renames ``path`` is missing, and a crash there leaves it so, with both snapshots beside it under
+    their batch's names; to publish the batch again puts it in place. Half a snapshot is never seen.
+    """
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     at = lambda p: jvm.org.apache.hadoop.fs.Path(p)
     fs = at(path).getFileSystem(conf)

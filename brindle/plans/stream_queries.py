@@ -110,12 +110,12 @@ QUERIES = {
     "T12_suppress_repeats": (lambda s, d: T.without_repeats(table(s, d, "events"), "user_id", "event_type", "event_id").select("event_id"), "select event_id from (select event_id, event_type, lag(event_type) over (partition by user_id order by event_id) as p from events) where p is distinct from event_type"),
     "T14_session_windows": (lambda s, d: table(s, d, "events").groupBy("user_id", F.session_window("ts", "6 hours").alias("w")).agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("start"), "n"), "with g as (select *, case when ts < lag(ts) over (partition by user_id order by ts) + interval 6 hour then 0 else 1 end as b from events), i as (select *, sum(b) over (partition by user_id order by ts rows unbounded preceding) as k from g) select user_id, min(ts) as start, count(*) as n from i group by user_id, k"),
     "T14_stream_windows": (stream_windows, "select date_trunc('day', ts)::timestamp as start, event_type, count(*) as n from events group by 1, 2"),
-    "S17_event_text": (lambda s, d: T.sse(progress(s, d).filter("seq % 50 = 1")).select("seq", "text"), "with " + PR + """ select seq, 'id: ' || seq || chr(10) || 'data: {"stage":"' || stage || '"' || case when result is not null then ',"result":"' || result || '"' else '' end || case when error is not null then ',"error":"' || error || '"' else '' end || '}' || chr(10) || chr(10) as text from pr where seq % 50 = 1"""),
+    "S17_event_text": (lambda s, d: T.sse(progress(s, d)).select("seq", "text"), "with " + PR + """ select seq, 'id: ' || seq || chr(10) || 'data: {"stage":"' || stage || '"' || case when result is not null then ',"result":"' || result || '"' else '' end || case when error is not null then ',"error":"' || error || '"' else '' end || '}' || chr(10) || chr(10) as text from pr"""),
     "S18_kv_live": (lambda s, d: T.kv_live(store(s, d), NOW), "with " + KV + f" select key, arg_max(value, set_at) as value, arg_max(expires_at, set_at) as expires_at from kv group by 1 having not arg_max(expires_at, set_at) < {NOW}"),
     "S19_kv_set": (lambda s, d: T.kv_live(T.kv_set(store(s, d), "wallet:7", "fresh", NOW * 2, 9), NOW).filter("key = 'wallet:7'").select("key", "value"), "select 'wallet:7' as key, 'fresh' as value"),
     "S20_kv_delete": (lambda s, d: T.kv_delete(store(s, d), table(s, d, "events").filter("user_id < 100").select(F.concat(F.lit("wallet:"), F.col("user_id").cast("string")).alias("key"))).groupBy("key").agg(F.count("*").alias("n")), "with " + KV + " select key, count(*) as n from kv where cast(substr(key, 8) as int) >= 100 group by 1"),
     "S22_result_source": (lambda s, d: T.fold(progress(s, d)).join(progress(s, d).filter("stage = 'done'").select(F.col("job_id").alias("j"), F.col("seq").alias("done_at")), F.col("job_id") == F.col("j"), "left").groupBy("job_id").agg(F.min("done_at").alias("done_at")), "with " + PR + " select job_id, min(seq) filter (stage = 'done') as done_at from pr group by 1"),
-    "S23_sources": (lambda s, d: table(s, d, "documents").select("source", F.lit(1).alias("priority")).filter("source < 'src15'").unionByName(table(s, d, "pages").select(F.lit("web").alias("source"), F.lit(2).alias("priority"))).groupBy("source", "priority").agg(F.count("*").alias("n")), "select source, 1 as priority, count(*) as n from documents where source < 'src15' group by 1 union all select 'web', 2, count(*) from pages"),
+    "S23_sources": (lambda s, d: table(s, d, "documents").select("source", F.lit(1).alias("priority")).unionByName(table(s, d, "pages").select(F.lit("web").alias("source"), F.lit(2).alias("priority"))).groupBy("source", "priority").agg(F.count("*").alias("n")), "select source, 1 as priority, count(*) as n from documents group by 1 union all select 'web', 2, count(*) from pages"),
     "U1_merge_new": (lambda s, d: (lambda h: S.merge_new(h.filter("doc_id % 2 = 0"), h.filter("doc_id % 2 = 1").groupBy("content_hash").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "content_hash")))(table(s, d, "documents").select("doc_id", S.content_hash(F.col("text")).alias("content_hash"))), "with " + PRE + " select doc_id, content_hash from h where doc_id % 2 = 0 union all select min(doc_id), content_hash from h where doc_id % 2 = 1 and content_hash not in (select content_hash from h where doc_id % 2 = 0) group by content_hash"),
     "U2_dedup_hash": (lambda s, d: S.dedupe(table(s, d, "documents")).select("doc_id", "content_hash"), "with " + PRE + " select min(doc_id) as doc_id, content_hash from h group by 2"),
     "X18_content_hash": (lambda s, d: table(s, d, "documents").select("doc_id", F.sha2("text", 256).alias("h")), "select doc_id, sha256(text) as h from documents"),
@@ -124,7 +124,7 @@ QUERIES = {
     "A15_cluster_rollup": (lambda s, d: S.rollup(pre(s, d), "source").select("source", "frequency", F.round("intensity", 9).alias("intensity"), F.array_join("affected", ",").alias("affected")), "with " + PRE + " select source, count(*) as frequency, round(avg(intensity), 9) as intensity, string_agg(distinct lang, ',' order by lang) as affected from pre group by 1"),
     "A16_score": (lambda s, d: scored(s, d).select("source", F.round("final", 6).alias("final"), "quadrant"), "with " + PRE + ", c as (select source, least(1.0::double, avg(intensity) * 20) as problem, least(1.0::double, count(*)::double / 50) as market, count(distinct lang)::double / 4 as timing from pre group by 1) select source, round(0.5 * problem + 0.3 * market + 0.2 * timing, 6) as final, case when problem >= 0.5 then 'strong' else 'weak' end || '/' || case when market >= 0.5 then 'large' else 'small' end as quadrant from c"),
     "L12_top_clusters": (lambda s, d: scored(s, d).orderBy(F.round("final", 9).desc(), "source").limit(3).select("source"), "with " + PRE + ", c as (select source, least(1.0::double, avg(intensity) * 20) as problem, least(1.0::double, count(*)::double / 50) as market, count(distinct lang)::double / 4 as timing from pre group by 1) select source from c order by round(0.5 * problem + 0.3 * market + 0.2 * timing, 9) desc, source limit 3"),
-    "E18_report": (lambda s, d: S.report(scored(s, d), "source"), None),
+    "E18_report": (lambda s, d: S.report(scored(s, d), "source"), "with " + PRE + """, c as (select source, least(1.0::double, avg(intensity) * 20) as problem, least(1.0::double, count(*)::double / 50) as market, count(*) as frequency, list_sort(list(distinct lang)) as affected from pre group by 1) select source, to_json({'frequency': frequency, 'affected': affected, 'sources': [source], 'quadrant': case when problem >= 0.5 then 'strong' else 'weak' end || '/' || case when market >= 0.5 then 'large' else 'small' end})::varchar as report from c"""),
     "E19_decisions": (lambda s, d: S.decide(table(s, d, "part").select(F.col("p_partkey").alias("idea_id"), F.lit("PENDING").alias("status")), table(s, d, "part").filter("p_size < 30").select(F.col("p_partkey").alias("idea_id"), F.element_at(F.array(*[F.lit(x) for x in ("approve", "hold", "discard", "rerun")]), F.col("p_size") % 4 + 1).alias("action"))), "select p_partkey as idea_id, case when p_size >= 30 then 'PENDING' when p_size % 4 = 0 then 'APPROVED' when p_size % 4 = 1 then 'HELD' when p_size % 4 = 2 then 'DISCARDED' else 'PENDING' end as status, case when p_size < 30 and p_size % 4 = 3 then 5 end as rerun_from, p_size < 30 and p_size % 4 = 0 as in_moderation from part"),
     "J16_near_match": (near, "select a.vec_id as new_id, b.vec_id as old_id from embeddings a join embeddings b on a.label = b.label and a.vec_id % 2 = 0 and b.vec_id % 2 = 1 where list_dot_product(a.embedding::double[], b.embedding::double[]) >= 0.4"),
     "E15_kmeans": (clusters, None),

@@ -2,7 +2,9 @@
 
 Events are (job_id, seq, stage, result, error). The stages in order are STAGES; done and error end a job and later events
 are dropped. A message that isn't valid JSON becomes an error event. Results are carried forward: the last one that isn't
-null. Batch and stream give the same rows.
+null. Batch and stream give the same rows for jobs whose events reach the stream in order of seq; inside a micro-batch
+any order will do, but of a later one no event with a smaller seq than one already seen is taken. A job's state is one
+row and stays, so that an ended job can ignore what comes late.
 """
 
 from __future__ import annotations
@@ -105,20 +107,64 @@ def kv_live(store: DataFrame, now: Column | int) -> DataFrame:
     return latest.filter(~(F.col("expires_at") < now))
 
 
+#: Fixed value: how long a result is kept.
+RESULT_TTL_S = 604_800
+
+
+def store_results(done: DataFrame, ttl_s: int = RESULT_TTL_S) -> DataFrame:
+    """Key/value rows of finished jobs (job_id, result, completed_at in milliseconds): the report as JSON, and its end."""
+    body = F.to_json(F.struct(F.col("result").alias("report"), F.col("completed_at").alias("completedAt")))
+    key = F.concat(F.lit("job:"), F.col("job_id").cast("string"), F.lit(":result"))
+    return done.select(key.alias("key"), body.alias("value"), F.col("completed_at").alias("at"), (F.col("completed_at") + 1000 * ttl_s).alias("expires_at"))
+
+
+def read_results(store: DataFrame, now: Column | int) -> DataFrame:
+    """job_id, report, completed_at of the results that are still kept."""
+    r = F.from_json("value", "report string, completedAt bigint")
+    live = kv_live(store, now).withColumn("_r", r)
+    return live.select(F.regexp_extract("key", "^job:(.*):result$", 1).alias("job_id"), F.col("_r.report").alias("report"), F.col("_r.completedAt").alias("completed_at"))
+
+
+def retries(events: DataFrame, job: str, at: str, order: str, failed: Column, first_ms: int = 2_000, most: int = 3) -> DataFrame:
+    """The failed attempts of each job in order: attempt, retry_ms (the wait before the next one, doubled from first_ms)
+    and given_up, from the attempt numbered ``most`` on."""
+    nth = F.row_number().over(Window.partitionBy(job).orderBy(at, order))
+    out = events.filter(failed).withColumn("attempt", nth)
+    up = F.col("attempt") >= most
+    return out.withColumn("retry_ms", F.when(~up, first_ms * F.pow(F.lit(2), F.col("attempt") - 1)).cast("bigint")).withColumn("given_up", up)
+
+
+def sliding_counts(events: DataFrame, at: str = "ts", width: str = "1 day", step: str = "12 hours") -> DataFrame:
+    return events.groupBy(F.window(F.col(at).cast("timestamp"), width, step).alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "event_type", "n")
+
+
+def joined_streams(left: DataFrame, right: DataFrame, key: str, at: str, within: str = "1 hour", late: str = "1 day") -> DataFrame:
+    """left_id, right_id: each left event with the right ones of its key in the time before it; state is kept as long as
+    the watermark asks for."""
+    a = left.select(F.col(key).alias("_k"), F.col("event_id").alias("left_id"), F.col(at).cast("timestamp").alias("_at")).withWatermark("_at", late)
+    b = right.select(F.col(key).alias("_j"), F.col("event_id").alias("right_id"), F.col(at).cast("timestamp").alias("_by")).withWatermark("_by", late)
+    on = (F.col("_k") == F.col("_j")) & (F.col("_by") <= F.col("_at")) & (F.col("_by") >= F.col("_at") - F.expr(f"interval {within}"))
+    return a.join(b, on).select("left_id", "right_id")
+
+
+def distinct_events(events: DataFrame, key: str = "event_id", at: str = "ts", late: str = "1 hour") -> DataFrame:
+    """Each event once, if its copies come within the watermark's delay of each other."""
+    return events.withColumn("_at", F.col(at).cast("timestamp")).withWatermark("_at", late).dropDuplicatesWithinWatermark([key]).drop("_at")
+
+
 def kv_delete(store: DataFrame, keys: DataFrame) -> DataFrame:
     return store.join(keys.select("key"), "key", "left_anti")
 
 
 def _step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     stage, result, error, seq, n, ended = state.get if state.exists else (None, None, None, -1, 0, False)
-    rows = pd.concat(list(batches)).sort_values("seq")
-    for r in rows.itertuples():
-        if ended or r.seq <= seq:
-            continue
-        stage, seq, n = r.stage, int(r.seq), n + 1
-        result = r.result if r.result is not None and r.result == r.result else result
-        error = r.error if r.error is not None and r.error == r.error else error
-        ended = stage in TERMINAL
+    rows = pd.concat([b[b["seq"] > seq] for b in batches] if not ended else [b[:0] for b in batches]).sort_values("seq").drop_duplicates("seq")
+    ends = rows["stage"].isin(TERMINAL).to_numpy()
+    rows = rows.iloc[: int(ends.argmax()) + 1] if ends.any() else rows
+    if len(rows):
+        last = lambda c, before: rows[c].dropna().iloc[-1] if rows[c].notna().any() else before
+        stage, seq, n, ended = rows["stage"].iloc[-1], int(rows["seq"].iloc[-1]), n + len(rows), bool(ends.any())
+        result, error = last("result", result), last("error", error)
     state.update((stage, result, error, seq, n, ended))
     yield pd.DataFrame({"job_id": [key[0]], "stage": [stage], "result": [result], "error": [error], "events": [n]})
 
