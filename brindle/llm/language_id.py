@@ -34,9 +34,21 @@ REMEMBER = 200_000
 #: Runs of letters (Unicode category L, as \\p{L} in the JVM): word signs but digits, the underscore and other numbers.
 _NUMBERS = "".join(re.escape(c) for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
 LETTERS = re.compile(rf"[^\W\d_{_NUMBERS}]+")
+#: Runs of letters and numbers that aren't digits: a far quicker pattern.
+ALMOST = re.compile(r"[^\W\d_]+")
 UND = "und"
 
 
+def letter_runs(text: str) -> Counter:
+    """How often each run of LETTERS occurs. Only runs of ALMOST with another number inside are parted by LETTERS."""
+    found = Counter(ALMOST.findall(text))
+    for run in [w for w in found if not w.isalpha()]:
+        n = found.pop(run)
+        for w in LETTERS.findall(run):
+            found[w] += n
+    return found
+
+
 def grams(word: str, n: int) -> list[str]:
     padded = f"\x02{word}\x03" if n > 1 else word
     return [padded[i : i + n] for i in range(len(padded) - n + 1)]
@@ -83,7 +95,7 @@ class LanguageModel:
         return np.full(len(self.langs), -20.0)
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        found = Counter(LETTERS.findall(text.lower())) if text else None
+        found = letter_runs(text.lower()) if text else None
         if not found or not self.langs:
             return UND, 0.0
         known = self.known

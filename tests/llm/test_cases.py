@@ -302,3 +302,10 @@ def test_odd_rows_everywhere(spark):
     """Nothing crashes on nulls in any column, and every row comes back once."""
     df = docs_of(spark, ODD)
     assert packing.pack(df).count() == mixing.mix(df).count() == quality_rules.apply_rules(df).count() == ngram_join.NgramJoin(df).run().count() == len(ODD)
+
+
+def test_letter_runs():
+    rng = random.Random(1)
+    for _ in range(3000):
+        text = "".join(rng.choice("abé²½Ⅷ７1_ .ßı漢ª①") for _ in range(rng.randrange(25)))
+        assert language_id.letter_runs(text) == Counter(language_id.LETTERS.findall(text))
