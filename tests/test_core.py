@@ -15,6 +15,7 @@ from brindle.operators import paging as P
 from brindle.operators import relations as R
 from brindle.operators import snapshots as M
 from brindle.operators import signals as S
+from brindle.operators.windows import carried_before
 from brindle.streaming import progress as T
 
 
@@ -198,3 +199,59 @@ def test_stream_rows_lie_in_files(spark, sf_dir):
 
     for query in (stream_queries.stream_fold, stream_queries.stream_windows):
         assert all("/rows/" in f for f in query(spark, sf_dir).inputFiles()) and query(spark, sf_dir).inputFiles()
+
+
+def test_carried_before(spark):
+    import random
+
+    rng = random.Random(4)
+    rows = [(rng.choice(["a", "a", "a", "b", None]), rng.randrange(60), i, rng.choice([None, 1, 2, 5])) for i in range(300)]
+    df = spark.createDataFrame(rows, "k string, at int, id int, v int")
+    got = {r.id: (r.s, r.l) for r in carried_before(carried_before(df, ["k"], ["at", "id"], F.floor(F.col("at") / 10), F.col("v"), "s"), ["k"], ["at", "id"], F.floor(F.col("at") / 7), F.col("v"), "l", last=True).collect()}
+    for k, at, i, _ in rows:
+        before = [v for kk, a, j, v in sorted(rows, key=lambda r: (r[1], r[2])) if kk == k and (a, j) < (at, i) and v is not None]
+        assert got[i] == (sum(before), before[-1] if before else None)
+    assert len(got) == len(rows)
+
+
+def test_nested_writes(spark):
+    parents = spark.createDataFrame([(1, "p"), (2, "q")], "k int, name string")
+    children = spark.createDataFrame([(10, 1, "a", 5), (11, 1, "b", 5), (12, 2, "a", 5), (13, None, "a", 5), (14, 1, "c", 5)], "id int, fk int, kind string, n int")
+    out = M.write_children(parents.filter("k = 1"), "k", children, "fk", create={"id": F.col("k") + 100, "kind": F.col("name")}, update=({"kind": {"in": ["a", "c"]}}, {"n": M.increment("n", 1)}), disconnect={"kind": "a"}, delete={"kind": "b"})
+    assert sorted(tuple(r) for r in out.select("id", F.coalesce("fk", F.lit(-1)), "kind", F.coalesce("n", F.lit(-1))).collect()) == [(10, -1, "a", 5), (12, 2, "a", 5), (13, -1, "a", 5), (14, 1, "c", 6), (101, 1, "p", -1)]
+    both = M.write_parents(children.filter("id in (10, 13)"), "fk", parents, "k", update={"name": "x"}, create={"k": F.col("id"), "name": F.col("kind")})
+    assert sorted(tuple(r) for r in both.collect()) == [(1, "x"), (2, "q"), (13, "a")]
+
+
+def test_null_keys_are_no_duplicates(spark):
+    old = spark.createDataFrame([(1, 0)], "k int, pos int")
+    new = spark.createDataFrame([(None, 1), (None, 2), (1, 3), (2, 4), (2, 5)], "k int, pos int")
+    assert sorted((r.k is None, r.k or 0, r.pos) for r in M.create_many(old, new, [["k"]], True, "pos").changed.collect()) == [(False, 2, 4), (True, 0, 1), (True, 0, 2)]
+
+
+def test_near_in_window(spark):
+    rows = [(i, [1.0, 0.0] if i % 2 else [0.0, 1.0], "t", NOW + timedelta(seconds=37 * i)) for i in range(60)]
+    v = spark.createDataFrame(rows, "id int, v array<double>, topic string, at timestamp_ntz")
+    got = {(r.new_id, r.old_id) for r in S.near_in_window(v, v, "id", "v", "at", "topic", 200, 0.9).collect()}
+    assert got == {(i, j) for i in range(60) for j in range(i) if (i - j) % 2 == 0 and 37 * (i - j) <= 200}
+
+
+def test_stream_fold_over_batches(spark, tmp_path):
+    """Rows of a micro-batch in any order; later micro-batches; nothing after the end counts."""
+    from brindle.plans import stream_queries
+
+    batches = [[(1, 3, "thinking", None), (1, 1, "processing", "a"), (2, 2, "done", "z"), (2, 1, "idle", None)], [(1, 5, "done", None), (1, 4, "researching", "b"), (2, 9, "idle", "late")], [(1, 6, "idle", "late")]]
+    schema = "job_id bigint, seq bigint, stage string, result string, error string"
+    for k, rows in enumerate(batches):
+        spark.createDataFrame([(*r, None) for r in rows], schema).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+    events = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(f"{tmp_path}/in/*")
+    out = stream_queries._run_stream(T.fold_stream(events), "update").collect()
+    last = {r.job_id: (r.stage, r.result, r.events) for r in sorted(out, key=lambda r: r.events)}
+    assert last == {1: ("done", "b", 4), 2: ("done", "z", 2)}
+
+
+def test_results_are_kept_for_a_time(spark):
+    done = spark.createDataFrame([(1, "r", 1000), (2, None, 2000)], "job_id bigint, result string, completed_at bigint")
+    kept = lambda now: sorted((r.job_id, r.report) for r in T.read_results(T.store_results(done), now).collect())
+    end = 1000 + 1000 * T.RESULT_TTL_S
+    assert kept(end) == [("1", "r"), ("2", None)] and kept(end + 1) == [("2", None)]
