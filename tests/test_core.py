@@ -255,3 +255,16 @@ def test_results_are_kept_for_a_time(spark):
     kept = lambda now: sorted((r.job_id, r.report) for r in T.read_results(T.store_results(done), now).collect())
     end = 1000 + 1000 * T.RESULT_TTL_S
     assert kept(end) == [("1", "r"), ("2", None)] and kept(end + 1) == [("2", None)]
+
+
+def test_kmeans_finds_the_groups(spark):
+    """Well-parted groups: each is one cluster, and every vector's own mean is the nearest of all."""
+    import random
+
+    rng = random.Random(6)
+    at = [(1.0, 0.0, 0.0), (0.0, 1.0, 0.0), (0.0, 0.0, 1.0)]
+    rows = [(i, [float(x + rng.uniform(-0.1, 0.1)) for x in at[i % 3]]) for i in range(90)]
+    got = {r.id: r.cluster for r in S.kmeans(spark.createDataFrame(rows, "id int, v array<float>"), "v", k=3).collect()}
+    assert len(got) == 90 and len({got[i] for i in range(3)}) == 3 and all(got[i] == got[i % 3] for i in got)
+    means = {c: [sum(v[k] for i, v in rows if got[i] == c) / 30 for k in range(3)] for c in set(got.values())}
+    assert all(min(means, key=lambda c: sum((x - y) ** 2 for x, y in zip(v, means[c], strict=True))) == got[i] for i, v in rows)
