@@ -57,17 +57,32 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def join_by_weight(left: DataFrame, right: DataFrame, key: str, weight: str, share: int = 10_000) -> DataFrame:
+def join_by_weight(left: DataFrame, right: DataFrame, key: str | list[str], weight: str, share: int = 10_000) -> DataFrame:
     """Inner join of left with right, a written table of one row per key that holds the key's number of left rows in weight.
 
     Keys with over 1 / share of the rows, which are fewer than ``share``, go to the tasks of left by broadcast; the rest
-    is shuffled, so no task gets more than that share of one key.
+    is shuffled, so no task gets more than that share of one key. Key columns hold no nulls.
     """
+    keys = [key] if isinstance(key, str) else key
     total = right.agg(F.sum(weight)).first()[0] or 0
     hot = F.col(weight) * share > total
+    if right.filter(hot).isEmpty():
+        return left.join(right, keys)
     few = F.broadcast(right.filter(hot))
-    rest = left.join(few.select(key), key, "left_anti").join(right.filter(~hot), key)
-    return left.join(few, key).unionByName(rest)
+    rest = left.join(few.select(*keys), keys, "left_anti").join(right.filter(~hot), keys)
+    return left.join(few, keys).unionByName(rest)
+
+
+def repeated(df: DataFrame, times: str, number: str, chunk: int = 100_000) -> DataFrame:
+    """Rows of df, a written table, each as often as its column times (a bigint, 1 or more) says, with number (from 1) in its place.
+
+    A row to repeat more than ``chunk`` times is first dealt to many tasks, ``chunk`` copies each.
+    """
+    upto = F.least(F.col(times), (F.col(number) + 1) * chunk)
+    often = df.filter(F.col(times) > chunk).withColumn(number, F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(times) - 1) / chunk))))
+    often = often.repartition(shuffle_partitions(df.sparkSession)).withColumn(number, F.explode(F.sequence(F.col(number) * chunk + 1, upto)))
+    once = df.filter(F.col(times) <= chunk).withColumn(number, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times))))
+    return once.unionByName(often).drop(times)
 
 
 class Scratch:

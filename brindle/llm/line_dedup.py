@@ -14,7 +14,8 @@ Earlier means a smaller (doc_id, text hash, line). A deleted line therefore alwa
 place, and the earliest place of a line is never deleted.
 
 Occurrences are never paired with each other, only with one earlier place, so a passage that a third of all documents
-share makes one pair for each of its windows there. The other side of the join has one row per fingerprint.
+share makes one pair for each of its windows there. The other side of the join has one row per fingerprint; those of
+fingerprints with over 1/10,000 of the windows go to all tasks by broadcast, so such a passage meets in no single task.
 
 Defined cases: lines are what lies between newline characters, compared without white space at either end. Lines
 without a word are no part of runs and stay. A null text stays null. Rows with an equal id and text are one document
@@ -28,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from brindle.llm.common import NOT_WORD, Scratch, fresh, text_hash
+from brindle.llm.common import NOT_WORD, Scratch, fresh, join_by_weight, text_hash
 
 KEY = ["_did", "_th"]
 #: The selected line, its offset in the window, and all the window's lines.
@@ -76,9 +77,9 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     windows = scratch.write(_windows(lines, min_words), "windows")
 
     place = F.struct("_did", "_th", "start")
-    first = windows.groupBy(*FINGERPRINT).agg(F.min(place).alias("src"), F.count("*").alias("times")).filter("times > 1").drop("times")
+    first = windows.groupBy(*FINGERPRINT).agg(F.min(place).alias("src"), F.count("*").alias("times")).filter("times > 1")
     first = scratch.write(first, "first")
-    later = windows.join(first, FINGERPRINT).filter(F.col("src") < place).groupBy(*KEY, "start").agg(F.max("stop").alias("stop"))
+    later = join_by_weight(windows, first, FINGERPRINT, "times").filter(F.col("src") < place).groupBy(*KEY, "start").agg(F.max("stop").alias("stop"))
     # A line is in a later window if one that begins up to there ends no earlier.
     both = lines.select(*KEY, "ord", "pos", F.lit(None).cast("int").alias("stop"))
     both = both.unionByName(later.select(*KEY, F.col("start").alias("ord"), F.lit(None).cast("int").alias("pos"), "stop"))
