@@ -20,7 +20,7 @@ least 0.8. The join finds every component of links:
 
 Pairs are tested against whole sets, cut from the texts again, so nothing of a set's size is stored for all documents.
 The text of a class is found by its smallest (doc_id, text hash), null safe, so texts under null ids link like any other.
-Classes and families that hold more than 1/10,000 of all rows are joined by broadcast, the others by shuffle.
+Classes, blocks and families that hold more than 1/10,000 of all rows are joined by broadcast, the others by shuffle.
 
 Defined cases: an empty table gives no rows. A null text, or one without words, has no n-grams, size 0, and is its own component. A text of one to
 four words has its whole word sequence as one n-gram. A very long text has all its n-grams in one set. Rows with one id and different texts are judged apart; both get
@@ -340,8 +340,10 @@ class NgramJoin:
     def families(self, classes: DataFrame) -> DataFrame:
         """lead, cls, n: the distinct members of all blocks with the smallest member lead."""
         keyed = classes.select(F.explode("prefix").alias("block"), "cls", "n")
-        blocks = keyed.groupBy("block").agg(F.count("*").alias("c"), F.min("cls").alias("lead")).filter("c > 1").select("block", "lead")
-        return self.scratch.write(keyed.join(blocks, "block").select("lead", "cls", "n").distinct(), "families")
+        blocks = self.scratch.write(keyed.groupBy("block").agg(F.count("*").alias("c"), F.min("cls").alias("lead")).filter("c > 1"), "blocks")
+        out = self.scratch.write(join_by_weight(keyed, blocks, "block", "c").select("lead", "cls", "n").distinct(), "families")
+        self.scratch.drop(blocks)
+        return out
 
     def candidates(self, families: DataFrame, points: DataFrame, comps: DataFrame | None = None, best: int | None = None) -> DataFrame:
         """Pairs (a, b) that the families' R-trees find: of each lead and its members, or, with the components found so
