@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from brindle.llm.common import Scratch, join_by_weight, let, n_words, shuffle_partitions, text_hash
+from brindle.llm.common import Scratch, join_by_weight, let, n_words, repeated, shuffle_partitions, text_hash
 
 WEIGHTS = (3.0, 1.0, 2.0)
 
@@ -49,12 +49,12 @@ def _running(rows: DataFrame, order: list[Column], sums: dict[str, str], scratch
 
 
 def source_targets(sizes: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple = WEIGHTS, scratch: Scratch | None = None) -> DataFrame:
-    """_source, _order, source_size, n, target from (_source, size): one row per source, of any number of sources.
+    """_source, _order, source_size, n, target from (_source, size, _times): one row per source, of any number of sources.
 
     Water-filling: in order of cap * size / weight, a source is capped while its cap is below what the level gives it.
     """
     scratch = scratch or Scratch(sizes.sparkSession, "targets")
-    by = sizes.groupBy("_source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
+    by = sizes.groupBy("_source").agg(F.sum(F.col("size") * F.col("_times")).alias("source_size"), F.sum("_times").alias("n"))
     by = _running(by, [F.col("_source").asc_nulls_last()], {}, scratch).withColumnRenamed("_rank", "_order")
     w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.col("_order") % len(weights) + 1).cast("int"))
     by = scratch.write(by.withColumn("_w", w).withColumn("_cap", cap * F.col("source_size")), "weights")
@@ -167,18 +167,17 @@ def mix(
     spark = docs.sparkSession
     scratch = Scratch(spark, "mixing")
     sizes = docs.select(F.col(id_col).alias("_id"), text_hash(text_col).alias("_th"), F.col(source_col).alias("_source"), n_words(text_col).alias("size"))
-    sizes = scratch.write(sizes, "sizes")
+    # Equal rows are counted, then numbered, so that no number of them meets in one task.
+    sizes = scratch.write(sizes.groupBy(*sizes.columns).agg(F.count("*").alias("_times")), "sizes")
     targets = source_targets(sizes, share, cap, weights, scratch)
     ratio = F.coalesce(F.col("target") / F.nullif("source_size", F.lit(0)), F.lit(0.0))
     targets = scratch.write(targets.select(_key(F.col("_source")).alias("_s"), F.col("_order").alias("part"), "source_size", "n", "target", ratio.alias("ratio")), "targets")
-    a = join_by_weight(sizes.withColumn("_s", _key(F.col("_source"))), targets, "_s", "n")
+    a = join_by_weight(repeated(sizes, "_times", "_twin").withColumn("_s", _key(F.col("_source"))), targets, "_s", "n")
     ratio = F.when(F.col("size") > 0, F.col("ratio")).otherwise(0.0)
     a = a.withColumn("ratio", ratio).withColumn("whole", F.floor("ratio").cast("long")).withColumn("x", F.col("ratio") - F.col("whole"))
     of = ["_id", "_th", "size", "whole", "source_size", "target"]
-    twin = F.row_number().over(Window.partitionBy("_id", "_th").orderBy("part"))
     items = (
         a.filter("x > 0")
-        .withColumn("_twin", twin)
         .select("part", "n", F.xxhash64("_id", "_th", "_twin", F.lit(seed)).alias("key"), "x", F.col("size").cast("double").alias("w"), F.struct(*of).alias("p"))
     )
     rounded = pivotal_rounding(items, seed=seed, scratch=scratch, most=targets.agg(F.max("n")).first()[0])
