@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from brindle.llm.common import Scratch, n_words, shuffle_partitions, text_hash
+from brindle.llm.common import Scratch, n_words, repeated, shuffle_partitions, text_hash
 
 
 def best_bounds(lengths: np.ndarray, counts: np.ndarray, max_buckets: int) -> list[int]:
@@ -79,18 +79,20 @@ def pack(
     spark: SparkSession = docs.sparkSession
     n = n_words(text_col) if length is None else length
     rows = docs.select(F.col(id_col).alias("_id"), text_hash(text_col).alias("_th"), F.coalesce(n, F.lit(0)).cast("long").alias("_n"))
-    rows = Scratch(spark, "packing").write(rows, "lengths")
-    counted = rows.groupBy(F.greatest("_n", F.lit(1)).alias("length")).count().toArrow().sort_by("length")
+    # Equal rows are counted, then numbered, so that no number of them meets in one shard.
+    rows = Scratch(spark, "packing").write(rows.groupBy("_id", "_th", "_n").agg(F.count("*").alias("_times")), "lengths")
+    counted = rows.groupBy(F.greatest("_n", F.lit(1)).alias("length")).agg(F.sum("_times").alias("count")).toArrow().sort_by("length")
     lengths, counts = counted.column("length").to_numpy(), counted.column("count").to_numpy()
     bounds = best_bounds(lengths, counts, max_buckets) or [1]
 
     bound = F.array(*[F.lit(b).cast("long") for b in bounds])
     bucket = F.size(F.filter(bound, lambda b: b < F.col("_n")))
     shards = max(4 * shuffle_partitions(spark), -(-int(counts.sum()) // shard_rows))
-    rows = rows.select("_id", "_th", "_n", bucket.alias("bucket"), F.pmod(F.xxhash64("_id", "_th", F.lit(seed)), F.lit(shards)).cast("int").alias("_shard"))
+    rows = repeated(rows, "_times", "_twin")
+    rows = rows.select("_id", "_th", "_twin", "_n", bucket.alias("bucket"), F.pmod(F.xxhash64("_id", "_th", "_twin", F.lit(seed)), F.lit(shards)).cast("int").alias("_shard"))
     before = Window.partitionBy("bucket").orderBy("_shard").rowsBetween(Window.unboundedPreceding, -1)
     begins = rows.groupBy("bucket", "_shard").count().select("bucket", "_shard", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_from"))
-    place = F.row_number().over(Window.partitionBy("bucket", "_shard").orderBy(F.xxhash64("_id", "_th", F.lit(seed + 1)), "_id", "_n")) - 1
+    place = F.row_number().over(Window.partitionBy("bucket", "_shard").orderBy(F.xxhash64("_id", "_th", "_twin", F.lit(seed + 1)), "_id", "_n")) - 1
     per_batch = F.greatest(F.lit(1), F.floor(F.lit(token_budget) / F.col("padded_to")).cast("long"))
     return (
         rows.withColumn("_place", place)
