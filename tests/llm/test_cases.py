@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from brindle.llm import common, language_id, mixing, ngram_join, packing, quality_classifier, quality_rules, token_files, url_filter, vector_graph
+from brindle.llm import common, language_id, line_dedup, mixing, ngram_join, packing, quality_classifier, quality_rules, token_files, url_filter, vector_graph
 from tests.llm.test_models import brute_components
 from tests.llm.test_native import ODD, WORD, base, docs_of, fill, runs, verdict
 
@@ -309,3 +309,47 @@ def test_letter_runs():
     for _ in range(3000):
         text = "".join(rng.choice("abé²½Ⅷ７1_ .ßı漢ª①") for _ in range(rng.randrange(25)))
         assert language_id.letter_runs(text) == Counter(language_id.LETTERS.findall(text))
+
+
+def test_repeated(spark):
+    """Each row as often as asked, numbered from 1, also where its copies are dealt to several tasks."""
+    rows = common.Scratch(spark, "t").write(spark.createDataFrame([("a", 1), ("b", 7), (None, 25), ("d", 10)], "k string, m bigint"))
+    for chunk in (5, 100):
+        got = common.repeated(rows, "m", "no", chunk)
+        assert got.columns == ["k", "no"]
+        assert Counter((r.k, r.no) for r in got.collect()) == Counter((k, i) for k, m in (("a", 1), ("b", 7), (None, 25), ("d", 10)) for i in range(1, m + 1))
+    assert common.repeated(rows.limit(0), "m", "no").count() == 0
+
+
+def test_many_equal_rows_are_mixed_and_packed(spark):
+    """A third of all rows share id and text, some with other columns: each kind's rows take its even share."""
+    text = "same words here again"
+    rows = [(i, f"text {i} " + "w " * (i % 30), "en", f"s{i % 3}", i) for i in range(300)]
+    rows += [(1000, text, "en", "s1", 5)] * 101 + [(1000, text, "de", "s1", 6)] * 60 + [(None, "null one two", None, None, None)] * 7
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    mixed = mixing.mix(docs).collect()
+    assert len(mixed) == len(rows) and abs(sum(r.taken for r in mixed) - 1.5 * sum(len(r[1].split()) for r in rows)) <= 60
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.copies) for r in mixed) == sorted((r.doc_id is None, r.doc_id or 0, r.copies) for r in mixing.mix(docs.repartition(5)).collect())
+    copies = sum(r.copies for r in mixed if r.doc_id == 1000)
+    out = corpus_pipeline.mix_sources(spark, docs, "")
+    assert out.columns == docs.columns
+    out = [tuple(r) for r in out.collect()]
+    assert set(out) <= set(rows) and len(out) == sum(r.copies for r in mixed)
+    by_lang = Counter(r[2] for r in out if r[0] == 1000)
+    even, more = divmod(copies, 161)
+    assert sum(by_lang.values()) == copies and 101 * even <= by_lang["en"] <= 101 * even + min(more, 101) and 60 * even <= by_lang["de"] <= 60 * even + min(more, 60)
+    packed = packing.pack(docs).collect()
+    assert Counter(r.doc_id for r in packed) == Counter(r[0] for r in rows)
+    assert len({(r.bucket, r.batch, r.place) for r in packed}) == len(rows)
+
+
+def test_hot_fingerprint_is_joined_by_broadcast_and_by_shuffle_alike(spark, monkeypatch):
+    """Fingerprints that many documents share and rare ones, by both ways of the join."""
+    common_run, rare = ["hot " * 30 + str(i) for i in range(3)], ["rare " * 30 + str(i) for i in range(3)]
+    docs = [(i, "\n".join([f"own {i}", *common_run])) for i in range(60)] + [(100, "\n".join(rare)), (101, "\n".join(["x", *rare, "y"]))]
+    frame, seen = spark.createDataFrame(docs, "doc_id bigint, text string"), []
+    plain = common.join_by_weight
+    for share in (1, 20, 10_000):
+        monkeypatch.setattr(line_dedup, "join_by_weight", lambda left, right, key, weight, share=share: plain(left, right, key, weight, share))
+        seen.append({r.doc_id: r.removed_lines for r in line_dedup.dedup_lines(frame).collect()})
+    assert seen[0] == seen[1] == seen[2] == {0: [], 100: [], 101: [1, 2, 3]} | {i: [1, 2, 3] for i in range(1, 60)}
