@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from brindle.llm import line_dedup, mixing, ngram_join, packing, quality_classifier
-from brindle.llm.common import Scratch, fresh, text_hash
+from brindle.llm.common import Scratch, fresh, repeated, text_hash
 
 
 def _columns(docs: DataFrame) -> list[Column]:
@@ -57,26 +57,35 @@ def join_ngrams(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: not at all, once or twice. Equal rows share what they take evenly."""
+    """Each document as often as the mix takes it: not at all, once or twice. Equal rows share what they take evenly.
+
+    Rows that share id and text are counted by their other columns, so that no number of them meets in one task.
+    """
     scratch = Scratch(spark, "mix-stage")
-    did, th, copies, rows, share, n = fresh(docs, "_id", "_th", "_copies", "_rows", "_share", "_n")
+    did, th, copies, rows, other, row, n = fresh(docs, "_id", "_th", "_copies", "_rows", "_other", "_row", "_n")
     taken = mixing.mix(docs.select("doc_id", "text", "source")).groupBy("doc_id", "text_key").agg(F.sum("copies").alias(copies), F.count("*").alias(rows))
     taken = scratch.write(taken.filter(F.col(copies) > 0).select(F.col("doc_id").alias(did), F.col("text_key").alias(th), copies, rows), "taken")
 
     def copied(times: DataFrame) -> DataFrame:
         return docs.join(times.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col(did)) & (text_hash("text") == F.col(th)))
 
-    def as_often(of: DataFrame, times: Column) -> DataFrame:
-        return of.withColumn(n, F.explode(F.sequence(F.lit(1), times.cast("int")))).select(*_columns(docs))
-
-    once = as_often(copied(taken.filter(F.col(rows) == 1)), F.col(copies))
-    repeated = taken.filter(F.col(rows) > 1)
-    if repeated.isEmpty():
+    once = copied(taken.filter(F.col(rows) == 1))
+    once = once.withColumn(n, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int")))).select(*_columns(docs))
+    several = taken.filter(F.col(rows) > 1)
+    if several.isEmpty():
         return once
-    nth = F.row_number().over(Window.partitionBy(did, th).orderBy(copies))
-    each = copied(repeated).withColumn(share, F.floor(F.col(copies) / F.col(rows)))
-    each = each.withColumn(share, F.col(share) + F.when(nth <= F.col(copies) - F.col(share) * F.col(rows), 1).otherwise(0))
-    return once.unionByName(as_often(each.filter(F.col(share) > 0), F.col(share)))
+    of = F.xxhash64(F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c.lower() != "text"], F.lit(0).alias(n))))
+    kinds = copied(several).groupBy(did, th, copies, rows, of.alias(other)).agg(F.count("*").alias(n), F.first(F.struct(*_columns(docs))).alias(row))
+    kinds = scratch.write(kinds, "kinds")
+    # The rows of one id and text are numbered kind after kind; the first of them take what doesn't divide evenly.
+    upto = Window.partitionBy(did, th).orderBy(other).rowsBetween(Window.unboundedPreceding, -1)
+    each = kinds.drop(row).withColumn("before", F.coalesce(F.sum(n).over(upto), F.lit(0))).withColumn("even", F.floor(F.col(copies) / F.col(rows)))
+    more = F.greatest(F.lit(0), F.least(F.col(n), F.col(copies) - F.col("even") * F.col(rows) - F.col("before")))
+    each = each.select(did, th, other, (F.col("even") * F.col(n) + more).alias(copies)).filter(F.col(copies) > 0)
+    each = each.select(F.col(did).alias("i"), F.col(th).alias("t"), F.col(other).alias("o"), F.col(copies).alias("c"))
+    each = kinds.select(did, th, other, row).join(each, F.col(did).eqNullSafe(F.col("i")) & (F.col(th) == F.col("t")) & (F.col(other) == F.col("o")))
+    each = repeated(scratch.write(each.select(row, F.col("c").alias(copies)), "shares"), copies, n)
+    return once.unionByName(each.select(*[F.col(f"{row}.`{c}`") for c in docs.columns]))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
