@@ -1,0 +1,69 @@
+"""Fill-in-the-middle, substring dedup and phrases against plain Python."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+
+import numpy as np
+import pytest
+
+from brindle.llm import fill_middle
+
+DOCS = "doc_id bigint, text string"
+
+
+def _fim(doc_id, text, unit=r"[^\n]*\n|[^\n]+", rate=100, spm=50, seed=7):
+    text = text or ""
+    units = re.findall(unit, text)
+    s = hashlib.sha256(f"{seed}:{'' if doc_id is None else doc_id}".encode()).hexdigest()
+    h = [int(s[8 * k : 8 * k + 8], 16) for k in range(4)]
+    a, b = sorted((h[0] % (len(units) + 1), h[1] % (len(units) + 1)))
+    p, m, x = "".join(units[:a]), "".join(units[a:b]), "".join(units[b:])
+    if text == "" or re.search("<[PSM]>", text) or h[2] % 100 >= rate:
+        return doc_id, len(units), "plain", None, None, text
+    if h[3] % 100 < spm:
+        return doc_id, len(units), "spm", len(p), len(m), f"<S>{x}<P>{p}<M>{m}"
+    return doc_id, len(units), "psm", len(p), len(m), f"<P>{p}<S>{x}<M>{m}"
+
+
+def _odd_texts():
+    rnd = random.Random(5)
+    texts = [None, "", "\n", "\n\n\n", "a", "a\n", "no end\nof line", "é\n中\n\U0001f600\n", "<P> held", "a<\nS>b\n<", "<\n<\n<", " \t\n x", "x" * 300_000 + "\n" + "y" * 200_000]
+    return texts + ["".join(rnd.choice("ab é\n中<>") for _ in range(rnd.randrange(80))) for _ in range(300)]
+
+
+UNITS = {"line": r"[^\n]*\n|[^\n]+", "char": r"(?s).", "word": r"[^\x20\x09-\x0D]*[\x20\x09-\x0D]+|[^\x20\x09-\x0D]+"}
+
+
+@pytest.mark.parametrize("unit", sorted(UNITS))
+def test_fill_middle_against_plain_python(spark, unit):
+    rows = [(None if k % 50 == 9 else k // 2, t) for k, t in enumerate(_odd_texts())]
+    made = fill_middle.fill_middle(spark.createDataFrame(rows, DOCS), unit=unit, rate=80, spm=30).collect()
+    expected = [_fim(*r, unit=UNITS[unit], rate=80, spm=30) for r in rows]
+    assert sorted((tuple(r) for r in made), key=str) == sorted(expected, key=str)
+
+
+def test_fill_middle_restores_and_carries_columns(spark):
+    docs = spark.createDataFrame([(k, t, 1.5, "x") for k, t in enumerate(_odd_texts())], f"{DOCS}, `a.b` double, Form string")
+    docs = docs.unionByName(docs)
+    made = fill_middle.fill_middle(docs)
+    assert made.columns == ["doc_id", "text", "a.b", *fill_middle.RESULTS]
+    back = made.select("text", fill_middle.restored(made.fim_text, made.form).alias("t"), "`a.b`").collect()
+    assert len(back) == docs.count() and all(r.t == (r.text or "") and r[2] == 1.5 for r in back)
+    assert fill_middle.fill_middle(docs.limit(0)).collect() == []
+
+
+def test_wavelet_matrix():
+    rnd = np.random.default_rng(3)
+    for size in (0, 1, 63, 64, 65, 1000):
+        v = rnd.integers(0, 6, size).astype(np.uint8)
+        m, at = fill_middle.WaveletMatrix(v, 3), np.arange(size + 1)
+        for c in range(6):
+            count = np.concatenate([[0], np.cumsum(v == c)])
+            assert (m.rank(c, at) == count).all()
+        both = np.concatenate([[0], np.cumsum((v == 1) | (v == 4))])
+        k = np.arange(both[-1] + 2)
+        found = m.place((1, 4), k, np.zeros(len(k), np.int64), np.full(len(k), size))
+        assert found.tolist() == [int(np.argmax(both >= x)) if both[-1] >= x else size for x in k]
