@@ -24,7 +24,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brindle.llm.common import fresh
 from brindle.llm.texts import WHITE, joined, slices
 
 PREFIX, SUFFIX, MIDDLE = "<P>", "<S>", "<M>"
@@ -113,14 +112,14 @@ def cuts(data: np.ndarray, at: np.ndarray, h1: np.ndarray, h2: np.ndarray, unit:
     return n, first, second, chars[1] - chars[0], chars[2] - chars[1]
 
 
-def _rearranged(batches: Iterator[pa.RecordBatch], text_col: str, given: list[str], unit: str, keep: list[str]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, text_col):
-        data, at = joined(batch.column(text_col))
-        h1, h2 = (batch.column(c).to_numpy(zero_copy_only=False) for c in given[:2])
+def _rearranged(batches: Iterator[pa.RecordBatch], unit: str) -> Iterator[pa.RecordBatch]:
+    """Columns h1, h2, form and text, then those that are kept."""
+    for batch in slices(batches, "text"):
+        data, at = joined(batch.column("text"))
+        h1, h2 = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("h1", "h2"))
         n, first, second, p_chars, m_chars = cuts(data, at, h1, h2, unit)
-        flat, texts, forms = data.tobytes(), [], []
-        places = zip(*(x.tolist() for x in (at[:-1], first, second, at[1:])), batch.column(given[2]).to_pylist(), strict=True)
-        for begin, one, two, stop, form in places:
+        flat, texts, forms = data.tobytes(), [], batch.column("form").to_pylist()
+        for begin, one, two, stop, form in zip(*(x.tolist() for x in (at[:-1], first, second, at[1:])), forms, strict=True):
             prefix, middle, suffix = flat[begin:one], flat[one:two], flat[two:stop]
             if form == "psm":
                 texts.append(b"<P>" + prefix + b"<S>" + suffix + b"<M>" + middle)
@@ -128,10 +127,10 @@ def _rearranged(batches: Iterator[pa.RecordBatch], text_col: str, given: list[st
                 texts.append(b"<S>" + suffix + b"<P>" + prefix + b"<M>" + middle)
             else:
                 texts.append(flat[begin:stop])
-            forms.append(form)
         plain = np.array([f == "plain" for f in forms], bool)
-        made = [pa.array(n, pa.int64()), pa.array(forms, pa.string()), pa.array(p_chars, pa.int64(), mask=plain), pa.array(m_chars, pa.int64(), mask=plain)]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *made, pa.array(texts, pa.binary()).view(pa.string())], names=[*keep, *RESULTS])
+        kept = {c: batch.column(c) for c in batch.schema.names[4:]}
+        made = [pa.array(n, pa.int64()), batch.column("form"), pa.array(p_chars, pa.int64(), mask=plain), pa.array(m_chars, pa.int64(), mask=plain), pa.array(texts, pa.binary()).view(pa.string())]
+        yield pa.RecordBatch.from_arrays([*kept.values(), *made], names=[*kept, *RESULTS])
 
 
 def fill_middle(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: str = "line", rate: int = 100, spm: int = 50, seed: int = 7) -> DataFrame:
@@ -140,15 +139,16 @@ def fill_middle(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rate: of 100 texts, how many are cut; spm: of 100 cut ones, how many have the suffix first. unit: char, word or line.
     """
     keep = [c for c in docs.columns if c.lower() not in RESULTS]
-    given = fresh(docs, "_h1", "_h2", "_form", *RESULTS)[:3]
     digest = F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))), 256)
     h1, h2, h3, h4 = (F.conv(F.substring(digest, 8 * k + 1, 8), 16, 10).cast("long") for k in range(4))
     text = F.coalesce(F.col(text_col), F.lit(""))
     plain = (text == "") | text.rlike(MARKERS) | (h3 % 100 >= rate)
     form = F.when(plain, "plain").when(h4 % 100 < spm, "spm").otherwise("psm")
-    rows = docs.select(*[F.col(f"`{c}`") for c in docs.columns], h1.alias(given[0]), h2.alias(given[1]), form.alias(given[2]))
-    schema = T.StructType([*(docs.schema[c] for c in keep), *(T.StructField(k, t) for k, t in RESULTS.items())])
-    return rows.mapInArrow(lambda b: _rearranged(b, text_col, given, unit, keep), schema)
+    # Numbers stand for the names of kept columns on the way through Python, so any name will do.
+    kept = [F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(keep)]
+    schema = T.StructType([*(T.StructField(f"c{k}", docs.schema[c].dataType) for k, c in enumerate(keep)), *(T.StructField(k, t) for k, t in RESULTS.items())])
+    rows = docs.select(h1.alias("h1"), h2.alias("h2"), form.alias("form"), text.alias("text"), *kept)
+    return rows.mapInArrow(lambda b: _rearranged(b, unit), schema).toDF(*keep, *RESULTS)
 
 
 def restored(text: Column, form: Column) -> Column:
