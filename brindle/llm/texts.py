@@ -34,16 +34,22 @@ def joined(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[at[0] : at[-1]], at - at[0]
 
 
-def runs(inside: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Begin and end of every run of true bytes, none across texts, and the number of the first run of each text (one
-    more entry for the end)."""
-    edge = np.zeros(len(inside) + 1, bool)
-    edge[at] = True
-    edge = edge[:-1]
-    before = np.concatenate([[False], inside[:-1]]) if len(inside) else inside
-    begin = np.flatnonzero(inside & (~before | edge))
-    last = np.concatenate([~inside[1:] | edge[1:], [True]]) if len(inside) else inside
-    return begin, np.flatnonzero(inside & last) + 1, np.searchsorted(begin, at)
+def apart(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """joined() with one space behind every text, so that no word stands next to another text's."""
+    return np.insert(data, at[1:], 0x20), at + np.arange(len(at))
+
+
+def spaced(data: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The runs of bytes inside words, each with one space behind it: all bytes; begin and end of every word there; and
+    its begin in data. The last byte is not inside."""
+    after = np.zeros(len(inside), bool)
+    after[1:] = inside[:-1]
+    kept = inside | after
+    flat = np.where(inside, data, np.uint8(0x20))[kept]
+    end = np.flatnonzero(flat == 0x20) if len(flat) else np.zeros(0, np.int64)
+    begin = np.concatenate([[0], end[:-1] + 1]) if len(end) else end
+    source = np.flatnonzero(inside & ~after)
+    return flat, begin, end, source
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
