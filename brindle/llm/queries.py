@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from brindle.llm import fill_middle, language_id, line_dedup, mixing, ngram_join, packing, quality_classifier, quality_rules, substring_dedup, token_files, url_filter, vector_graph
+from brindle.llm import fill_middle, language_id, line_dedup, mixing, ngram_join, packing, phrases, quality_classifier, quality_rules, substring_dedup, token_files, url_filter, vector_graph
 
 OPERATORS = {
     "op1_quality_rules": (quality_rules.op1_quality_rules, None),
@@ -15,6 +15,7 @@ OPERATORS = {
     "op7_ngram_join": (ngram_join.op7_ngram_join, ngram_join.ORACLE),
     "op6_vector_graph": (vector_graph.op6_vector_graph, None),
     "op3_url_filter": (url_filter.op3_url_filter, url_filter.ORACLE),
+    "op11_phrases": (phrases.op11_phrases, phrases.ORACLE),
     "op12_substring_dedup": (substring_dedup.op12_substring_dedup, substring_dedup.ORACLE),
     "op13_fill_middle": (fill_middle.op13_fill_middle, fill_middle.ORACLE),
 }
