@@ -8,10 +8,15 @@ Scalars: equals, not, in, notIn, lt, lte, gt, gte, contains, startsWith, endsWit
 operators and equality). Arrays: equals, has, hasEvery, hasSome, isEmpty. JSON text: path (list of keys) with equals, not,
 string_contains, string_starts_with, string_ends_with, array_contains, array_starts_with, array_ends_with, lt, lte, gt,
 gte. A value may be a Field, to compare with another column of the row.
+
+JSON values are typed: the number 1 is neither the text "1" nor true. There are three kinds of null at a path: nothing
+there (DB_NULL), a JSON null (JSON_NULL), either (ANY_NULL). array_contains takes one value or a list, all of which must be
+in the array; order conditions compare numbers with numbers and texts with texts.
 """
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 from functools import reduce
 from operator import and_, or_
@@ -93,34 +98,85 @@ def _list_or_equal(c: Column, v: Any) -> Column:
 
 
 def json_at(c: Column, path: tuple = ()) -> Column:
-    """The value at a path as text (strings without quotes), null where there is none or it is a JSON null."""
-    return F.get_json_object(c, "$" + "".join(f"[{k}]" if isinstance(k, int) else f"['{k}']" for k in path))
+    """The typed value (VARIANT) at a path of a JSON text: SQL null where the text, or the path in it, is missing or the
+    text is malformed; a JSON null is a value."""
+    steps = []
+    for k in path:
+        if not isinstance(k, int) and "'" in k and '"' in k:
+            raise ValueError(f"a key with both kinds of quotes: {k!r}")
+        steps.append(f"[{k}]" if isinstance(k, int) else f'["{k}"]' if "'" in k else f"['{k}']")
+    v = F.try_parse_json(c)
+    return F.try_variant_get(v, "$" + "".join(steps), "variant") if path else v
+
+
+def _kind(v: Column) -> Column:
+    """BIGINT, DECIMAL, DOUBLE, STRING, BOOLEAN, VOID (a JSON null), ARRAY or OBJECT."""
+    return F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0)
+
+
+def _got(v: Column, kind: str) -> Column:
+    return F.try_variant_get(v, "$", kind)
+
+
+def json_equals(v: Column, value: Any, ops: dict) -> Column:
+    """Equality of JSON values: of one kind, numbers by size, objects whatever the order of their keys."""
+    if value is None:
+        return F.is_variant_null(v)
+    if isinstance(value, bool):
+        return (_kind(v) == "BOOLEAN") & (_got(v, "boolean") == value)
+    if isinstance(value, int):
+        return F.when(_kind(v) == "BIGINT", _got(v, "bigint") == value).otherwise(_kind(v).isin("DECIMAL", "DOUBLE") & (_got(v, "double") == float(value)))
+    if isinstance(value, float):
+        return _kind(v).isin("BIGINT", "DECIMAL", "DOUBLE") & (_got(v, "double") == value)
+    if isinstance(value, str):
+        return (_kind(v) == "STRING") & _one(_got(v, "string"), "equals", value, ops)
+    other = json_at(F.col(value.name)) if isinstance(value, Field) else F.parse_json(F.lit(json.dumps(value)))
+    numbers = _kind(v).isin("BIGINT", "DECIMAL", "DOUBLE") & _kind(other).isin("BIGINT", "DECIMAL", "DOUBLE")
+    return F.when(other.isNotNull(), F.when(numbers, _got(v, "double") == _got(other, "double")).otherwise(F.to_json(v) == F.to_json(other)))
+
 
+def json_null(c: Column, kind: str, path: tuple = ()) -> Column:
+    """Nothing there (no row value or no such path), a JSON null there, or either."""
+    v = json_at(c, path)
+    missing, is_json_null = (v if path else c).isNull(), F.coalesce(F.is_variant_null(v), F.lit(False))
+    return {DB_NULL: missing, JSON_NULL: is_json_null, ANY_NULL: missing | is_json_null}[kind]
 
-def json_null(c: Column, kind: str) -> Column:
-    is_json_null = F.trim(c) == "null"
-    return {DB_NULL: c.isNull(), JSON_NULL: is_json_null, ANY_NULL: c.isNull() | is_json_null}[kind]
+
+def _holds(items: Column, value: Any, ops: dict) -> Column:
+    return F.exists(items, lambda x: json_equals(x, value, ops))
+
+
+def _json_one(v: Column, op: str, value: Any, ops: dict) -> Column:
+    items = F.when(_kind(v) == "ARRAY", _got(v, "array<variant>"))
+    if op == "equals":
+        return json_equals(v, value, ops)
+    if op == "not":
+        return ~json_equals(v, value, ops)
+    if op.startswith("string_"):
+        return (_kind(v) == "STRING") & _one(_got(v, "string"), {"contains": "contains", "starts_with": "startsWith", "ends_with": "endsWith"}[op[7:]], value, ops)
+    if op == "array_contains":
+        wanted = value if isinstance(value, list) else [value]
+        return reduce(and_, [_holds(items, w, ops) for w in wanted], items.isNotNull())
+    if op in ("array_starts_with", "array_ends_with"):
+        return json_equals(F.try_element_at(items, F.lit(1 if op == "array_starts_with" else -1)), value, ops)
+    if op in ("lt", "lte", "gt", "gte"):
+        if isinstance(value, str):
+            return (_kind(v) == "STRING") & _one(_got(v, "string"), op, value, ops)
+        return _kind(v).isin("BIGINT", "DECIMAL", "DOUBLE") & _one(_got(v, "double"), op, float(value), ops)
+    raise ValueError(f"unknown operator {op!r}")
 
 
 def json_condition(c: Column, spec: Json) -> Column:
-    at = json_at(c, spec.path)
-    items = F.from_json(at, "array<string>")
-    out = []
-    for op, v in spec.ops.items():
-        if op == "mode" or v is UNSET:
+    """Unknown where there is no value at the path (but for the kinds of null); false where the value is of another kind."""
+    v, out = json_at(c, spec.path), []
+    for op, value in spec.ops.items():
+        if op == "mode" or value is UNSET:
             continue
-        if v in (DB_NULL, JSON_NULL, ANY_NULL) and op in ("equals", "not"):
-            found = json_null(c, v)
+        if isinstance(value, str) and value in (DB_NULL, JSON_NULL, ANY_NULL) and op in ("equals", "not"):
+            found = json_null(c, value, spec.path)
             out.append(found if op == "equals" else ~found)
-        elif op.startswith("string_"):
-            out.append(_one(at, {"contains": "contains", "starts_with": "startsWith", "ends_with": "endsWith"}[op[7:]], v, spec.ops))
-        elif op == "array_contains":
-            out.append(F.array_contains(items, str(v)))
-        elif op in ("array_starts_with", "array_ends_with"):
-            out.append(F.try_element_at(items, F.lit(1 if op == "array_starts_with" else -1)) == str(v))
         else:
-            typed = at if isinstance(v, str) else at.try_cast("double")
-            out.append(_one(typed, op, v, spec.ops))
+            out.append(F.when(v.isNotNull(), F.coalesce(_json_one(v, op, value, spec.ops), F.lit(False))))
     return reduce(and_, out, F.lit(True))
 
 

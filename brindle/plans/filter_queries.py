@@ -58,9 +58,26 @@ J = """with j as (select event_id, case when event_id % 7 = 0 then null when eve
 select event_id from j where """
 
 
-def _json(*specs: Json):
+def kinds_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events with a JSON column of values of many kinds: numbers and the same as texts, booleans, nulls and missing keys."""
+    e, i = table(spark, sf_dir, "events"), F.col("event_id")
+    k = F.get_json_object("props", "$.k")
+    part = F.element_at(F.array(*[F.lit(x) for x in KINDS]), (i % len(KINDS) + 1).cast("int"))
+    doc = F.when(i % 11 == 0, F.lit(None).cast("string")).when(i % 11 == 1, "null").otherwise(F.concat(F.lit('{"k": '), k, F.lit(', "s": "'), k, F.lit('", "o": {'), part, F.lit('}, "l": ['), k, F.lit(', "'), k, F.lit('", '), F.when(i % 3 == 0, "true").otherwise('"x", null'), F.lit("]}")))
+    return e.select("event_id", doc.alias("j"))
+
+
+KINDS = ['"f": true', '"f": false', '"f": "true"', '"f": null', "", '"f": 1', '"f": 1.0', '"f": "1"', '"f": [1, "a"]', '"f": {"b": 1, "a": 2}']
+V = f"""with v as (select event_id, props->>'$.k' as k, list_extract(['{"', '".join(KINDS)}'], cast(event_id % {len(KINDS)} + 1 as int)) as p from events),
+j as (select event_id, case when event_id % 11 = 0 then null when event_id % 11 = 1 then 'null' else
+  '{{"k": ' || k || ', "s": "' || k || '", "o": {{' || p || '}}, "l": [' || k || ', "' || k || '", ' || case when event_id % 3 = 0 then 'true' else '"x", null' end || ']}}' end::json as j from v),
+x as (select event_id, j, j->'$.o.f' as f, j->'$.l' as l, json_type(j, '$.o.f') as t from j)
+select event_id from x where """
+
+
+def _json(*specs: Json, base=json_base):
     def run(spark, d):
-        out = json_base(spark, d)
+        out = base(spark, d)
         for s in specs:
             out = out.filter(where({"j": s}))
         return out.select("event_id")
@@ -106,6 +123,23 @@ QUERIES = {
     "F18_json_array_contains": (_json(Json({"array_contains": "x1"}, ("l",))), J + "list_contains(cast(j->'$.l' as varchar[]), 'x1')"),
     "F19_json_array_ends": (_json(Json({"array_starts_with": "view"}, ("l",)), Json({"array_ends_with": "x2"}, ("l",))), J + "j->>'$.l[0]' = 'view' and j->>'$.l[1]' = 'x2'"),
     "F20_json_range": (_json(Json({"gte": 10, "lt": 40}, ("k",))), J + "cast(j->>'$.k' as double) >= 10 and cast(j->>'$.k' as double) < 40"),
+    "F16_json_boolean": (_json(Json({"equals": True}, ("o", "f")), base=kinds_base), V + "f = 'true'"),
+    "F16_json_not_boolean": (_json(Json({"not": True}, ("o", "f")), base=kinds_base), V + "f is not null and f <> 'true'"),
+    "F16_json_number": (_json(Json({"equals": 1}, ("o", "f")), base=kinds_base), V + "t in ('UBIGINT', 'BIGINT', 'DOUBLE') and cast(f as double) = 1"),
+    "F16_json_number_as_text": (_json(Json({"equals": "1"}, ("o", "f")), base=kinds_base), V + "t = 'VARCHAR' and f = '\"1\"'"),
+    "F16_json_object": (_json(Json({"equals": {"a": 2, "b": 1}}, ("o", "f")), base=kinds_base), V + "t = 'OBJECT' and cast(f->'$.a' as int) = 2 and cast(f->'$.b' as int) = 1"),
+    "F17_json_string_kind": (_json(Json({"string_contains": "1"}, ("o", "f")), base=kinds_base), V + "t = 'VARCHAR' and contains(f->>'$', '1')"),
+    "F18_json_array_number": (_json(Json({"array_contains": 7}, ("l",)), base=kinds_base), V + "cast(l->'$[0]' as int) = 7"),
+    "F18_json_array_text": (_json(Json({"array_contains": "7"}, ("l",)), base=kinds_base), V + "l->>'$[1]' = '7'"),
+    "F18_json_array_several": (_json(Json({"array_contains": ["x", None]}, ("l",)), Json({"array_contains": 7}, ("l",)), base=kinds_base), V + "l->>'$[2]' = 'x' and cast(l->'$[0]' as int) = 7"),
+    "F18_json_array_boolean": (_json(Json({"array_contains": True}, ("l",)), base=kinds_base), V + "(l->'$[2]') = 'true'"),
+    "F19_json_array_ends_null": (_json(Json({"array_ends_with": None}, ("l",)), base=kinds_base), V + "json_type(l, '$[3]') = 'NULL'"),
+    "F20_json_text_range": (_json(Json({"gte": "10", "lt": "40"}, ("s",)), Json({"gte": 10}, ("k",)), base=kinds_base), V + "j->>'$.s' >= '10' and j->>'$.s' < '40' and cast(j->'$.k' as int) >= 10"),
+    "F20_json_number_range_of_texts": (_json(Json({"gte": 0}, ("o", "f")), base=kinds_base), V + "t in ('UBIGINT', 'BIGINT', 'DOUBLE') and cast(f as double) >= 0"),
+    "F21_json_null_at_path_db": (_json(Json({"equals": DB_NULL}, ("o", "f")), base=kinds_base), V + "t is null"),
+    "F21_json_null_at_path_json": (_json(Json({"equals": JSON_NULL}, ("o", "f")), base=kinds_base), V + "t = 'NULL'"),
+    "F21_json_null_at_path_any": (_json(Json({"equals": ANY_NULL}, ("o", "f")), base=kinds_base), V + "coalesce(t, 'NULL') = 'NULL'"),
+    "F21_json_not_null_at_path": (_json(Json({"not": ANY_NULL}, ("o", "f")), base=kinds_base), V + "t <> 'NULL'"),
     "F21_json_null_db": (_json(Json({"equals": DB_NULL})), J + "j is null"),
     "F21_json_null_json": (_json(Json({"equals": JSON_NULL})), J + "j = 'null'"),
     "F21_json_null_any": (_json(Json({"equals": ANY_NULL})), J + "j is null or j = 'null'"),

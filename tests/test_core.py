@@ -61,6 +61,29 @@ def test_lists_and_json(spark):
     assert ids(df.filter(where({"j": Json({"array_starts_with": 1, "array_ends_with": 2}, ("l",))}))) == [3]
 
 
+def test_json_kinds(spark):
+    values = ["1", "1.0", '"1"', "true", '"true"', "null", "[1]", '["1"]', "[1, 2]", '{"b": 1, "c": 2}', "[]", "15"]
+    rows = [(k, '{"a": ' + v + "}") for k, v in enumerate(values)] + [(20, "{}"), (21, None), (22, "{bad"), (23, "null")]
+    df = spark.createDataFrame(rows, "id int, j string").withColumn("other", F.lit('{"c": 2, "b": 1}'))
+
+    def found(*path, **ops):
+        return ids(df.filter(where({"j": Json(ops, path)})))
+
+    assert found("a", equals=1) == [0, 1] and found("a", equals=1.0) == [0, 1] and found("a", equals="1") == [2]
+    assert found("a", equals=True) == [3] and found("a", equals="true") == [4] and found("a", equals=None) == [5]
+    assert found("a", equals=[1]) == [6] and found("a", equals={"c": 2, "b": 1}) == [9] and found("a", equals=Field("other")) == [9]
+    assert found("a", equals=DB_NULL) == [20, 21, 22, 23] and found("a", equals=JSON_NULL) == [5] and found("a", equals=ANY_NULL) == [5, 20, 21, 22, 23]
+    assert found(equals=DB_NULL) == [21] and found(equals=JSON_NULL) == [23] and found(equals=ANY_NULL) == [21, 23]
+    assert found("a", **{"not": 1}) == [2, 3, 4, 5, 6, 7, 8, 9, 10, 11] and found("a", **{"not": ANY_NULL}) == [0, 1, 2, 3, 4, 6, 7, 8, 9, 10, 11]
+    assert found("a", array_contains=1) == [6, 8] and found("a", array_contains="1") == [7] and found("a", array_contains=[1, 2]) == [8]
+    assert found("a", array_contains=[]) == [6, 7, 8, 10] and found("a", array_starts_with=1) == [6, 8] and found("a", array_ends_with=2) == [8]
+    assert found("a", string_contains="1") == [2] and found("a", string_starts_with="TR", mode="insensitive") == [4]
+    assert found("a", gte=1) == [0, 1, 11] and found("a", gte="1") == [2, 4] and found("a", lt=10) == [0, 1]
+    assert found("a", 1, equals=2) == [8] and found("it's", equals=DB_NULL) == [k for k, _ in rows]
+    with pytest.raises(ValueError):
+        found("a\"'", equals=1)
+
+
 def test_unique_needs_a_key(spark):
     with pytest.raises(ValueError):
         unique_where({"b": 1}, [("a",)])
