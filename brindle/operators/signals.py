@@ -70,14 +70,6 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a.cast("array<double>"), b.cast("array<double>"), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def near_matches(new: DataFrame, old: DataFrame, key: str, vector: str, block: str, least: float) -> DataFrame:
-    """Pairs (new, old) of one block whose unit vectors have at least this dot product. The block is an equi-join key
-    (a topic or cluster), so only its members meet."""
-    a = new.select(F.col(key).alias("new_id"), F.col(vector).alias("_a"), block)
-    b = old.select(F.col(key).alias("old_id"), F.col(vector).alias("_b"), F.col(block).alias("_block"))
-    return a.join(b, F.col(block) == F.col("_block")).withColumn("similarity", dot(F.col("_a"), F.col("_b"))).filter(F.col("similarity") >= least).select("new_id", "old_id", "similarity")
-
-
 def near_in_window(new: DataFrame, old: DataFrame, key: str, vector: str, at: str, block: str, window_s: int, least: float) -> DataFrame:
     """Pairs (new, old) of one block, at most ``window_s`` seconds apart, old first, whose unit vectors have at least this
     dot product. An equi-join on the block and a piece of time of the window's length: an old row is in its own piece and

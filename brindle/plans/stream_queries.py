@@ -88,11 +88,6 @@ def scored(s, d):
     return S.score(c)
 
 
-def near(s, d):
-    e = table(s, d, "embeddings")
-    return S.near_matches(e.filter("vec_id % 2 = 0"), e.filter("vec_id % 2 = 1"), "vec_id", "embedding", "label", 0.4).select("new_id", "old_id")
-
-
 def clusters(s, d):
     return S.kmeans(table(s, d, "embeddings"), "embedding").select("vec_id", "cluster")
 
@@ -126,6 +121,5 @@ QUERIES = {
     "L12_top_clusters": (lambda s, d: scored(s, d).orderBy(F.round("final", 9).desc(), "source").limit(3).select("source"), "with " + PRE + ", c as (select source, least(1.0::double, avg(intensity) * 20) as problem, least(1.0::double, count(*)::double / 50) as market, count(distinct lang)::double / 4 as timing from pre group by 1) select source from c order by round(0.5 * problem + 0.3 * market + 0.2 * timing, 9) desc, source limit 3"),
     "E18_report": (lambda s, d: S.report(scored(s, d), "source"), "with " + PRE + """, c as (select source, least(1.0::double, avg(intensity) * 20) as problem, least(1.0::double, count(*)::double / 50) as market, count(*) as frequency, list_sort(list(distinct lang)) as affected from pre group by 1) select source, to_json({'frequency': frequency, 'affected': affected, 'sources': [source], 'quadrant': case when problem >= 0.5 then 'strong' else 'weak' end || '/' || case when market >= 0.5 then 'large' else 'small' end})::varchar as report from c"""),
     "E19_decisions": (lambda s, d: S.decide(table(s, d, "part").select(F.col("p_partkey").alias("idea_id"), F.lit("PENDING").alias("status")), table(s, d, "part").filter("p_size < 30").select(F.col("p_partkey").alias("idea_id"), F.element_at(F.array(*[F.lit(x) for x in ("approve", "hold", "discard", "rerun")]), F.col("p_size") % 4 + 1).alias("action"))), "select p_partkey as idea_id, case when p_size >= 30 then 'PENDING' when p_size % 4 = 0 then 'APPROVED' when p_size % 4 = 1 then 'HELD' when p_size % 4 = 2 then 'DISCARDED' else 'PENDING' end as status, case when p_size < 30 and p_size % 4 = 3 then 5 end as rerun_from, p_size < 30 and p_size % 4 = 0 as in_moderation from part"),
-    "J16_near_match": (near, "select a.vec_id as new_id, b.vec_id as old_id from embeddings a join embeddings b on a.label = b.label and a.vec_id % 2 = 0 and b.vec_id % 2 = 1 where list_dot_product(a.embedding::double[], b.embedding::double[]) >= 0.4"),
     "E15_kmeans": (clusters, None),
 }
