@@ -1,11 +1,12 @@
-"""Clusters of signals by their vectors, near matches by bands, rounds of gathering, and what clusters are about."""
+"""Clusters of signals by their vectors, near matches by bands, rounds of gathering, what clusters are about, learned classes."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.operators import similarity as N
+from brindle.operators import words as B
 from brindle.plans.mining_queries import topics
 from brindle.sources.tables import table
 
@@ -34,6 +35,46 @@ def near_in_days(s: SparkSession, d: str) -> DataFrame:
     return N.near_pairs(t, t, "vec_id", "embedding", LEAST, at="at", window_s=DAY_S).select("new_id", "old_id")
 
 
+def held_out() -> Column:
+    """A quarter of the conversations, by the first digit of a hash of the id."""
+    return F.substring(F.md5(F.col("conv_id").cast("string").cast("binary")), 1, 1).isin("2", "6", "a", "e")
+
+
+def authors(s: SparkSession, d: str) -> DataFrame:
+    """Who wrote each turn, learned from the roles of conversations that aren't held out."""
+    c = table(s, d, "conversations")
+    model = B.naive_bayes(c.filter(~held_out()), "role", "text")
+    out = B.classify(c, ["conv_id", "turn"], "text", model)
+    return out.select("conv_id", "turn", F.col("label").alias("author"), F.round("score", 4).alias("score"))
+
+
+def author_accuracy(s: SparkSession, d: str) -> DataFrame:
+    """Turns and rightly named ones, held out or not."""
+    c = table(s, d, "conversations").select("conv_id", "turn", "role", held_out().alias("held_out"))
+    right = F.count(F.when(F.col("author") == F.col("role"), 1))
+    return authors(s, d).join(c, ["conv_id", "turn"]).groupBy("held_out").agg(F.count("*").alias("n"), right.alias("n_right"))
+
+
+def signals_of(s: SparkSession, d: str) -> DataFrame:
+    """Documents with the cluster of their vector; those of clusters of one are left out."""
+    c = clustered(s, d).select(F.col("vec_id").alias("doc_id"), "cluster")
+    large = c.groupBy("cluster").agg(F.count("*").alias("frequency")).filter("frequency > 1")
+    return table(s, d, "documents").join(c, "doc_id").join(large, "cluster")
+
+
+def key_terms(s: SparkSession, d: str) -> DataFrame:
+    return B.keyness(signals_of(s, d), "cluster", "text", top=5).withColumn("rank", F.col("rank").cast("int"))
+
+
+def cluster_report(s: SparkSession, d: str) -> DataFrame:
+    """Per cluster of vectors: evidence, who is affected, and its terms, as one JSON text."""
+    x = signals_of(s, d)
+    rolled = x.groupBy("cluster").agg(F.count("*").alias("frequency"), F.array_sort(F.collect_set("lang")).alias("affected"), F.array_sort(F.collect_set("source")).alias("sources"))
+    terms = B.keyness(x, "cluster", "text", top=5).groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "word"))), lambda t: t["word"]).alias("terms"))
+    body = F.to_json(F.struct("frequency", "affected", "sources", F.coalesce("terms", F.array().cast("array<string>")).alias("terms")))
+    return rolled.join(terms, "cluster", "left").select("cluster", body.alias("report"))
+
+
 COS = "list_cosine_similarity(a.embedding::double[], b.embedding::double[])"
 PAIRS = f"pairs as materialized (select a.vec_id as a, b.vec_id as b, a.label as la, b.label as lb from embeddings a join embeddings b on a.vec_id <> b.vec_id where {COS} >= {LEAST})"
 COMPONENTS = f"{PAIRS}, reach(id, r) as (select vec_id, vec_id from embeddings union select reach.id, pairs.b from reach join pairs on pairs.a = reach.r)"
@@ -44,9 +85,35 @@ z as (select upto, count(*) filter (k >= 5) as big from (select upto, cluster, c
 w as (select coalesce(min(upto) filter (big >= 3), max(upto)) as upto from z)
 select id as vec_id, cluster, upto as stopped_in from c join w using (upto)"""
 
+BAYES = r"""with c as (select *, false as h, regexp_extract_all(lower(coalesce(text, '')), '[\p{Ll}\p{Nd}]+') as w from conversations),
+o as (select conv_id, substr(md5(conv_id::varchar), 1, 1) in ('2', '6', 'a', 'e') as h from (select distinct conv_id from conversations)),
+t as (select role, w from c join o using (conv_id) where not o.h and role is not null),
+n as (select role, word, count(*) as n from (select role, unnest(w) as word from t) group by 1, 2),
+p as (select role, ln(count(*) / (select count(*) from t)) as prior, coalesce((select sum(n) from n where n.role = t.role), 0) + (select count(distinct word) from n) as size from t group by 1),
+e as (select conv_id, turn, word, count(*) as k from (select conv_id, turn, unnest(w) as word from c) group by 1, 2, 3),
+g as (select conv_id, turn, role, sum(k * ln(n + 1)) as gain from e join n using (word) group by 1, 2, 3),
+s as (select c.conv_id, c.turn, p.role, round(prior + coalesce(gain, 0) - len(w) * ln(size), 6) as score from c cross join p left join g on g.conv_id = c.conv_id and g.turn = c.turn and g.role = p.role),
+a as (select conv_id, turn, first(role order by score desc, role) as author, round(max(score), 4) as score from s group by 1, 2)
+"""
+CLUSTERED = f"""with recursive {COMPONENTS}, cl as (select id as doc_id, min(r) as cluster from reach group by 1),
+sg as (select d.*, cluster from documents d join cl using (doc_id) where cluster in (select cluster from cl group by 1 having count(*) > 1)),
+wn as (select cluster, word, count(*) as a from (select cluster, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\\p{{Ll}}\\p{{Nd}}]+')) as word from sg) group by 1, 2),
+wt as (select word, sum(a) as t from wn group by 1), gt as (select cluster, sum(a) as c from wn group by 1), al as (select sum(a) as m from wn),
+g2 as (select cluster, word, a, cast(t - a as bigint) as b, round(2 * (a * ln(a / (c * t / m)) + case when t > a then (t - a) * ln((t - a) / ((m - c) * t / m)) else 0 end), 6) as g2 from wn join wt using (word) join gt using (cluster), al where a >= 3 and a * (m - c) > (t - a) * c),
+kt as (select *, cast(row_number() over (partition by cluster order by g2 desc, word) as int) as rank from g2 qualify rank <= 5)
+"""
 QUERIES = {
     "E15_vector_clusters": (lambda s, d: clustered(s, d).select("vec_id", "cluster"), f"with recursive {COMPONENTS} select id as vec_id, min(r) as cluster from reach group by 1"),
     "J16_near_match": (near, f"select a.vec_id as new_id, b.vec_id as old_id from embeddings a join embeddings b on a.label = b.label and a.vec_id % 2 = 0 and b.vec_id % 2 = 1 where list_dot_product(a.embedding::double[], b.embedding::double[]) >= {LEAST}"),
     "J16_near_in_days": (near_in_days, f"select a.vec_id as new_id, b.vec_id as old_id from embeddings a join embeddings b on b.vec_id < a.vec_id and (a.vec_id - b.vec_id) * 600 <= {DAY_S} where {COS} >= {LEAST}"),
     "U1_T13_rounds": (gathered, ROUNDS),
+    "E16_key_terms": (key_terms, CLUSTERED + "select cluster, word, a, b, g2, rank from kt"),
+    "E18_cluster_report": (
+        cluster_report,
+        CLUSTERED
+        + """, r as (select cluster, count(*) as frequency, list_sort(list(distinct lang)) as affected, list_sort(list(distinct source)) as sources from sg group by 1), t as (select cluster, list(word order by rank) as terms from kt group by 1)
+select cluster, to_json({'frequency': frequency, 'affected': affected, 'sources': sources, 'terms': coalesce(terms, [])})::varchar as report from r left join t using (cluster)""",
+    ),
+    "X19_learned_author": (authors, BAYES + "select conv_id, turn, author, score from a"),
+    "X19_author_accuracy": (author_accuracy, BAYES + "select o.h as held_out, count(*) as n, count(*) filter (author = c.role) as n_right from a join c using (conv_id, turn) join o using (conv_id) group by 1"),
 }
