@@ -9,8 +9,9 @@ The prefix that parts suffixes into groups begins at the window's anchor, the ru
 smallest hash inside it (the leftmost of equals): equal windows have equal anchors at the same offset, and the windows of
 one anchor are neighbours, so they travel as one segment of text and not as thirteen words each. The prefix's length
 varies: an anchor that few windows have is a whole prefix, and many such form a group of about ``group_rows`` segments; an
-anchor with more segments than a quarter of that is lengthened to the whole window. Below such a prefix there is one node,
-so no tree is needed, only the smallest id of the windows, an aggregation that combines before it shuffles.
+anchor with more segments than a quarter of that (or than a millionth of all, so fewer than a million) is lengthened to the
+whole window. Where even that is so frequent, there is one node below it: no tree is needed, only the smallest id of its
+windows, an aggregation that combines before it shuffles, and these few ids go to all tasks. The others form groups again.
 
 Steps. (1) Anchors of all windows, with the smallest and largest id of each, by aggregation; those of one id alone can't
 be repeats across documents. (2) A bitmap of ``2 ** filter_bits`` bits of the others' hashes goes to all tasks: texts are
@@ -21,7 +22,7 @@ their documents; those whose bit in a second bitmap isn't set don't move.
 Identity of a document is (doc_id, hash of its text). Defined cases: a null text has no words; a null id is larger than
 all others and equal to itself, so a document without id loses what any id holds and gives cause for no removal. Windows
 inside one document, or of rows with one id, aren't repeats. Repeated rows get one decision. Fewer words than
-``min_words``: nothing goes. Words are compared by their bytes inside groups, by two 64-bit hashes below lengthened prefixes.
+``min_words``: nothing goes. Words are compared by their bytes inside groups, by two 64-bit hashes where a whole window is the prefix of one node.
 Other columns are carried through; those named like results are replaced.
 """
 
@@ -37,8 +38,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brindle.llm.common import Scratch, join_by_weight, shuffle_partitions, text_hash
-from brindle.llm.texts import WHITE, apart, chained, codes, joined, picked, slices, spaced
+from brindle.llm.common import Scratch, shuffle_partitions, text_hash
+from brindle.llm.texts import ODD, WHITE, apart, chained, codes, joined, mixed, picked, slices, spaced
 
 RANGES = "doc_id bigint, th bigint, begin bigint, stop bigint"
 SEGMENTS = "anchor bigint, doc_id bigint, th bigint, begin bigint, long boolean, words string"
@@ -145,6 +146,20 @@ def deep_nodes(words: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     return segment[order], number[order], new
 
 
+def _ranges(table: pa.Table | pa.RecordBatch, segment: np.ndarray, number: np.ndarray, n: int) -> pa.RecordBatch:
+    """Ranges of words of the documents: windows that follow each other in a segment make one."""
+    order = np.lexsort((number, segment))
+    segment, number = segment[order], number[order]
+    opens = np.ones(len(segment), bool)
+    opens[1:] = (np.diff(segment) != 0) | (np.diff(number) != 1)
+    opens = np.flatnonzero(opens)
+    closes = np.concatenate([opens[1:], [len(segment)]])[: len(opens)] - 1
+    doc_id, th, begin = (pa.chunked_array(c) if isinstance(c, pa.Array) else c for c in (table.column(x) for x in ("doc_id", "th", "begin")))
+    rows = pa.array(segment[opens])
+    begin = begin.take(rows).to_numpy()
+    return pa.RecordBatch.from_arrays([doc_id.take(rows).combine_chunks(), th.take(rows).combine_chunks(), pa.array(begin + number[opens]), pa.array(begin + number[closes] + n)], names=["doc_id", "th", "begin", "stop"])
+
+
 def _subtrees(table: pa.Table, n: int) -> pa.Table:
     """The ranges that the repeats of one group of suffixes remove."""
     table = table.combine_chunks()
@@ -156,16 +171,44 @@ def _subtrees(table: pa.Table, n: int) -> pa.Table:
     least, some = np.minimum.reduceat(own, nodes)[node], np.logical_or.reduceat(known, nodes)[node]
     later = np.where(known, own > least, some)
     segment, number = segment[later], number[later]
-    order = np.lexsort((number, segment))
-    segment, number = segment[order], number[order]
-    opens = np.ones(len(segment), bool)
-    opens[1:] = (np.diff(segment) != 0) | (np.diff(number) != 1)
-    opens = np.flatnonzero(opens)
-    closes = np.concatenate([opens[1:], [len(segment)]])[: len(opens)] - 1
-    rows = table.take(pa.array(segment[opens]))
-    begin = rows.column("begin").to_numpy()
-    found = [pa.array(begin + number[opens]), pa.array(begin + number[closes] + n)]
-    return pa.table([rows.column("doc_id"), rows.column("th"), *found], names=["doc_id", "th", "begin", "stop"])
+    return pa.Table.from_batches([_ranges(table, segment, number, n)])
+
+
+def _split(batch: pa.RecordBatch, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    """Of every window of n words in the segments: segment, number in the segment, two hashes, and its words."""
+    flat, begin, end, first = _words(batch.column("words"))
+    many = np.diff(first) - n + 1
+    segment = np.repeat(np.arange(len(many)), many)
+    number = np.arange(len(segment)) - np.repeat(np.cumsum(many) - many, many)
+    at, code = first[segment] + number, codes(flat, begin, end)
+    w1, w2 = chained(code, n)[at], chained(mixed(code + ODD), n)[at]
+    return segment, number, w1.view(np.int64), w2.view(np.int64), picked(flat, begin[at], end[at + n - 1])
+
+
+def _windows(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    for b in slices(batches, "words", 1 << 20):
+        segment, _, w1, w2, _ = _split(b, n)
+        yield pa.RecordBatch.from_arrays([pa.array(w1), pa.array(w2), b.column("doc_id").take(pa.array(segment))], names=["w1", "w2", "doc_id"])
+
+
+def _below(batches: Iterator[pa.RecordBatch], n: int, nodes: Broadcast) -> Iterator[pa.RecordBatch]:
+    """The ranges that the nodes with a prefix of a whole window remove, neighbours joined."""
+    for b in slices(batches, "words", 1 << 20):
+        segment, number, w1, w2, _ = _split(b, n)
+        own = b.column("doc_id").to_pylist()
+        found = [(s, k) for s, k, w in zip(segment.tolist(), number.tolist(), zip(w1.tolist(), w2.tolist(), strict=True), strict=True) if (x := nodes.value.get(w)) is not None and (own[s] is None or own[s] > x)]
+        yield _ranges(b, *(np.array([f[i] for f in found], np.int64) for i in (0, 1)), n)
+
+
+def _others(batches: Iterator[pa.RecordBatch], n: int, nodes: Broadcast) -> Iterator[pa.RecordBatch]:
+    """Windows that aren't such a node, as segments of one window whose prefix is all of it."""
+    for b in slices(batches, "words", 1 << 20):
+        segment, number, w1, w2, words = _split(b, n)
+        some = np.array([w not in nodes.value for w in zip(w1.tolist(), w2.tolist(), strict=True)], bool)
+        rows, words = pa.array(segment[some]), [x for x, y in zip(words, some.tolist(), strict=True) if y]
+        begin = pa.array(b.column("begin").to_numpy()[segment[some]] + number[some])
+        long = pa.array(np.ones(len(words), bool))
+        yield pa.RecordBatch.from_arrays([pa.array(w1[some]), b.column("doc_id").take(rows), b.column("th").take(rows), begin, long, pa.array(words, pa.binary()).view(pa.string())], names=["anchor", "doc_id", "th", "begin", "long", "words"])
 
 
 def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 13, anchor_words: int = 3, group_rows: int = 20_000, filter_bits: int = 27) -> DataFrame:
@@ -189,16 +232,20 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     segments = spark.read.schema(SEGMENTS).parquet(at)
 
     groups = max(1, -(-total // group_rows))
-    short = segments.filter("not long").withColumn("group", F.pmod(F.xxhash64("anchor"), F.lit(groups)))
-    ranges = short.groupBy("group").applyInArrow(lambda t: _subtrees(t, n), RANGES)
+
+    def subtrees(rows: DataFrame, key: str) -> DataFrame:
+        rows = rows.withColumn("group", F.pmod(F.xxhash64(key), F.lit(groups)))
+        return rows.groupBy("group").applyInArrow(lambda t: _subtrees(t, n), RANGES)
+
+    ranges = subtrees(segments.filter("not long"), "anchor")
     if len(frequent):
-        window = F.slice("w", F.col("k") + 1, n)
-        long = segments.filter("long").withColumn("w", F.split("words", " "))
-        long = long.select("doc_id", "th", "begin", "w", F.explode(F.sequence(F.lit(0), F.size("w") - n)).alias("k"))
-        long = long.select("doc_id", "th", (F.col("begin") + F.col("k")).alias("begin"), F.xxhash64(window).alias("w1"), F.xxhash64(window, F.lit(1)).alias("w2"))
-        nodes = long.groupBy("w1", "w2").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).filter("n > 1 and least is not null")
-        later = join_by_weight(long, scratch.write(nodes, "nodes"), ["w1", "w2"], "n").filter("doc_id is null or doc_id > least")
-        ranges = ranges.unionByName(later.select("doc_id", "th", "begin", (F.col("begin") + n).alias("stop")))
+        long = segments.filter("long").drop("long")
+        nodes = long.mapInArrow(lambda b: _windows(b, n), "w1 bigint, w2 bigint, doc_id bigint").groupBy("w1", "w2")
+        nodes = nodes.agg(F.count("*").alias("n"), F.min("doc_id").alias("least"))
+        nodes = nodes.filter(F.col("n") > max(group_rows // 4, total // 1_000_000)).collect()
+        nodes = spark.sparkContext.broadcast({(r.w1, r.w2): r.least for r in nodes})
+        ranges = ranges.unionByName(long.mapInArrow(lambda b: _below(b, n, nodes), RANGES))
+        ranges = ranges.unionByName(subtrees(long.mapInArrow(lambda b: _others(b, n, nodes), SEGMENTS), "anchor"))
     return scratch.write(ranges.distinct(), "ranges")
 
 
