@@ -137,20 +137,26 @@ def links(vectors: DataFrame, key: str, vector: str, least: float, fresh: Column
     return cells.applyInArrow(_forest(least), "a bigint, b bigint").distinct()
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """id, root of every id in the edges (a, b): the smallest id reached. Labels go along edges, then to the label of the label."""
-    both = stored(edges.select("a", "b").union(edges.select("b", "a")).filter("a <> b").distinct(), "edges")
-    label = stored(both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("a"), F.min("b")).alias("root")), "labels")
+def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
+    """id, root of every id in the edges (a, b): the smallest id reached.
+
+    Stars in turns: each id's larger neighbours are linked to its smallest one, then each id's smaller ones, until every
+    component is a star around its smallest id, in rounds that grow with the logarithm of its length squared at most.
+    """
+    ids = stored(edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct(), "ids")
+    links, before = stored(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links"), None
     for _ in range(most_rounds):
-        near = both.join(label.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("root").alias("near"))
-        step = label.join(near, "id").select("id", "root", F.least("root", "near").alias("next"))
-        jump = label.select(F.col("id").alias("next"), F.col("root").alias("far"))
-        step = stored(step.join(jump, "next").select("id", "root", F.least("next", "far").alias("next")), "labels")
-        moved = not step.filter("next <> root").isEmpty()
-        label = step.select("id", F.col("next").alias("root"))
-        if not moved:
-            return label
-    raise RuntimeError(f"labels still move after {most_rounds} rounds")
+        now = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if now == before:
+            return ids.join(links.toDF("id", "v"), "id", "left").select("id", F.coalesce("v", "id").alias("root"))
+        both = links.union(links.select("v", "u"))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        larger = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        larger = stored(larger, "links")
+        least = larger.groupBy("u").agg(F.min("v").alias("m"))
+        smaller = larger.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        links, before = stored(smaller.union(least.select("u", F.col("m").alias("v"))).distinct(), "links"), now
+    raise RuntimeError(f"components still change after {most_rounds} rounds")
 
 
 def clusters(vectors: DataFrame, key: str, vector: str, least: float, recall: float = 0.999) -> DataFrame:
