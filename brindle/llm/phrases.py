@@ -6,10 +6,10 @@ next ``longest - 1`` words of its last piece, so every n-gram lies whole in the
 there only: overlaps count once. Distinct chunks with their frequencies are the dictionary, one aggregation; all that
 follows reads the dictionary, where n-grams inside a chunk weigh as much as the chunk.
 
-Counting. (1) Word pairs are counted in ``cells`` counters by hash, capped at ``least``; each task fills its own, and
-tasks that each hold some blocks of the counters add them up as they come. Pairs in a counter under ``least`` can't be
-frequent. (2) Single words, and pairs, triples and quadruples all of whose pairs are left, are counted exactly by their
-bytes. A counter shared by many pairs only lets more of them through to the exact count: results don't depend on
+Counting. (1) Words and pairs of words are counted in ``cells`` counters by hash, capped at ``least``; each task fills its
+own, and tasks that each hold some blocks of the counters add them up as they come. What is in a counter under ``least``
+can't be frequent. (2) Words and pairs that are left, and triples and quadruples all of whose words and pairs are, are
+counted exactly by their bytes. A counter shared by many only lets more of them through to the exact count: results don't depend on
 ``cells``, but with many more words than 16 times ``cells`` most pairs get to the second step. (3) Cuts of the candidates
 meet the counts of their parts by joins, and the first ``top`` of every language are ranked inside parts before they meet.
 
@@ -99,14 +99,15 @@ class Words:
         out[: max(0, len(out) - k + 1)] = self.piece[: max(0, len(out) - k + 1)] == self.piece[k - 1 :]
         return out
 
-    def cells(self, cells: int) -> np.ndarray:
-        """The counter of each word with the next one, by language; that of the last word means nothing."""
+    def cells(self, cells: int) -> tuple[np.ndarray, np.ndarray]:
+        """The counters of each word and of each with the next one, by language; the last word's latter means nothing."""
         names = [str(x).encode() for x in self.langs.to_pylist()]
         ends = np.cumsum([len(x) for x in names], dtype=np.int64)
         lang = codes(np.frombuffer(b"".join(names), np.uint8), ends - [len(x) for x in names], ends)
         code = codes(self.flat, self.begin, self.end)
         pair = mixed(code * ODD + np.append(code[1:], U64(0)))
-        return (mixed(pair + lang[self.lang]) % U64(cells)).astype(np.int64)
+        word, pair = (mixed(x + lang[self.lang]) % U64(cells) for x in (code, pair))
+        return word.astype(np.int64), pair.astype(np.int64)
 
 
 def _added(held: np.ndarray, more: np.ndarray, cap: int) -> np.ndarray:
@@ -118,8 +119,9 @@ def _sketched(batches: Iterator[pa.RecordBatch], cells: int, least: int) -> Iter
     held = np.zeros(cells, np.uint8 if least < 256 else np.int64)
     for b in slices(batches, "chunk"):
         w = Words(b)
-        pairs = w.together(2) & w.owned
-        cell, weight = w.cells(cells)[pairs], np.minimum(w.weight[pairs], least)
+        word, pair = w.cells(cells)
+        pairs, owned = w.together(2) & w.owned, w.owned
+        cell, weight = np.concatenate([word[owned], pair[pairs]]), np.minimum(np.concatenate([w.weight[owned], w.weight[pairs]]), least)
         order = np.argsort(cell)
         cell, weight = cell[order], weight[order]
         new = np.flatnonzero(np.diff(cell, prepend=-1))
@@ -159,14 +161,14 @@ def _counted(batches: Iterator[pa.RecordBatch], frequent, cells: int, longest: i
         w = Words(b)
         if not len(w.begin):
             continue
-        cell = w.cells(cells)
-        pair = w.together(2) & (bits[cell >> 3] >> (cell & 7).astype(np.uint8) & 1).astype(bool)
+        often, pair = ((bits[c >> 3] >> (c & 7).astype(np.uint8) & 1).astype(bool) for c in w.cells(cells))
+        pair = pair & w.together(2) & often & np.append(often[1:], False)
         # A word with the space behind it is what lies between two begins, so the bytes needn't be copied.
         bounds = np.append(w.begin, len(w.flat)).astype(np.int64)
         flat = np.where(w.flat == 0x0A, np.uint8(0x20), w.flat)
         word = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(w.begin), [None, pa.py_buffer(bounds), pa.py_buffer(flat)]).dictionary_encode()
         n_words, word = len(word.dictionary), word.indices.to_numpy().astype(np.int64)
-        gram, some = w.lang.copy(), np.ones(len(word), bool)
+        gram, some = w.lang.copy(), often
         for k in range(1, longest + 1):
             if k > 1:
                 some = some & np.append(pair[k - 2 :], np.zeros(k - 2, bool))
