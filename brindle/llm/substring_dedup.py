@@ -147,17 +147,19 @@ def deep_nodes(words: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray, np.ndar
 
 
 def _ranges(table: pa.Table | pa.RecordBatch, segment: np.ndarray, number: np.ndarray, n: int) -> pa.RecordBatch:
-    """Ranges of words of the documents: windows that follow each other in a segment make one."""
-    order = np.lexsort((number, segment))
-    segment, number = segment[order], number[order]
-    opens = np.ones(len(segment), bool)
-    opens[1:] = (np.diff(segment) != 0) | (np.diff(number) != 1)
-    opens = np.flatnonzero(opens)
-    closes = np.concatenate([opens[1:], [len(segment)]])[: len(opens)] - 1
+    """Ranges of words of the documents: windows that follow each other or overlap, also in neighbouring segments, make one."""
     doc_id, th, begin = (pa.chunked_array(c) if isinstance(c, pa.Array) else c for c in (table.column(x) for x in ("doc_id", "th", "begin")))
+    least = np.iinfo(np.int64).min
+    own, text = pc.fill_null(doc_id, least).to_numpy()[segment], th.to_numpy()[segment]
+    known, start = pc.is_valid(doc_id).to_numpy()[segment], begin.to_numpy()[segment] + number
+    order = np.lexsort((start, own, known, text))
+    segment, own, text, known, start = (x[order] for x in (segment, own, text, known, start))
+    opens = np.ones(len(start), bool)
+    opens[1:] = (np.diff(start) > n) | (own[1:] != own[:-1]) | (text[1:] != text[:-1]) | (known[1:] != known[:-1])
+    opens = np.flatnonzero(opens)
+    closes = np.concatenate([opens[1:], [len(start)]])[: len(opens)] - 1
     rows = pa.array(segment[opens])
-    begin = begin.take(rows).to_numpy()
-    return pa.RecordBatch.from_arrays([doc_id.take(rows).combine_chunks(), th.take(rows).combine_chunks(), pa.array(begin + number[opens]), pa.array(begin + number[closes] + n)], names=["doc_id", "th", "begin", "stop"])
+    return pa.RecordBatch.from_arrays([doc_id.take(rows).combine_chunks(), th.take(rows).combine_chunks(), pa.array(start[opens]), pa.array(start[closes] + n)], names=["doc_id", "th", "begin", "stop"])
 
 
 def _subtrees(table: pa.Table, n: int) -> pa.Table:
@@ -186,9 +188,19 @@ def _split(batch: pa.RecordBatch, n: int) -> tuple[np.ndarray, np.ndarray, np.nd
 
 
 def _windows(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    """w1, w2, n, least: the windows of each slice, summed, with their smallest id."""
     for b in slices(batches, "words", 1 << 20):
         segment, _, w1, w2, _ = _split(b, n)
-        yield pa.RecordBatch.from_arrays([pa.array(w1), pa.array(w2), b.column("doc_id").take(pa.array(segment))], names=["w1", "w2", "doc_id"])
+        ids = b.column("doc_id")
+        known = pc.is_valid(ids).to_numpy(zero_copy_only=False)[segment]
+        own = pc.fill_null(ids, np.iinfo(np.int64).max).to_numpy(zero_copy_only=False)[segment]
+        order = np.lexsort((w2, w1))
+        w1, w2, known, own = w1[order], w2[order], known[order], own[order]
+        new = np.flatnonzero(np.append(True, (np.diff(w1) != 0) | (np.diff(w2) != 0))[: len(w1)])
+        if len(new):
+            some = np.logical_or.reduceat(known, new)
+            found = [pa.array(w1[new]), pa.array(w2[new]), pa.array(np.diff(np.append(new, len(w1)))), pa.array(np.minimum.reduceat(own, new), mask=~some)]
+            yield pa.RecordBatch.from_arrays(found, names=["w1", "w2", "n", "least"])
 
 
 def _below(batches: Iterator[pa.RecordBatch], n: int, nodes: Broadcast) -> Iterator[pa.RecordBatch]:
@@ -240,8 +252,8 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ranges = subtrees(segments.filter("not long"), "anchor")
     if len(frequent):
         long = segments.filter("long").drop("long")
-        nodes = long.mapInArrow(lambda b: _windows(b, n), "w1 bigint, w2 bigint, doc_id bigint").groupBy("w1", "w2")
-        nodes = nodes.agg(F.count("*").alias("n"), F.min("doc_id").alias("least"))
+        nodes = long.mapInArrow(lambda b: _windows(b, n), "w1 bigint, w2 bigint, n bigint, least bigint").groupBy("w1", "w2")
+        nodes = nodes.agg(F.sum("n").alias("n"), F.min("least").alias("least"))
         nodes = nodes.filter(F.col("n") > max(group_rows // 4, total // 1_000_000)).collect()
         nodes = spark.sparkContext.broadcast({(r.w1, r.w2): r.least for r in nodes})
         ranges = ranges.unionByName(long.mapInArrow(lambda b: _below(b, n, nodes), RANGES))
