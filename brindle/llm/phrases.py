@@ -8,8 +8,8 @@ follows reads the dictionary, where n-grams inside a chunk weigh as much as the
 
 Counting. (1) Words and pairs of words are counted in ``cells`` counters by hash, capped at ``least``; each task fills its
 own, and tasks that each hold some blocks of the counters add them up as they come. What is in a counter under ``least``
-can't be frequent. (2) Words and pairs that are left, and triples and quadruples all of whose words and pairs are, are
-counted exactly by their bytes. A counter shared by many only lets more of them through to the exact count: results don't depend on
+can't be frequent; then the same for longer n-grams all of whose words and pairs are left. (2) What is left of all is
+counted exactly by its bytes. A counter shared by many only lets more of them through to the exact count: results don't depend on
 ``cells``, but with many more words than 16 times ``cells`` most pairs get to the second step. (3) Cuts of the candidates
 meet the counts of their parts by joins, and the first ``top`` of every language are ranked inside parts before they meet.
 
@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -92,6 +93,10 @@ class Words:
         self.weight = batch.column("n").to_numpy()[chunk]
         lang = batch.column("lang").dictionary_encode()
         self.langs, self.lang = lang.dictionary, lang.indices.to_numpy()[chunk].astype(np.int64)
+        names = [str(x).encode() for x in self.langs.to_pylist()]
+        ends = np.cumsum([len(x) for x in names], dtype=np.int64)
+        self.lang_code = codes(np.frombuffer(b"".join(names), np.uint8), ends - [len(x) for x in names], ends)
+        self.code = codes(self.flat, self.begin, self.end)
 
     def together(self, k: int) -> np.ndarray:
         """Whether k words from each on are in one piece."""
@@ -99,34 +104,46 @@ class Words:
         out[: max(0, len(out) - k + 1)] = self.piece[: max(0, len(out) - k + 1)] == self.piece[k - 1 :]
         return out
 
-    def cells(self, cells: int) -> tuple[np.ndarray, np.ndarray]:
-        """The counters of each word and of each with the next one, by language; the last word's latter means nothing."""
-        names = [str(x).encode() for x in self.langs.to_pylist()]
-        ends = np.cumsum([len(x) for x in names], dtype=np.int64)
-        lang = codes(np.frombuffer(b"".join(names), np.uint8), ends - [len(x) for x in names], ends)
-        code = codes(self.flat, self.begin, self.end)
-        pair = mixed(code * ODD + np.append(code[1:], U64(0)))
-        word, pair = (mixed(x + lang[self.lang]) % U64(cells) for x in (code, pair))
-        return word.astype(np.int64), pair.astype(np.int64)
+    def cells(self, cells: int, k: int) -> np.ndarray:
+        """The counter of each word and the k - 1 behind it, by language."""
+        gram = np.zeros(len(self.code), U64)
+        gram[: max(0, len(gram) - k + 1)] = chained(self.code, k)
+        return (mixed(gram + self.lang_code[self.lang]) % U64(cells)).astype(np.int64)
+
+    def left(self, frequent: list[np.ndarray], cells: int, longest: int) -> Iterator[tuple[int, np.ndarray]]:
+        """For each k where the k-grams begin whose words and pairs (and longer parts, if they were counted too) are left."""
+        some = self.together(1) & _set(frequent[0], self.cells(cells, 1))
+        yield 1, some
+        for k in range(2, longest + 1):
+            some = some & np.append(some[1:], False) & self.together(k)
+            if k == 2 or len(frequent) > 1:
+                some &= _set(frequent[min(1, k - 2)], self.cells(cells, k))
+            yield k, some
+
+
+def _set(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
 
 
 def _added(held: np.ndarray, more: np.ndarray, cap: int) -> np.ndarray:
     return np.minimum(held.astype(np.int64) + more, cap).astype(held.dtype)
 
 
-def _sketched(batches: Iterator[pa.RecordBatch], cells: int, least: int) -> Iterator[pa.RecordBatch]:
-    """Counters of one task, in blocks; those of zeros alone are left out."""
+def _sketched(batches: Iterator[pa.RecordBatch], cells: int, least: int, longest: int, first: Broadcast | None) -> Iterator[pa.RecordBatch]:
+    """Counters of one task, in blocks; those of zeros alone are left out. Of words and pairs, or given what is left of
+    these, of the longer n-grams made of them."""
     held = np.zeros(cells, np.uint8 if least < 256 else np.int64)
     for b in slices(batches, "chunk"):
         w = Words(b)
-        word, pair = w.cells(cells)
-        pairs, owned = w.together(2) & w.owned, w.owned
-        cell, weight = np.concatenate([word[owned], pair[pairs]]), np.minimum(np.concatenate([w.weight[owned], w.weight[pairs]]), least)
-        order = np.argsort(cell)
-        cell, weight = cell[order], weight[order]
-        new = np.flatnonzero(np.diff(cell, prepend=-1))
-        if len(new):
-            held[cell[new]] = _added(held[cell[new]], np.add.reduceat(weight, new), least)
+        which = [(1, w.together(1)), (2, w.together(2))] if first is None else [x for x in w.left([first.value], cells, longest) if x[0] > 2]
+        for k, some in which:
+            some = some & w.owned
+            cell, weight = w.cells(cells, k)[some], np.minimum(w.weight[some], least)
+            order = np.argsort(cell)
+            cell, weight = cell[order], weight[order]
+            new = np.flatnonzero(np.diff(cell, prepend=-1))
+            if len(new):
+                held[cell[new]] = _added(held[cell[new]], np.add.reduceat(weight, new), least)
     for k in range(0, cells, BLOCK):
         if held[k : k + BLOCK].any():
             yield pa.RecordBatch.from_arrays([pa.array([k // BLOCK]), pa.array([held[k : k + BLOCK].tobytes()], pa.binary())], names=["block", "counts"])
@@ -143,10 +160,10 @@ def _merged(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Record
         yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([np.packbits(counts >= least, bitorder="little").tobytes()], pa.binary())], names=["block", "counts"])
 
 
-def frequent_cells(dictionary: DataFrame, cells: int, least: int) -> np.ndarray:
-    """One bit for each counter: whether the pairs that share it occur at least that often together."""
+def frequent_cells(dictionary: DataFrame, cells: int, least: int, longest: int = 2, first: Broadcast | None = None) -> np.ndarray:
+    """One bit for each counter: whether what shares it occurs at least that often together."""
     blocks = -(-cells // BLOCK)
-    each = dictionary.mapInArrow(lambda b: _sketched(b, cells, least), "block bigint, counts binary")
+    each = dictionary.mapInArrow(lambda b: _sketched(b, cells, least, longest, first), "block bigint, counts binary")
     each = each.repartition(min(blocks, shuffle_partitions(dictionary.sparkSession)), "block").mapInArrow(lambda b: _merged(b, least), "block bigint, counts binary")
     out = np.zeros(blocks * BLOCK // 8, np.uint8)
     for r in each.toLocalIterator():
@@ -154,24 +171,19 @@ def frequent_cells(dictionary: DataFrame, cells: int, least: int) -> np.ndarray:
     return out
 
 
-def _counted(batches: Iterator[pa.RecordBatch], frequent, cells: int, longest: int) -> Iterator[pa.RecordBatch]:
+def _counted(batches: Iterator[pa.RecordBatch], frequent: Broadcast, cells: int, longest: int) -> Iterator[pa.RecordBatch]:
     """lang, k, phrase and n: the n-grams that a batch's owned words begin, numbered by their bytes and summed."""
-    bits = frequent.value
     for b in slices(batches, "chunk"):
         w = Words(b)
         if not len(w.begin):
             continue
-        often, pair = ((bits[c >> 3] >> (c & 7).astype(np.uint8) & 1).astype(bool) for c in w.cells(cells))
-        pair = pair & w.together(2) & often & np.append(often[1:], False)
         # A word with the space behind it is what lies between two begins, so the bytes needn't be copied.
         bounds = np.append(w.begin, len(w.flat)).astype(np.int64)
         flat = np.where(w.flat == 0x0A, np.uint8(0x20), w.flat)
         word = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(w.begin), [None, pa.py_buffer(bounds), pa.py_buffer(flat)]).dictionary_encode()
         n_words, word = len(word.dictionary), word.indices.to_numpy().astype(np.int64)
-        gram, some = w.lang.copy(), often
-        for k in range(1, longest + 1):
-            if k > 1:
-                some = some & np.append(pair[k - 2 :], np.zeros(k - 2, bool))
+        gram = w.lang.copy()
+        for k, some in w.left(frequent.value, cells, longest):
             at = np.flatnonzero(some)
             # The number of the (k - 1)-gram and the next word: both below 2**31.
             _, first, number = np.unique(gram[at] * n_words + word[at + k - 1], return_index=True, return_inverse=True)
@@ -192,7 +204,9 @@ def phrase_counts(docs: DataFrame, text_col: str, lang_col: str, longest: int, l
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).alias("text"))
     parsed = texts.mapInArrow(lambda b: _parsed(b, longest, spacing, most), "lang string, own int, chunk string")
     dictionary = scratch.write(parsed.groupBy("lang", "own", "chunk").agg(F.count("*").alias("n")), "dictionary")
-    frequent = spark.sparkContext.broadcast(frequent_cells(dictionary, cells, least))
+    first = spark.sparkContext.broadcast(frequent_cells(dictionary, cells, least))
+    longer = [frequent_cells(dictionary, cells, least, longest, first)] if longest > 2 else []
+    frequent = spark.sparkContext.broadcast([first.value, *longer])
     counts = dictionary.mapInArrow(lambda b: _counted(b, frequent, cells, longest), "lang string, k int, phrase string, n bigint")
     counts = counts.groupBy("lang", "k", "phrase").agg(F.sum("n").alias("f")).filter(F.col("f") >= least)
     totals = dictionary.groupBy("lang").agg(F.sum(F.col("own") * F.col("n")).alias("n"))
