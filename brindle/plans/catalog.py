@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brindle.plans import cluster_queries, extra_queries, filter_queries, ledger_queries, mining_queries, nested_queries, relation_queries, scale_queries, stream_queries
+from brindle.plans import cluster_queries, extra_queries, filter_queries, ledger_queries, mining_queries, nested_queries, relation_queries, scale_queries, state_queries, stream_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (ledger_queries, filter_queries, relation_queries, stream_queries, extra_queries, nested_queries, mining_queries, cluster_queries, scale_queries)
+MODULES = (ledger_queries, filter_queries, relation_queries, stream_queries, extra_queries, nested_queries, mining_queries, cluster_queries, scale_queries, state_queries)
 
 
 def queries() -> dict[str, Query]:

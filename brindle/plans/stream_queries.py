@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.operators import signals as S
@@ -18,12 +18,12 @@ DEMAND = {"the": ["the "], "der": ["der "], "mit": ["license"]}
 STRONG = ["idiot", "moron", "trash", "clown"]
 
 
-def progress_of(e: DataFrame) -> DataFrame:
+def progress_of(e: DataFrame, *more: Column) -> DataFrame:
     """Every user's events as a job's progress; purchases of one value in a hundred end it, the rest count as stitching."""
     ends = F.col("event_id") % 40 == 0
     t = F.col("event_type")
     stage = F.when(t == "signup", "thinking").when(t == "view", "researching").when(t == "click", "evaluating").when(t == "purchase", F.when(ends, "done").otherwise("stitching")).otherwise(F.when(ends, "error").otherwise("confirmed"))
-    return e.select(F.col("user_id").alias("job_id"), F.col("event_id").alias("seq"), stage.alias("stage"), F.when(t == "view", F.concat(F.lit("r"), F.col("event_id").cast("string"))).alias("result"), F.when(stage == "error", "failed").alias("error"))
+    return e.select(F.col("user_id").alias("job_id"), F.col("event_id").alias("seq"), stage.alias("stage"), F.when(t == "view", F.concat(F.lit("r"), F.col("event_id").cast("string"))).alias("result"), F.when(stage == "error", "failed").alias("error"), *more)
 
 
 PR = """pr as (select user_id as job_id, event_id as seq, case event_type when 'signup' then 'thinking' when 'view' then 'researching' when 'click' then 'evaluating' when 'purchase' then case when event_id % 40 = 0 then 'done' else 'stitching' end else case when event_id % 40 = 0 then 'error' else 'confirmed' end end as stage, case when event_type = 'view' then 'r' || event_id end as result, case when event_type = 'error' and event_id % 40 = 0 then 'failed' end as error from events),
