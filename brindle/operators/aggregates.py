@@ -67,6 +67,18 @@ def group_by(
     return out.select(*by, *shown)
 
 
+def group_problem(by: Column, used: Column, aggregates: Sequence[str], paged: Column, ordered: Column) -> Column:
+    """The rules of group_by() for requests that are rows: the first that a request breaks, null if none.
+
+    by: its keys; used: the names in its having and order; aggregates: names that may be used without being keys.
+    """
+    other = F.array_sort(F.array_except(F.array_except(used, by), F.array(*[F.lit(a) for a in aggregates])))
+    return (
+        F.when(F.size(by) == 0, "by must not be empty").when(paged & ~ordered, "skip and take need order_by")
+        .when(F.size(other) > 0, F.concat(F.lit("not in by: "), F.array_join(other, ", ")))
+    )
+
+
 def ordinal(c: Column, values: Sequence[str]) -> Column:
     """The place of an enum value in its declared order, null for others."""
     return F.nullif(F.array_position(F.array(*[F.lit(v) for v in values]), c), F.lit(0))

@@ -44,6 +44,18 @@ def project(df: DataFrame, select: Sequence[str] | None = None, omit: Sequence[s
     return df.select(*select) if select is not None else df.drop(*omit) if omit is not None else df
 
 
+def kept_fields(fields: Sequence[str], select: Column, omit: Column) -> tuple[Column, Column]:
+    """The rules of project() for requests that are rows: what is wrong with the request, if anything, and the fields kept.
+
+    select and omit are arrays of names, null where a request has none; names that aren't fields are an error.
+    """
+    every = F.array(*[F.lit(f) for f in fields])
+    named = F.coalesce(select, omit, F.array().cast("array<string>"))
+    problem = F.when(select.isNotNull() & omit.isNotNull(), "select and omit").when(F.size(F.array_except(named, every)) > 0, "unknown field")
+    kept = F.when(select.isNotNull(), F.array_intersect(every, select)).when(omit.isNotNull(), F.array_except(every, omit)).otherwise(every)
+    return problem, F.when(problem.isNull(), kept)
+
+
 def _at_or_after(order: list[Order]) -> Column:
     """Rows not before the cursor row, whose sort values are in columns _cursor_<name>: a comparison of tuples."""
     alternatives, equal = [], F.lit(True)

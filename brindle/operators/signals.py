@@ -21,6 +21,18 @@ def dedupe(signals: DataFrame, text: str = "text", key: str = "doc_id") -> DataF
     return signals.join(keep, F.col(key) == F.col("_k")).drop("_k")
 
 
+def address(url: Column) -> Column:
+    """A URL without fragment and closing slashes, scheme and host in lower case."""
+    u = F.regexp_replace(F.regexp_replace(url, "#.*$", ""), "/+$", "")
+    head = F.regexp_extract(u, "^[^/?]*://[^/?]*", 0)
+    return F.concat(F.lower(head), F.substr(u, F.length(head) + 1))
+
+
+def first_of_url(pages: DataFrame, url: str, key: str) -> DataFrame:
+    """The smallest key of each address, and how many pages have it; pages without URL are left out."""
+    return pages.filter(F.col(url).isNotNull()).groupBy(address(F.col(url)).alias("address")).agg(F.min(key).alias(key), F.count("*").alias("n"))
+
+
 def merge_new(old: DataFrame, new: DataFrame, key: str = "content_hash") -> DataFrame:
     return old.unionByName(new.join(old.select(key), key, "left_anti").dropDuplicates([key]).select(old.columns))
 
@@ -108,6 +120,12 @@ def estimates(signals: DataFrame, cluster: str) -> DataFrame:
     return per.select(cluster, market.alias("market"), "competition", (market * (1 - F.col("competition"))).alias("opportunity"))
 
 
+def centres(vectors: DataFrame, vector: str, label: str) -> DataFrame:
+    """label, i, m, n: the mean of each component over a label's vectors."""
+    each = vectors.filter(F.col(label).isNotNull()).select(label, F.posexplode(F.col(vector).cast("array<double>")).alias("i", "x"))
+    return each.groupBy(label, "i").agg(F.avg("x").alias("m"), F.count("*").alias("n"))
+
+
 def nearest_centre(vectors: DataFrame, vector: str, label: str) -> DataFrame:
     """vectors with cluster: the label whose mean vector has the largest dot product, of equal ones the smaller label.
     The centres are one array of one row per label (labels are a fixed, small set)."""

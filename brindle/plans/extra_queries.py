@@ -60,6 +60,6 @@ QUERIES = {
     "X5_X20_dates": (lambda s, d: table(s, d, "orders").select("o_orderkey", F.date_trunc("month", "o_orderdate").cast("timestamp_ntz").alias("m"), F.datediff(F.lit("1998-12-01").cast("date"), F.col("o_orderdate").cast("date")).cast("bigint").alias("age"), F.ceil(F.col("o_totalprice") / 1000).cast("bigint").alias("k")), "select o_orderkey, cast(date_trunc('month', o_orderdate) as timestamp) as m, cast(date_diff('day', o_orderdate::date, date '1998-12-01') as bigint) as age, cast(ceil(o_totalprice / 1000) as bigint) as k from orders"),
     "Y1_transform_hook": (lambda s, d: table(s, d, "part").transform(lambda df: df.filter("p_size > 45")).transform(lambda df: df.groupBy("p_brand").agg(F.count("*").alias("n"))), "select p_brand, count(*) as n from part where p_size > 45 group by 1"),
     "E16_top_words": (top_words, r"with n as (select lang, w, count(*) as n from (select lang, unnest(regexp_split_to_array(lower(text), '[ \n]+')) as w from documents) group by 1, 2) select lang, w, n from (select *, row_number() over (partition by lang order by n desc, w) as r from n) where r <= 5"),
-    "U2_url_dedup": (lambda s, d: table(s, d, "pages").withColumn("host", F.regexp_extract("url", "://([^/?#]*)", 1)).groupBy("host").agg(F.min("page_id").alias("page_id"), F.count("*").alias("n")), "select regexp_extract(url, '://([^/?#]*)', 1) as host, min(page_id) as page_id, count(*) as n from pages group by 1"),
-    "E15_label_centres": (lambda s, d: S.rollup(table(s, d, "documents").withColumn("intensity", F.lit(1.0)), "lang").select("lang", "frequency"), "select lang, count(*) as frequency from documents group by 1"),
+    "U2_url_dedup": (lambda s, d: S.first_of_url(table(s, d, "pages"), "url", "page_id").select("page_id", "address", "n"), r"with p as (select page_id, regexp_replace(regexp_replace(url, '#.*$', ''), '/+$', '') as u from pages) select min(page_id) as page_id, case when u like '%://%' then lower(regexp_extract(u, '^[^/?]*://[^/?]*')) || substr(u, length(regexp_extract(u, '^[^/?]*://[^/?]*')) + 1) else u end as address, count(*) as n from p group by 2"),
+    "E15_label_centres": (lambda s, d: S.centres(table(s, d, "embeddings"), "embedding", "label").select("label", "i", F.round("m", 9).alias("m"), "n"), "select label, cast(i - 1 as int) as i, round(avg(embedding[i]::double), 9) as m, count(*) as n from embeddings, unnest(range(1, len(embedding) + 1)) t(i) group by 1, 2"),
 }

@@ -163,6 +163,7 @@ select asked, bad is null as valid, bad is null and used_by_user < per_user_limi
     "X1_normalise": (lambda s, d: table(s, d, "customer").select("c_custkey", X.normalise_code(F.concat(F.lit(" \t "), F.lower("c_mktsegment"), F.lit("﻿ "))).alias("code")), "select c_custkey, upper(c_mktsegment) as code from customer"),
     "X2_length": (lambda s, d: table(s, d, "documents").select("doc_id", X.length_between(F.col("text"), 3, 1000).alias("ok")), "select doc_id, length(text) between 3 and 1000 as ok from documents"),
     "X3_url_host": (lambda s, d: table(s, d, "pages").select("page_id", F.regexp_extract("url", r"^https?://([^/?#]+)", 1).alias("host"), X.looks_like_email(F.col("url")).alias("email")), r"select page_id, regexp_extract(url, '^https?://([^/?#]+)', 1) as host, false as email from pages"),
+    "X3_email": (lambda s, d: table(s, d, "documents").select("doc_id", F.regexp_extract("text", r"[^ \n]+@[^ \n]+", 0).alias("address")).filter("address <> ''").select("doc_id", "address", X.looks_like_email(F.col("address")).alias("email")), r"with a as (select doc_id, regexp_extract(text, '[^ \n]+@[^ \n]+') as address from documents) select doc_id, address, regexp_matches(address, '^[A-Za-z0-9._%+''-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}$') as email from a where address <> ''"),
     "X4_minor_units": (lambda s, d: customers(s, d).select("c_custkey", X.minor_units(F.col("bal")).alias("shown")), "with " + CU + "select c_custkey, case when bal < 0 then '-' else '' end || '$' || format('{:,.2f}', abs(bal) / 100) as shown from cu"),
     "X6_at_least_zero": (lambda s, d: table(s, d, "orders").select("o_orderkey", X.at_least_zero(F.when(F.col("o_orderkey") % 5 > 0, F.col("o_custkey") - 700)).alias("n")), "select o_orderkey, case when o_orderkey % 5 > 0 then greatest(0, o_custkey - 700) end as n from orders"),
     "X8_open_ends": (lambda s, d: coupons(s, d).select("coupon_id", (X.started(F.col("starts_at"), as_of()) & X.not_ended(F.col("expires_at"), as_of())).alias("live")), "with " + CP + " select coupon_id, (starts_at is null or starts_at <= timestamp '2024-01-15') and (expires_at is null or expires_at >= timestamp '2024-01-15') as live from cp"),

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,37 +57,21 @@ def result_sink(s: SparkSession, d: str) -> DataFrame:
 DONE = PR + """, dn as (select x.job_id, x.result, epoch_us(e.ts) // 1000 as completed_at from (select job_id, arg_max(stage, seq) as stage, arg_max(result, seq) filter (result is not null) as result, max(seq) as last from lv group by 1) x join events e on e.event_id = x.last where x.stage = 'done')"""
 
 
-def allowed(checks: dict[str, Callable[[], object]]) -> list[tuple[str, bool]]:
-    """Which of the calls pass the rules, which are checked before any plan is built."""
-    out = []
-    for name, call in checks.items():
-        try:
-            call()
-            out.append((name, True))
-        except ValueError:
-            out.append((name, False))
-    return out
-
-
 def projection_modes(s: SparkSession, d: str) -> DataFrame:
-    p = table(s, d, "part")
-    rules = {"all": {}, "select": {"select": ["p_name"]}, "omit": {"omit": ["p_name"]}, "select and omit": {"select": ["p_name"], "omit": ["p_size"]}}
-    return s.createDataFrame(allowed({k: lambda q=q: P.project(p, **q) for k, q in rules.items()}), "mode string, allowed boolean")
+    """Every part asks for a projection of its own: by its size with select, omit, both or neither, some with an unknown field."""
+    size, fields = F.col("p_size"), ["p_partkey", "p_name", "p_brand", "p_type"]
+    some = F.array(F.lit("p_name"), F.when(size % 5 == 0, "p_colour").otherwise("p_brand"))
+    problem, kept = P.kept_fields(fields, F.when(size % 2 == 0, some), F.when(size % 3 == 0, some))
+    return table(s, d, "part").select("p_partkey", problem.alias("problem"), F.array_join(kept, ",").alias("kept"))
 
 
 def group_rules(s: SparkSession, d: str) -> DataFrame:
-    o = o_cents(s, d)
-    rules = {
-        "plain": {"by": ["pri"]},
-        "no keys": {"by": []},
-        "having a key": {"by": ["pri"], "having": {"pri": "2-HIGH"}},
-        "having another column": {"by": ["pri"], "having": {"total": {"gt": 1}}},
-        "having an aggregate": {"by": ["pri"], "having": {"max_total": {"gt": 1}}},
-        "order by another column": {"by": ["pri"], "order_by": [("total", "asc")]},
-        "take without order": {"by": ["pri"], "take": 3},
-        "take with order": {"by": ["pri"], "order_by": [("sum_total", "desc")], "take": 3},
-    }
-    return s.createDataFrame(allowed({k: lambda q=q: A.group_by(o, wanted={"count": ["*"]}, **q) for k, q in rules.items()}), "rule string, allowed boolean")
+    """Every order asks for groups: its keys, what it has in having and order, and whether it pages, by its number."""
+    k = F.col("o_orderkey")
+    by = F.when(k % 7 == 0, F.array().cast("array<string>")).when(k % 2 == 0, F.array(F.lit("pri"))).otherwise(F.array(F.lit("pri"), F.lit("o_custkey")))
+    used = F.array_compact(F.array(F.when(k % 3 == 0, "o_custkey"), F.when(k % 5 == 0, "sum_total"), F.when(k % 11 == 0, "total")))
+    problem = A.group_problem(by, used, ["n", "sum_total", "max_total"], k % 13 == 0, k % 5 == 0)
+    return table(s, d, "orders").select("o_orderkey", problem.alias("problem"))
 
 
 def events_stream(s: SparkSession, d: str) -> DataFrame:
@@ -127,8 +109,16 @@ QUERIES = {
     ),
     "S21_result_sink": (result_sink, "with " + DONE + """ select 'job:' || job_id || ':result' as key, '{' || coalesce('"report":"' || result || '",', '') || '"completedAt":' || completed_at || '}' as value, completed_at as at, completed_at + 604800000 as expires_at from dn"""),
     "S22_stored_result": (lambda s, d: T.read_results(T.store_results(done_jobs(s, d)), KEPT), "with " + DONE + f" select cast(job_id as varchar) as job_id, result as report, completed_at from dn where completed_at + 604800000 >= {KEPT}"),
-    "P10_projection_modes": (projection_modes, "select * from (values ('all', true), ('select', true), ('omit', true), ('select and omit', false)) t(mode, allowed)"),
-    "A9_group_rules": (group_rules, "select * from (values ('plain', true), ('no keys', false), ('having a key', true), ('having another column', false), ('having an aggregate', true), ('order by another column', false), ('take without order', false), ('take with order', true)) t(rule, allowed)"),
+    "P10_projection_modes": (
+        projection_modes,
+        """select p_partkey, case when p_size % 6 = 0 then 'select and omit' when p_size % 5 = 0 and (p_size % 2 = 0 or p_size % 3 = 0) then 'unknown field' end as problem,
+ case when p_size % 6 = 0 or (p_size % 5 = 0 and (p_size % 2 = 0 or p_size % 3 = 0)) then null when p_size % 2 = 0 then 'p_name,p_brand' when p_size % 3 = 0 then 'p_partkey,p_type' else 'p_partkey,p_name,p_brand,p_type' end as kept from part""",
+    ),
+    "A9_group_rules": (
+        group_rules,
+        """select o_orderkey, case when o_orderkey % 7 = 0 then 'by must not be empty' when o_orderkey % 13 = 0 and o_orderkey % 5 <> 0 then 'skip and take need order_by'
+ when o_orderkey % 6 = 0 and o_orderkey % 11 = 0 then 'not in by: o_custkey, total' when o_orderkey % 6 = 0 then 'not in by: o_custkey' when o_orderkey % 11 = 0 then 'not in by: total' end as problem from orders""",
+    ),
     "J13_left_merge": (lambda s, d: table(s, d, "customer").select("c_custkey").join(o_cents(s, d).filter("o_orderstatus = 'P'").hint("merge"), F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", "o_orderkey"), OC + "select c_custkey, o_orderkey from customer left join oc on o_custkey = c_custkey and o_orderstatus = 'P'"),
     "J13_right_hash": (lambda s, d: table(s, d, "customer").filter("c_acctbal < 0").hint("shuffle_hash").join(table(s, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "right").select("o_orderkey", "c_name"), "select o_orderkey, c_name from (select * from customer where c_acctbal < 0) right join orders on c_custkey = o_custkey"),
     "A17_approximate": (
