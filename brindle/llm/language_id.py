@@ -5,13 +5,13 @@ those words (with word bounds). A text's words (runs of letters, lower-cased) ar
 its log frequency in each language; an unseen word by its n-grams of the largest n of which the model knows any, their
 mean, less a fixed penalty for each step down. A language's score is the mean over all words of the whole text.
 
-Fitting covers a bounded sample: about ``docs_per_lang`` rows of each language among rows that are not held out, chosen
-by a hash of the id, and of these the ``words_per_lang`` most frequent words; of more than ``max_langs`` languages those
+Fitting covers a bounded sample: at most ``docs_per_lang`` documents of each language among those that are not held out,
+with the smallest hashes of id and text (repeated rows are one document; a small language is taken whole), and of these the ``words_per_lang`` most frequent words; of more than ``max_langs`` languages those
 with the most rows. All three are parameters; with them the model has a bounded size and is broadcast. Prediction reads every word of every text and never the language, source or id.
 
 Defined cases: a null text, or one without a letter (Unicode category L), is ``und`` with score 0. A very long text is
-scored whole, from the counts of its distinct words. Rows with a null or empty language are
-not learned from, but predicted. Without any row to learn from every text is ``und`` with score 0. Equal texts get
+scored whole, from the counts of its distinct words. Rows with a null language are
+not learned from, but predicted; an empty language is one like any other. Without any row to learn from every text is ``und`` with score 0. Equal texts get
 equal results. Other columns are ignored.
 """
 
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from brindle.llm.common import held_out
+from brindle.llm.common import Scratch, held_out, text_hash
 
 MAX_N, BACKOFF = 4, 1.0
 #: Unseen words whose scores a worker keeps.
@@ -118,13 +118,24 @@ def train(
     max_langs: int = 1_000,
 ) -> LanguageModel:
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang"))
-    rows = rows.filter(F.col("_lang").isNotNull() & (F.col("_lang") != "") & (F.col("_lang") != UND) & F.col("_text").isNotNull() & ~held_out("_id"))
-    sizes = {r["_lang"]: r["count"] for r in rows.groupBy("_lang").count().orderBy(F.desc("count"), "_lang").limit(max_langs).collect()}
+    rows = rows.filter(F.col("_lang").isNotNull() & F.col("_text").isNotNull() & ~held_out("_id"))
+    # Documents are drawn by their id and text, so copies of one row are one and no other row depends on them. About twice
+    # as many as wanted are drawn, all of a small language, and the smallest hashes of these stay.
+    rows = rows.withColumn("_th", text_hash("_text"))
+    keys = Scratch(docs.sparkSession, "language").write(rows.select("_id", "_th", "_lang").distinct(), "keys")
+    sizes = {r["_lang"]: r["count"] for r in keys.groupBy("_lang").count().orderBy(F.desc("count"), "_lang").limit(max_langs).collect()}
     if not sizes:
         return LanguageModel({})
-    rate = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, docs_per_lang / n))])
-    chosen = F.pmod(F.xxhash64("_id", F.lit(17)), F.lit(1_000_000)) < F.element_at(rate, F.col("_lang")) * 1_000_000
-    found = rows.filter(F.col("_lang").isin(list(sizes)) & chosen).select("_lang", F.explode(F.regexp_extract_all(F.lower("_text"), F.lit(r"\p{L}+"), F.lit(0))).alias("w"))
+    rate = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, 2 * docs_per_lang / n))])
+    draw = F.pmod(F.xxhash64("_id", "_th", F.lit(17)), F.lit(1_000_000))
+    drawn = keys.filter(F.col("_lang").isin(list(sizes)) & (draw < F.element_at(rate, F.col("_lang")) * 1_000_000)).withColumn("_draw", draw)
+    first = F.row_number().over(Window.partitionBy("_lang").orderBy("_draw", "_id", "_th"))
+    drawn = drawn.withColumn("_n", first).filter(F.col("_n") <= docs_per_lang)
+    drawn = drawn.select(F.col("_id").alias("_i"), F.col("_th").alias("_t"), F.col("_lang").alias("_l"))
+    side = F.broadcast(drawn) if docs_per_lang * len(sizes) <= 1_000_000 else drawn.hint("shuffle_hash")
+    rows = rows.join(side, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_th") == F.col("_t")) & (F.col("_lang") == F.col("_l")), "left_semi")
+    rows = rows.groupBy("_id", "_th", "_lang").agg(F.min("_text").alias("_text"))
+    found = rows.select("_lang", F.explode(F.regexp_extract_all(F.lower("_text"), F.lit(r"\p{L}+"), F.lit(0))).alias("w"))
     counts = found.groupBy("_lang", "w").count()
     rank = F.row_number().over(Window.partitionBy("_lang").orderBy(F.desc("count"), "w"))
     out: dict[str, dict[str, int]] = defaultdict(dict)

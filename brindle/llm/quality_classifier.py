@@ -10,7 +10,7 @@ smallest hashes of their id and text among labelled documents not held out; equa
 its whole text. These bounds are parameters and hold for fitting only: scoring reads every byte of every text.
 
 Defined cases: a null or empty text is one chunk of zero bytes and is scored like any other. Labels other than 0 and 1,
-and labels of unknown documents, are ignored; a document labelled twice counts twice, and
+and labels of unknown documents, are ignored; a label that is there twice counts once, two different labels once each, and
 each text of an id has its label. Without rows of both labels the
 score is the known label's, or 0.5 without any. Equal rows get equal scores. Other columns are ignored.
 """
@@ -168,7 +168,8 @@ def train(
     """Fit on labelled rows that are not held out. At most 2 * per_class * chunks_per_doc * CHUNK bytes reach the driver."""
     known = labels.filter(F.col(label_col).isin(0, 1) & ~held_out(id_col)).select(F.col(id_col).alias("_lid"), F.col(label_col).cast("int").alias("label"))
     texts = docs.select(F.col(id_col).alias("_did"), text_hash(text_col).alias("_th"), F.col(text_col).alias("text")).filter(F.col("_did").isNotNull())
-    found = texts.select("_did", "_th").distinct().join(known, F.col("_did") == F.col("_lid")).select("_did", "_th", "label")
+    # A label that is there many times takes one place.
+    found = texts.select("_did", "_th").distinct().join(known.distinct(), F.col("_did") == F.col("_lid")).select("_did", "_th", "label")
     found = Scratch(docs.sparkSession, "classifier").write(found, "labelled")
     order = [F.xxhash64("_did", "_th", F.lit(seed)), F.col("_did"), F.col("_th")]
     picked = [r for c in (0, 1) for r in found.filter(F.col("label") == c).orderBy(*order).limit(per_class).collect()]

@@ -5,13 +5,14 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from brindle.llm import fill_middle, phrases, substring_dedup
+from brindle.llm import fill_middle, language_id, phrases, quality_classifier, substring_dedup, vector_graph
 
 DOCS = "doc_id bigint, text string"
 
@@ -197,3 +198,103 @@ def test_chunks_own_every_word_once():
         total = [len(re.findall("[abcd]", t)) for t in texts]
         assert [int(own[text == k].sum()) for k in range(len(texts))] == total
         assert all(o <= len(h.split()) <= o + longest - 1 for h, o in zip(held, own.tolist(), strict=True))
+
+
+def _clumped(kind):
+    rnd = np.random.default_rng(4)
+    x = rnd.standard_normal((1_000, 32))
+    for k in range(330):
+        x[3 * k] = x[0] * (1 + k % 7) if kind == "multiples" else x[0] + (1e-3 if kind == "near copies" else 0.1) * rnd.standard_normal(32)
+    return x
+
+
+@pytest.mark.parametrize("kind", ["multiples", "near copies", "clump"])
+def test_vectors_beside_a_clump(spark, kind):
+    x = _clumped(kind)
+    index = vector_graph.VectorIndex(spark.createDataFrame(list(enumerate(x.tolist())), "vec_id bigint, embedding array<double>"))
+    got = index.search(index.rows.filter("id % 50 = 0")).collect()
+    u, hits = x / np.linalg.norm(x, axis=1, keepdims=True), {True: [], False: []}
+    for i in range(0, 1_000, 50):
+        s = np.round(u @ u[i], 12)
+        s[i] = -np.inf
+        best = np.lexsort((np.arange(1_000), -s))[:5]
+        mine = sorted((r["rank"], r.vec_id, r.score) for r in got if r.query_id == i)
+        assert [r for r, _, _ in mine] == [1, 2, 3, 4, 5] and all(abs(u[v] @ u[i] - c) < 1e-12 for _, v, c in mine)
+        hits[i % 3 == 0].append(len({v for _, v, _ in mine} & set(best.tolist())) / 5)
+    assert all(np.mean(h) >= 0.9 for h in hits.values())
+
+
+def test_vectors_of_one_direction(spark):
+    rows = [(k, [0.1 * (k + 1), 0.3 * (k + 1), -0.2 * (k + 1)]) for k in range(41)] + [(100, [1e-200, 0.0, 0.0]), (101, [1e200, 0.0, 0.0])]
+    index = vector_graph.VectorIndex(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"))
+    got = index.search(index.rows.filter("id in (0, 7)")).collect()
+    for q, near in ((0, [1, 2, 3, 4, 5]), (7, [0, 1, 2, 3, 4])):
+        assert [r.vec_id for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] == near
+    assert index.points.count() == 2
+    far = index.search(index.rows.filter("id = 100")).collect()
+    assert [(r.vec_id, round(r.score, 9)) for r in sorted(far, key=lambda r: r["rank"])][:2] == [(101, 1.0), (0, round(1 / 14**0.5, 9))]
+
+
+@pytest.mark.parametrize("ids", [None, 4, 9])
+def test_a_language_under_one_id_is_learned(spark, ids):
+    rows = [(ids, f"palabra numero{k} sobre la mesa del señor con niños", "es") for k in range(400)]
+    rows += [(1000 + k, f"the word number{k} is on the table of the man", "en") for k in range(400)] + [(ids, "même texte répété où là", "fr")] * 300
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = language_id.train(docs, docs_per_lang=50)
+    assert model.langs == ["en", "es", "fr"]
+    asked = spark.createDataFrame([(1, "sobre la mesa"), (2, "on the table"), (3, "texte répété")], DOCS)
+    assert {r.doc_id: r.lang_pred for r in language_id.predict(asked, model).collect()} == {1: "es", 2: "en", 3: "fr"}
+
+
+def test_language_scores_against_plain_python(spark):
+    counts = {"x": {"abc": 3, "ab": 1, "zz": 2}, "y": {"abd": 4, "bb": 2}}
+    model = language_id.LanguageModel(counts)
+
+    def entries(n):
+        out = {lang: {} for lang in counts}
+        for lang, ws in counts.items():
+            for w, c in ws.items():
+                for g in [w] if n == 0 else language_id.grams(w, n):
+                    out[lang][g] = out[lang].get(g, 0) + c
+        return out
+
+    def log_frequency(n, g, lang):
+        e = entries(n)
+        every = {k for x in e.values() for k in x}
+        return np.log((e[lang].get(g, 0) + 0.5) / (sum(e[lang].values()) + 0.5 * max(1, len(every))))
+
+    def word_score(w, lang):
+        if any(w in x for x in entries(0).values()):
+            return log_frequency(0, w, lang)
+        for n in range(min(language_id.MAX_N, len(w) + 2), 0, -1):
+            known = {k for x in entries(n).values() for k in x}
+            got = [g for g in language_id.grams(w, n) if g in known]
+            if got:
+                return sum(log_frequency(n, g, lang) for g in got) / len(got) - language_id.BACKOFF * (language_id.MAX_N + 1 - n)
+        return -20.0
+
+    for text in ("abc", "abx abc", "bbd zz qqq", "abd abd bb", "ñ"):
+        total = {lang: np.mean([word_score(w, lang) for w in text.split()]) for lang in counts}
+        best = max(sorted(counts), key=lambda lang: total[lang])
+        got = model.predict(text)
+        assert got[0] == best and got[1] == pytest.approx(1 / sum(np.exp(total[lang] - total[best]) for lang in counts))
+
+
+def test_repeated_labels_take_one_place(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, f"text {k}") for k in range(0, 60) if zlib.crc32(str(k).encode()) % 4 != 2], DOCS)
+    ids = [r.doc_id for r in docs.collect()]
+    labels = spark.createDataFrame([(ids[0], 0)] * 500 + [(i, k % 2) for k, i in enumerate(ids)], "doc_id bigint, quality int")
+    seen = []
+    monkeypatch.setattr(quality_classifier, "fit", lambda texts, y, seed: seen.append((len(texts), len({t.tobytes() for t in texts}))))
+    quality_classifier.train(docs, labels, per_class=100)
+    assert seen == [(len(ids), len(ids))]
+
+
+def test_mixing_stage_keeps_values_that_differ_little(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rows = [(1, "one two three", "s", k) for k in range(6)] + [(k, f"w{k} x y z", "s", 0) for k in range(2, 40)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, micros bigint")
+    docs = docs.withColumn("at", F.timestamp_micros(F.col("micros"))).withColumn("m", F.create_map(F.lit("k"), F.col("micros")))
+    docs = docs.withColumn("p", F.when(F.col("micros") == 1, "v")).withColumn("q", F.when(F.col("micros") == 2, "v"))
+    out = pipeline.mix_sources(spark, docs, "").filter("doc_id = 1").collect()
+    assert len({r.micros for r in out}) == min(len(out), 6) and all(r.at.microsecond == r.micros and r.m == {"k": r.micros} for r in out)
