@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from brindle.llm import line_dedup, mixing, ngram_join, packing, quality_classifier
 from brindle.llm.common import Scratch, fresh, repeated, text_hash
@@ -25,6 +26,13 @@ def _columns(docs: DataFrame) -> list[Column]:
     return [F.col(f"`{c}`") for c in docs.columns]
 
 
+def _told_apart(field: T.StructField) -> tuple[Column, Column]:
+    """What to hash of a column so that values that differ stay apart: nulls are skipped by the hash, maps can't be hashed."""
+    c = F.col(f"`{field.name}`")
+    plain = "map<" not in field.dataType.simpleString() and "variant" not in field.dataType.simpleString()
+    return c.isNull(), c if plain else F.to_json(F.struct(c))
+
+
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts (score of at least 0.7). Fitted on labelled rows of its input."""
     net = quality_classifier.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -74,7 +82,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     several = taken.filter(F.col(rows) > 1)
     if several.isEmpty():
         return once
-    of = F.xxhash64(F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c.lower() != "text"], F.lit(0).alias(n))))
+    of = F.xxhash64(*[x for c in docs.schema if c.name.lower() != "text" for x in _told_apart(c)], F.lit(0))
     kinds = copied(several).groupBy(did, th, copies, rows, of.alias(other)).agg(F.count("*").alias(n), F.first(F.struct(*_columns(docs))).alias(row))
     kinds = scratch.write(kinds, "kinds")
     # The rows of one id and text are numbered kind after kind; the first of them take what doesn't divide evenly.
