@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brindle.operators import signals as S
 from brindle.operators import similarity as N
 from brindle.operators import words as B
 from brindle.plans.mining_queries import topics
+from brindle.plans.stream_queries import PRE, pre
 from brindle.sources.tables import table
 
 LEAST = 0.4
@@ -35,6 +37,16 @@ def near_in_days(s: SparkSession, d: str) -> DataFrame:
     return N.near_pairs(t, t, "vec_id", "embedding", LEAST, at="at", window_s=DAY_S).select("new_id", "old_id")
 
 
+def opportunities(s: SparkSession, d: str) -> DataFrame:
+    """Clusters of vectors of preprocessed signals: evidence, estimates, final score and quadrant."""
+    signals = pre(s, d).join(clustered(s, d).select(F.col("vec_id").alias("doc_id"), "cluster"), "doc_id")
+    rolled = S.rollup(signals, "cluster").filter("frequency > 1")
+    found = rolled.join(S.estimates(signals, "cluster"), "cluster")
+    problem = F.least(F.lit(1.0), F.col("intensity") * 20)
+    scored = S.score(found.withColumn("problem", problem).withColumn("share", F.col("market")).withColumn("market", F.least(F.lit(1.0), F.col("frequency") / 5)).withColumn("timing", F.size("affected") / 4))
+    return scored.select("cluster", "frequency", F.round("share", 9).alias("share"), F.round("competition", 9).alias("competition"), F.round("opportunity", 9).alias("opportunity"), F.round("final", 6).alias("final"), "quadrant")
+
+
 def held_out() -> Column:
     """A quarter of the conversations, by the first digit of a hash of the id."""
     return F.substring(F.md5(F.col("conv_id").cast("string").cast("binary")), 1, 1).isin("2", "6", "a", "e")
@@ -116,4 +128,11 @@ select cluster, to_json({'frequency': frequency, 'affected': affected, 'sources'
     ),
     "X19_learned_author": (authors, BAYES + "select conv_id, turn, author, score from a"),
     "X19_author_accuracy": (author_accuracy, BAYES + "select o.h as held_out, count(*) as n, count(*) filter (author = c.role) as n_right from a join c using (conv_id, turn) join o using (conv_id) group by 1"),
+    "A16_cluster_opportunities": (
+        opportunities,
+        f"with recursive {COMPONENTS}, cl as (select id as doc_id, min(r) as cluster from reach group by 1), "
+        + PRE
+        + """, sg as (select pre.*, cluster from pre join cl using (doc_id)), c as (select cluster, count(*) as frequency, count(*) / (select count(*) from sg) as share, avg(case when demand_tags <> '' then 1.0::double else 0 end) as competition, least(1.0::double, avg(intensity) * 20) as problem, least(1.0::double, count(*)::double / 5) as market, count(distinct lang)::double / 4 as timing from sg group by 1)
+select cluster, frequency, round(share, 9) as share, round(competition, 9) as competition, round(share * (1 - competition), 9) as opportunity, round(0.5 * problem + 0.3 * market + 0.2 * timing, 6) as final, case when problem >= 0.5 then 'strong' else 'weak' end || '/' || case when market >= 0.5 then 'large' else 'small' end as quadrant from c where frequency > 1""",
+    ),
 }
