@@ -96,7 +96,7 @@ def redeem_log(attempts: DataFrame, coupons: DataFrame, usages: DataFrame) -> Da
     in_order = ["at", "attempt_id"]
     mine = Window.partitionBy("coupon_id", "user_id").orderBy(*in_order).rowsBetween(Window.unboundedPreceding, 0)
     a = a.withColumn("_within", live & (F.sum(live.cast("long")).over(mine) + F.col("used_by_user") <= F.col("per_user_limit")))
-    a = carried_before(a, ["coupon_id"], in_order, F.date_trunc("hour", "at"), F.col("_within").cast("long"), "_taken")
+    a = carried_before(a, ["coupon_id"], in_order, None, F.col("_within").cast("long"), "_taken")
     taken = F.col("_taken") + F.col("used_count")
     full = F.col("max_uses").isNotNull() & (taken >= F.col("max_uses"))
     reason = F.coalesce("_early", F.when(full, "Coupon exhausted").when(~F.col("_within"), LIMIT))

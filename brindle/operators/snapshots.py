@@ -189,3 +189,37 @@ def publish(spark: SparkSession, rows: DataFrame, path: str, batch: str) -> None
         fs.rename(at(path), at(old))
     fs.rename(at(new), at(path))
     fs.delete(at(old), True)
+
+
+def _pointers(spark: SparkSession, path: str) -> list[tuple[int, str]]:
+    """Number and batch of every snapshot that was published, in order."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(f"{path}/pointers")
+    fs = at.getFileSystem(conf)
+    if not fs.exists(at):
+        return []
+    named = spark.read.text(f"{path}/pointers").select(F.element_at(F.split(F.input_file_name(), "/"), -1).cast("int").alias("n"), "value")
+    return sorted((r.n, r.value) for r in named.collect())
+
+
+def publish_version(spark: SparkSession, rows: DataFrame, path: str, batch: str) -> None:
+    """Write the snapshot under its batch's name, then point to it: readers see the old one or the new one, never none.
+
+    A pointer is a small new file whose name is the next number, so nothing is renamed or replaced, on any store; of two
+    writers that point at once the second gets an error and publishes again. A batch that is pointed to is not written again.
+    """
+    before = _pointers(spark, path)
+    if any(b == batch for _, b in before):
+        return
+    rows.write.mode("overwrite").parquet(f"{path}/versions/{batch}")
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(f"{path}/pointers/{max([n for n, _ in before], default=0) + 1}")
+    out = at.getFileSystem(conf).create(at, False)
+    out.write(bytearray(batch.encode()))
+    out.close()
+
+
+def current_version(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The snapshot that was pointed to last; no rows before the first."""
+    found = _pointers(spark, path)
+    return spark.read.schema(schema).parquet(f"{path}/versions/{found[-1][1]}") if found else spark.createDataFrame([], schema)

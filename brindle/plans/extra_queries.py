@@ -18,7 +18,7 @@ from brindle.streaming import progress as T
 def reuse(s: SparkSession, d: str) -> DataFrame:
     """A job may reuse the newest result of its topic within five days, at 5 credits; otherwise it costs 50."""
     e = table(s, d, "events").withColumn("topic", F.get_json_object("props", "$.k"))
-    e = carried_before(e, ["topic"], ["ts", "event_id"], F.date_trunc("day", "ts"), F.when(F.col("event_type") == "purchase", F.struct("event_id", "ts")), "p", last=True)
+    e = carried_before(e, ["topic"], ["ts", "event_id"], None, F.when(F.col("event_type") == "purchase", F.struct("event_id", "ts")), "p", last=True)
     near = F.col("p.ts") >= F.col("ts") - F.expr("interval 5 days")
     return e.select("event_id", F.when(near, F.col("p.event_id")).alias("reused"), F.when(near, 5).otherwise(50).alias("credits"))
 

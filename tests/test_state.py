@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
+from brindle.operators import snapshots as M
+from brindle.operators.windows import carried_before
 from brindle.sources.event_text import read_events, write_events
 from brindle.streaming import stateful as ST
 
@@ -73,3 +77,29 @@ def test_event_files_in_many_splits(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert found == {str(k): ("step", f'{{"k":\n {k}}}') for k in range(3_000)} | {None: (None, "")}
+
+
+def test_versions_swap_without_a_gap(spark, tmp_path):
+    at, schema = f"file://{tmp_path}/table", "id bigint"
+    assert M.current_version(spark, at, schema).collect() == []
+    M.publish_version(spark, spark.range(3), at, "b1")
+    held = M.current_version(spark, at, schema)
+    M.publish_version(spark, spark.range(10, 15), at, "b2")
+    M.publish_version(spark, spark.range(99), at, "b1")  # is there
+    assert sorted(r.id for r in held.collect()) == [0, 1, 2]
+    assert sorted(r.id for r in M.current_version(spark, at, schema).collect()) == [10, 11, 12, 13, 14]
+    for k in range(3, 13):
+        M.publish_version(spark, spark.range(k), at, f"b{k}")
+    assert M.current_version(spark, at, schema).count() == 12
+
+
+@pytest.mark.parametrize("piece_rows", [50, 1_000_000])
+def test_carried_over_ranges_of_rows(spark, piece_rows):
+    rnd = random.Random(3)
+    rows = [(k, rnd.choice(["a", "a", "a", "b", None]), rnd.randrange(40), rnd.choice([None, 1, 2, 3])) for k in range(600)]
+    df = spark.createDataFrame(rows, "id int, k string, at int, v int")
+    got = carried_before(df, ["k"], ["at", "id"], None, F.col("v"), "s", piece_rows=piece_rows)
+    got = {r.id: (r.s, r.l) for r in carried_before(got, ["k"], ["at", "id"], None, F.col("v"), "l", last=True, piece_rows=piece_rows).collect()}
+    for i, k, at, _ in rows:
+        before = [v for j, g, b, v in sorted(rows, key=lambda r: (r[2], r[0])) if g == k and (b, j) < (at, i) and v is not None]
+        assert got[i] == (sum(before), before[-1] if before else None)
