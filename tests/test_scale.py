@@ -174,3 +174,9 @@ def test_bucketed_tables_join_without_exchange(spark):
     joined = a.hint("merge").join(b, F.col("a") == F.col("b")).groupBy("a").agg(F.count("*").alias("n"))
     assert joined.count() == 700
     assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
+
+
+def test_naive_bayes_held_out(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang").withColumn("held", F.col("doc_id") % 4 == 2)
+    got = B.classify(docs.filter("held"), ["doc_id"], "text", B.naive_bayes(docs.filter("not held"), "lang", "text")).join(docs, "doc_id")
+    assert got.filter("label = lang").count() >= 0.95 * got.count() > 0
