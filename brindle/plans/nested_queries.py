@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.operators import aggregates as A
+from brindle.operators import nested_writes as W
 from brindle.operators import paging as P
 from brindle.operators import snapshots as M
 from brindle.plans.ledger_queries import CU, customers
@@ -34,6 +36,45 @@ def nested_many(s: SparkSession, d: str) -> DataFrame:
     return M.write_children(in_debt(s, d), "c_custkey", orders, "o_custkey", create=new, update=({"o_orderstatus": "F"}, {"total": 0}), delete={"o_orderstatus": "P"})
 
 
+def short_orders(s: SparkSession, d: str) -> DataFrame:
+    return o_cents(s, d).select("o_orderkey", "o_custkey", "o_orderstatus", "total")
+
+
+def wanted_orders(s: SparkSession, d: str) -> DataFrame:
+    """Orders that suppliers ask for, for a customer each: some of the keys are taken, some asked for twice."""
+    k = F.col("s_suppkey")
+    return table(s, d, "supplier").select((k - k % 2).cast("bigint").alias("key"), k.alias("pos")).select((F.col("key") * 400).alias("o_orderkey"), (F.col("pos") * 20).alias("o_custkey"), F.lit("N").alias("o_orderstatus"), F.col("pos").alias("total"), "pos")
+
+
+WANTED = OC.rstrip().rstrip(",") + """, so as (select o_orderkey, o_custkey, o_orderstatus, total from oc),
+wn as (select (s_suppkey - s_suppkey % 2) * 400 as o_orderkey, s_suppkey * 20 as o_custkey, 'N' as o_orderstatus, s_suppkey as total from supplier),
+w1 as (select * from wn qualify row_number() over (partition by o_orderkey order by total) = 1)
+"""
+
+
+def order_update() -> dict:
+    return {"total": F.col("total") + F.col("_w_total"), "o_orderstatus": F.lit("U")}
+
+
+def wanted_by_owner(s: SparkSession, d: str) -> DataFrame:
+    """As wanted_orders, but every third for the customer who has the order."""
+    owner = table(s, d, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("owner"))
+    w = wanted_orders(s, d).join(owner, F.col("o_orderkey") == F.col("k"), "left")
+    return w.withColumn("o_custkey", F.when(F.col("pos") % 3 > 0, F.coalesce("owner", "o_custkey")).otherwise(F.col("o_custkey"))).drop("k", "owner")
+
+
+def parents_wanted(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Pending orders ask for a customer by a number of their own, part of which are new."""
+    o = guests(s, d).select("o_orderkey", "fk", "o_custkey")
+    wanted = o.filter("fk is null").select(F.col("o_orderkey").alias("_child"), (F.col("o_custkey") + 700).alias("c_custkey"), F.concat(F.lit("Guest "), F.col("o_orderkey").cast("string")).alias("c_name"), F.lit(0).alias("bal"))
+    return W.connect_or_create_parent(o, "o_orderkey", "fk", customers(s, d), "c_custkey", wanted)
+
+
+def parents_upserted(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    o = guests(s, d).filter("o_orderstatus <> 'O'").select("o_orderkey", "fk")
+    return W.upsert_parent(o, "fk", customers(s, d), "c_custkey", {"bal": F.col("bal") + 1}, {"c_custkey": -F.col("o_orderkey"), "c_name": F.lit("Guest"), "bal": F.lit(0)})
+
+
 def guests(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "orders").withColumn("fk", F.when(F.col("o_orderstatus") != "P", F.col("o_custkey")))
 
@@ -144,4 +185,14 @@ QUERIES = {
     ),
     "T14_stream_join": (stream_join, "select p.event_id as left_id, c.event_id as right_id from events p join events c on c.user_id = p.user_id and c.ts <= p.ts and c.ts >= p.ts - interval 1 hour where p.event_type = 'purchase' and c.event_type = 'click'"),
     "T14_stream_dedup": (stream_dedup, "select event_id, user_id, event_type from events"),
+    "M12_connect_or_create": (lambda s, d: W.connect_or_create(short_orders(s, d), wanted_orders(s, d), "o_orderkey", "o_custkey", "pos").rows, WANTED + "select so.o_orderkey, coalesce(w1.o_custkey, so.o_custkey) as o_custkey, so.o_orderstatus, so.total from so left join w1 using (o_orderkey) union all select * from w1 where o_orderkey not in (select o_orderkey from so)"),
+    "M12_nested_upsert": (
+        lambda s, d: W.upsert(short_orders(s, d), wanted_by_owner(s, d), "o_orderkey", "o_custkey", order_update(), "pos").rows,
+        WANTED + ", w2 as (select w1.o_orderkey, case when w1.total % 3 > 0 then coalesce(so.o_custkey, w1.o_custkey) else w1.o_custkey end as o_custkey, w1.o_orderstatus, w1.total from w1 left join so using (o_orderkey)) select so.o_orderkey, so.o_custkey, case when w2.o_custkey = so.o_custkey then 'U' else so.o_orderstatus end as o_orderstatus, so.total + case when w2.o_custkey = so.o_custkey then w2.total else 0 end as total from so left join w2 using (o_orderkey) union all select * from w2 where o_orderkey not in (select o_orderkey from so)",
+    ),
+    "M12_nested_create_many": (lambda s, d: W.create_many(short_orders(s, d), wanted_orders(s, d), "o_orderkey", "o_custkey", customers(s, d), "c_custkey", "pos", skip_duplicates=True).changed, WANTED + "select * from wn where o_custkey in (select c_custkey from customer) and o_orderkey not in (select o_orderkey from so) qualify row_number() over (partition by o_orderkey order by total) = 1"),
+    "M13_connect_or_create": (lambda s, d: parents_wanted(s, d)[1], "with " + CU + "select * from cu union all select c_custkey, 'Guest ' || k, 0, null from (select o_custkey + 700 as c_custkey, min(o_orderkey) as k from orders where o_orderstatus = 'P' group by 1) where c_custkey not in (select c_custkey from cu)"),
+    "M13_connected_children": (lambda s, d: parents_wanted(s, d)[0].select("o_orderkey", "fk"), "select o_orderkey, case when o_orderstatus = 'P' then o_custkey + 700 else o_custkey end as fk from orders"),
+    "M13_nested_upsert": (lambda s, d: parents_upserted(s, d)[1], "with " + CU + "select c_custkey, c_name, bal + case when c_custkey in (select o_custkey from orders where o_orderstatus = 'F') then 1 else 0 end as bal, c_mktsegment from cu union all select -o_orderkey, 'Guest', 0, null from orders where o_orderstatus = 'P'"),
+    "M13_upserted_children": (lambda s, d: parents_upserted(s, d)[0], "select o_orderkey, case when o_orderstatus = 'P' then -o_orderkey else o_custkey end as fk from orders where o_orderstatus <> 'O'"),
 }
