@@ -128,7 +128,9 @@ def centres(vectors: DataFrame, vector: str, label: str) -> DataFrame:
 
 def nearest_centre(vectors: DataFrame, vector: str, label: str) -> DataFrame:
     """vectors with cluster: the label whose mean vector has the largest dot product, of equal ones the smaller label.
-    The centres are one array of one row per label (labels are a fixed, small set)."""
+    The centres are one array of one row per label, sent to all tasks: more than 10,000 labels are an error."""
+    if vectors.select(label).distinct().limit(10_001).count() > 10_000:
+        raise ValueError("more than 10,000 labels; cluster by near pairs instead")
     parts = vectors.select(F.col(label).alias("_l"), F.posexplode(F.col(vector).cast("array<double>")).alias("i", "x")).groupBy("_l", "i").agg(F.avg("x").alias("m"))
     centres = parts.groupBy("_l").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda p: p["m"]).alias("m"))
     one = centres.agg(F.array_sort(F.collect_list(F.struct(F.col("_l").alias("l"), "m"))).alias("_centres"))

@@ -10,10 +10,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from brindle.operators import nested_writes as W
 from brindle.operators import similarity as N
 from brindle.operators import sketches as K
 from brindle.operators import words as B
 from brindle.operators.bucketed import bucketed
+from brindle.operators.extensions import Client, Extension
 from brindle.operators.intervals import overlaps
 
 VECTORS = "id bigint, v array<float>"
@@ -180,3 +182,43 @@ def test_naive_bayes_held_out(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang").withColumn("held", F.col("doc_id") % 4 == 2)
     got = B.classify(docs.filter("held"), ["doc_id"], "text", B.naive_bayes(docs.filter("not held"), "lang", "text")).join(docs, "doc_id")
     assert got.filter("label = lang").count() >= 0.95 * got.count() > 0
+
+
+def test_extensions_stack(spark):
+    rows = spark.createDataFrame([(1, 5), (2, 7), (3, None)], "id int, v int")
+    c = Client({"t": rows}, {"t": ["id"]})
+    more = c.extend(Extension(fields={"t": {"w": F.col("v") + 1}}), Extension(fields={"t": {"x": F.col("w") * 2}}))
+    assert [tuple(r) for r in more.find_many("t", order_by=["id"]).collect()] == [(1, 5, 6, 12), (2, 7, 8, 16), (3, None, None, None)]
+    assert c.find_many("t").columns == ["id", "v"]
+    seen = []
+
+    def hook(name):
+        def run(table, args, on):
+            seen.append(name)
+            return on(args | {"take": 1})
+
+        return run
+
+    hooked = more.extend(Extension(hooks={"t": hook("inner")}), Extension(hooks={"*": hook("outer")}))
+    assert [r.id for r in hooked.find_many("t", order_by=[("id", "desc")], filter={"x": {"gt": 1}}).collect()] == [2] and seen == ["outer", "inner"]
+    own = more.extend(Extension(operations={"*": {"f": lambda rows, k: k}}), Extension(operations={"t": {"f": lambda rows, k: rows.count() + k}}))
+    assert own.call("t", "f", 4) == 7
+    with pytest.raises(AttributeError):
+        c.call("t", "f")
+
+
+def test_nested_writes_by_hand(spark):
+    children = spark.createDataFrame([(1, 10, "a"), (2, 20, "b"), (3, None, "c")], "k int, fk int, v string")
+    wanted = spark.createDataFrame([(1, 30, "x", 1), (2, 20, "y", 2), (4, 40, "z", 4), (4, 50, "late", 5), (None, 60, "n", 6)], "k int, fk int, v string, pos int")
+    rows = lambda df: sorted((tuple(r) for r in df.collect()), key=str)
+    assert rows(W.connect_or_create(children, wanted, "k", "fk", "pos").rows) == sorted([(1, 30, "a"), (2, 20, "b"), (3, None, "c"), (4, 40, "z"), (None, 60, "n")], key=str)
+    done = W.upsert(children, wanted, "k", "fk", {"v": F.concat("v", "_w_v")}, "pos")
+    assert rows(done.rows) == sorted([(1, 10, "a"), (2, 20, "by"), (3, None, "c"), (4, 40, "z"), (None, 60, "n")], key=str)
+    assert rows(done.changed) == sorted([(2, 20, "by"), (4, 40, "z"), (None, 60, "n")], key=str)
+    parents = spark.createDataFrame([(20, "p"), (40, "q")], "id int, name string")
+    assert rows(W.create_many(children, wanted, "k", "fk", parents, "id", "pos", skip_duplicates=True).changed) == [(4, 40, "z")]
+    asked = spark.createDataFrame([(1, 70, "new"), (2, 70, "newer"), (3, 40, "q2"), (9, 80, "nobody")], "_child int, id int, name string")
+    kids, all_parents = W.connect_or_create_parent(children, "k", "fk", parents, "id", asked)
+    assert rows(kids) == [(1, 70, "a"), (2, 70, "b"), (3, 40, "c")] and rows(all_parents) == [(20, "p"), (40, "q"), (70, "new")]
+    kids, all_parents = W.upsert_parent(children, "fk", parents, "id", {"name": F.upper("name")}, {"id": -F.col("k"), "name": F.col("v")})
+    assert rows(kids) == sorted([(1, 10, "a"), (2, 20, "b"), (3, -3, "c")], key=str) and rows(all_parents) == sorted([(20, "P"), (40, "q"), (-3, "c")], key=str)
