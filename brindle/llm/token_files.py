@@ -11,7 +11,7 @@ a text are those of its words one after another, and each worker remembers the i
 
 Defined cases: null and empty texts give the end id alone. A very long text is encoded whole, in a slice of its own. A
 null doc_id sorts first. Rows with an equal doc_id are separate documents in the order of a hash of their texts, so that
-many texts under one id, or under none, are dealt to many files. An empty table gives no rows. Other columns are ignored. The names of
+many texts under one id, or under none, are dealt to many files; so are rows that are equal in both. An empty table gives no rows. Other columns are ignored. The names of
 the files are written beside them (``_listing`` appended to the path), and reading fails if one of them is missing.
 """
 
@@ -154,10 +154,12 @@ def write_tokens(
     row_index_stride: int = 1_000,
     stripe_bytes: int = 16 << 20,
 ) -> None:
-    """files: number of ranges of (id, text hash), one file each; the session's shuffle partitions if not given."""
+    """files: number of ranges of (id, text hash), one file each; the session's shuffle partitions if not given. Equal rows
+    are numbered as they are read, so that any number of them is dealt to many files."""
     parts = files or shuffle_partitions(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), text_hash(text_col).alias("th"))
-    order = (F.col("doc_id").asc_nulls_first(), F.col("th"))
+    rows = rows.withColumn("nth", F.monotonically_increasing_id())
+    order = (F.col("doc_id").asc_nulls_first(), F.col("th"), F.col("nth"))
     rows = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "text")
     out = rows.mapInArrow(lambda b: _encoded(b, tokenizer_path, end_id), "doc_id bigint, ids array<int>, at bigint")
     (

@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from brindle.llm import fill_middle, language_id, phrases, quality_classifier, substring_dedup, vector_graph
+from brindle.llm import fill_middle, language_id, phrases, quality_classifier, substring_dedup, token_files, vector_graph
 
 DOCS = "doc_id bigint, text string"
 
@@ -298,3 +298,24 @@ def test_mixing_stage_keeps_values_that_differ_little(spark):
     docs = docs.withColumn("p", F.when(F.col("micros") == 1, "v")).withColumn("q", F.when(F.col("micros") == 2, "v"))
     out = pipeline.mix_sources(spark, docs, "").filter("doc_id = 1").collect()
     assert len({r.micros for r in out}) == min(len(out), 6) and all(r.at.microsecond == r.micros and r.m == {"k": r.micros} for r in out)
+
+
+def test_text_column_named_like_a_result(spark):
+    docs = spark.createDataFrame([(1, "a\nb\n"), (2, None)], "i bigint, fim_text string")
+    made = {r.i: r for r in fill_middle.fill_middle(docs, "i", "fim_text").collect()}
+    assert made[1].n == 2 and made[2].form == "plain" and fill_middle.RESULTS.keys() <= made[1].asDict().keys()
+    docs = spark.createDataFrame([(1, "a b c d"), (2, "x a b c d"), (3, None)], "i bigint, kept_text string")
+    made = {r.i: r.kept_text for r in substring_dedup.dedup_substrings(docs, "i", "kept_text", min_words=3, filter_bits=20).collect()}
+    assert made == {1: "a b c d", 2: "x", 3: ""}
+
+
+def test_equal_rows_are_dealt_to_files(spark, tmp_path):
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    at = str(tmp_path / "tokens")
+    docs = spark.createDataFrame([(7, "one text")] * 400 + [(9, "another")], DOCS).repartition(5)
+    token_files.write_tokens(docs, at, public_tokenizers.path("word_bpe_49k.json"), files=4)
+    got = token_files.token_index(spark, at).orderBy("start").collect()
+    assert [r.doc_id for r in got] == [7] * 400 + [9] and len({(r.n_tokens, r.ids_crc32) for r in got[:400]}) == 1
+    assert [r.start for r in got] == np.cumsum([0, *[r.n_tokens for r in got]])[:-1].tolist()
+    sizes = [r["count"] for r in token_files.read_tokens(spark, at).groupBy("file").count().collect()]
+    assert len(sizes) == 4 and max(sizes) < 150
