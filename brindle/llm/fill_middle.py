@@ -112,10 +112,10 @@ def cuts(data: np.ndarray, at: np.ndarray, h1: np.ndarray, h2: np.ndarray, unit:
     return n, first, second, chars[1] - chars[0], chars[2] - chars[1]
 
 
-def _rearranged(batches: Iterator[pa.RecordBatch], unit: str) -> Iterator[pa.RecordBatch]:
-    """Columns h1, h2, form and text, then those that are kept."""
-    for batch in slices(batches, "text"):
-        data, at = joined(batch.column("text"))
+def _rearranged(batches: Iterator[pa.RecordBatch], text_col: str, unit: str, n_kept: int) -> Iterator[pa.RecordBatch]:
+    """Columns h1, h2, form, and those that are kept (c0, c1, ...), of which one is the text, or text."""
+    for batch in slices(batches, text_col):
+        data, at = joined(batch.column(text_col))
         h1, h2 = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("h1", "h2"))
         n, first, second, p_chars, m_chars = cuts(data, at, h1, h2, unit)
         flat, texts, forms = data.tobytes(), [], batch.column("form").to_pylist()
@@ -128,7 +128,7 @@ def _rearranged(batches: Iterator[pa.RecordBatch], unit: str) -> Iterator[pa.Rec
             else:
                 texts.append(flat[begin:stop])
         plain = np.array([f == "plain" for f in forms], bool)
-        kept = {c: batch.column(c) for c in batch.schema.names[4:]}
+        kept = {c: batch.column(c) for c in (f"c{k}" for k in range(n_kept))}
         made = [pa.array(n, pa.int64()), batch.column("form"), pa.array(p_chars, pa.int64(), mask=plain), pa.array(m_chars, pa.int64(), mask=plain), pa.array(texts, pa.binary()).view(pa.string())]
         yield pa.RecordBatch.from_arrays([*kept.values(), *made], names=[*kept, *RESULTS])
 
@@ -147,8 +147,10 @@ def fill_middle(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # Numbers stand for the names of kept columns on the way through Python, so any name will do.
     kept = [F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(keep)]
     schema = T.StructType([*(T.StructField(f"c{k}", docs.schema[c].dataType) for k, c in enumerate(keep)), *(T.StructField(k, t) for k, t in RESULTS.items())])
-    rows = docs.select(h1.alias("h1"), h2.alias("h2"), form.alias("form"), text.alias("text"), *kept)
-    return rows.mapInArrow(lambda b: _rearranged(b, unit), schema).toDF(*keep, *RESULTS)
+    # A text that is kept goes through Python once.
+    name, extra = (f"c{keep.index(text_col)}", []) if text_col in keep else ("text", [text.alias("text")])
+    rows = docs.select(h1.alias("h1"), h2.alias("h2"), form.alias("form"), *extra, *kept)
+    return rows.mapInArrow(lambda b: _rearranged(b, name, unit, len(keep)), schema).toDF(*keep, *RESULTS)
 
 
 def restored(text: Column, form: Column) -> Column:

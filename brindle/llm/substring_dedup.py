@@ -261,10 +261,10 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return scratch.write(ranges.distinct(), "ranges")
 
 
-def _cut(batches: Iterator[pa.RecordBatch], n_kept: int) -> Iterator[pa.RecordBatch]:
-    """Columns text and ranges (or no such column), then those that are kept."""
-    for b in slices(batches, "text"):
-        flat, begin, end, first = _words(b.column("text"))
+def _cut(batches: Iterator[pa.RecordBatch], text_col: str, n_kept: int) -> Iterator[pa.RecordBatch]:
+    """The texts without their ranges (if there is such a column), beside the kept columns (c0, c1, ...)."""
+    for b in slices(batches, text_col):
+        flat, begin, end, first = _words(b.column(text_col))
         edge = np.zeros(len(begin) + 1, np.int64)
         if "ranges" in b.schema.names:
             lists = b.column("ranges")
@@ -284,6 +284,12 @@ def _cut(batches: Iterator[pa.RecordBatch], n_kept: int) -> Iterator[pa.RecordBa
         yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), *made], names=[*names, *RESULTS])
 
 
+def _sifted(batches: Iterator[pa.RecordBatch], bitmap: Broadcast, wanted: bool) -> Iterator[pa.RecordBatch]:
+    """The rows whose bit (at) is set, or those whose bit isn't."""
+    for b in batches:
+        yield b.filter(pa.array(_set(bitmap.value, b.column("at").to_numpy()) == wanted))
+
+
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 13, **how: int) -> DataFrame:
     """docs with n_words, n_removed and kept_text, the words that stay with one space between them."""
     spark = docs.sparkSession
@@ -293,25 +299,20 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     shared = _bitmap(ranges.select("doc_id", "th").distinct().select(at.alias("at")), bits)
     blocks = spark.sparkContext.broadcast(shared)
 
-    @F.pandas_udf("boolean")
-    def touched(at):
-        import pandas as pd
-
-        return pd.Series(_set(blocks.value, at.to_numpy()))
-
     keep = [c for c in docs.columns if c.lower() not in RESULTS]
     kept = [F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(keep)]
     fields = [T.StructField(f"c{k}", docs.schema[c].dataType) for k, c in enumerate(keep)]
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_hash(text_col).alias("th"), F.col(text_col).alias("text"), *kept)
-    rows = rows.withColumn("touched", touched(at))
+    # A text that is kept goes through Python once.
+    text, extra = (f"c{keep.index(text_col)}", []) if text_col in keep else ("text", [F.col(text_col).alias("text")])
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_hash(text_col).alias("th"), *extra, *kept).withColumn("at", at)
     schema = T.StructType([*fields, *(T.StructField(k, t) for k, t in RESULTS.items())])
     names = [f"c{k}" for k in range(len(keep))]
-    whole = rows.filter("not touched").select("text", *names).mapInArrow(lambda b: _cut(b, len(keep)), schema)
+    whole = rows.mapInArrow(lambda b: _cut(_sifted(b, blocks, False), text, len(keep)), schema)
     own = ranges.groupBy("doc_id", "th").agg(F.collect_list(F.struct("begin", "stop")).alias("ranges"))
     own = own.select(F.col("doc_id").alias("_d"), F.col("th").alias("_h"), "ranges")
-    some = rows.filter("touched").join(own.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_h")), "left")
+    some = rows.mapInArrow(lambda b: _sifted(b, blocks, True), rows.schema).join(own.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_h")), "left")
     ranges_of = F.coalesce("ranges", F.array().cast("array<struct<begin:bigint,stop:bigint>>")).alias("ranges")
-    some = some.select("text", ranges_of, *names).mapInArrow(lambda b: _cut(b, len(keep)), schema)
+    some = some.select(*dict.fromkeys([text, *names]), ranges_of).mapInArrow(lambda b: _cut(b, text, len(keep)), schema)
     return whole.unionByName(some).toDF(*keep, *RESULTS)
 
 
