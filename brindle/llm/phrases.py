@@ -6,12 +6,13 @@ next ``longest - 1`` words of its last piece, so every n-gram lies whole in the
 there only: overlaps count once. Distinct chunks with their frequencies are the dictionary, one aggregation; all that
 follows reads the dictionary, where n-grams inside a chunk weigh as much as the chunk.
 
-Counting. (1) Words and pairs of words are counted in ``cells`` counters by hash, capped at ``least``; each task fills its
-own, and tasks that each hold some blocks of the counters add them up as they come. What is in a counter under ``least``
-can't be frequent; then the same for longer n-grams all of whose words and pairs are left. (2) What is left of all is
-counted exactly by its bytes. A counter shared by many only lets more of them through to the exact count: results don't depend on
-``cells``, but with many more words than 16 times ``cells`` most pairs get to the second step. (3) Cuts of the candidates
-meet the counts of their parts by joins, and the first ``top`` of every language are ranked inside parts before they meet.
+Counting. (1) Words and pairs of words are counted by a hash of 32 bits and more (more bits, and so more groups, the more
+words the corpus has), summed in each task, sent as blocks of hashes and capped counts, and added up block by block, in
+groups of about a million words. What isn't frequent by hash isn't frequent; of the others a bitmap of ``cells`` bits goes
+to all tasks. Then the same for longer n-grams all of whose words and pairs are in it. (2) What is left of all is counted
+exactly by its bytes. Bits that many share only let more of them through to the exact count: results don't depend on
+``cells``, but with more frequent n-grams than ``cells`` most get to it. (3) Cuts of the candidates meet the counts of their
+parts by joins, and the first ``top`` of every language are ranked inside parts before they meet.
 
 Defined cases: a null text has no pieces; a null language is ``und``; a language without candidates has no rows. Repeated
 rows count as often as they occur. Chunks without a trigger end after ``most`` words; a word of any length is one word.
@@ -29,6 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from brindle.llm.common import Scratch, shuffle_partitions
+from brindle.llm.bitmaps import bitmap, is_set
 from brindle.llm.texts import ODD, U64, apart, chained, codes, joined, mixed, picked, slices, spaced
 
 #: Bytes between pieces and bytes between words.
@@ -37,7 +39,6 @@ BREAK[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
 GAP[[0x20, 0x09]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
-BLOCK = 1 << 16
 
 
 def chunks(texts: pa.Array, longest: int, spacing: int, most: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
@@ -104,74 +105,76 @@ class Words:
         out[: max(0, len(out) - k + 1)] = self.piece[: max(0, len(out) - k + 1)] == self.piece[k - 1 :]
         return out
 
-    def cells(self, cells: int, k: int) -> np.ndarray:
-        """The counter of each word and the k - 1 behind it, by language."""
+    def keys(self, k: int, bits: int) -> np.ndarray:
+        """The first bits of a hash of each word and the k - 1 behind it, by language."""
         gram = np.zeros(len(self.code), U64)
         gram[: max(0, len(gram) - k + 1)] = chained(self.code, k)
-        return (mixed(gram + self.lang_code[self.lang]) % U64(cells)).astype(np.int64)
+        return (mixed(gram + self.lang_code[self.lang]) >> U64(64 - bits)).astype(np.int64)
 
-    def left(self, frequent: list[np.ndarray], cells: int, longest: int) -> Iterator[tuple[int, np.ndarray]]:
+    def left(self, frequent: list[np.ndarray], bits: int, longest: int) -> Iterator[tuple[int, np.ndarray]]:
         """For each k where the k-grams begin whose words and pairs (and longer parts, if they were counted too) are left."""
-        some = self.together(1) & _set(frequent[0], self.cells(cells, 1))
+        some = np.ones(len(self.code), bool) & _left(frequent[0], self.keys(1, bits))
         yield 1, some
         for k in range(2, longest + 1):
             some = some & np.append(some[1:], False) & self.together(k)
             if k == 2 or len(frequent) > 1:
-                some &= _set(frequent[min(1, k - 2)], self.cells(cells, k))
+                some &= _left(frequent[min(1, k - 2)], self.keys(k, bits))
             yield k, some
 
 
-def _set(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
-    return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+def _left(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    return is_set(bitmap, keys & (8 * len(bitmap) - 1))
 
 
-def _added(held: np.ndarray, more: np.ndarray, cap: int) -> np.ndarray:
-    return np.minimum(held.astype(np.int64) + more, cap).astype(held.dtype)
+def _hashed(batches: Iterator[pa.RecordBatch], bits: int, least: int, longest: int, first: Broadcast | None, together: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """block, keys and counts (capped at least) of words and pairs; given what is left of these, of the n-grams made of them."""
+    kind = np.uint8 if least < 256 else np.int64
 
+    def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        key, n = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+        order = np.argsort(key)
+        key, n = key[order], n[order]
+        new = np.flatnonzero(np.diff(key, prepend=-1))
+        key, n = key[new], np.minimum(np.add.reduceat(n, new), least).astype(kind)
+        at = np.flatnonzero(np.diff(key >> 32, prepend=-1))
+        ends = np.append(at[1:], len(key))
+        cut = lambda x: pa.array([x[a:z].tobytes() for a, z in zip(at.tolist(), ends.tolist(), strict=True)], pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(key[at] >> 32), cut(key.astype("<u4")), cut(n)], names=["block", "keys", "counts"])
 
-def _sketched(batches: Iterator[pa.RecordBatch], cells: int, least: int, longest: int, first: Broadcast | None) -> Iterator[pa.RecordBatch]:
-    """Counters of one task, in blocks; those of zeros alone are left out. Of words and pairs, or given what is left of
-    these, of the longer n-grams made of them."""
-    held = np.zeros(cells, np.uint8 if least < 256 else np.int64)
+    held, size = [], 0
     for b in slices(batches, "chunk"):
         w = Words(b)
-        which = [(1, w.together(1)), (2, w.together(2))] if first is None else [x for x in w.left([first.value], cells, longest) if x[0] > 2]
+        which = [(1, np.ones(len(w.code), bool)), (2, w.together(2))] if first is None else [x for x in w.left([first.value], bits, longest) if x[0] > 2]
         for k, some in which:
             some = some & w.owned
-            cell, weight = w.cells(cells, k)[some], np.minimum(w.weight[some], least)
-            order = np.argsort(cell)
-            cell, weight = cell[order], weight[order]
-            new = np.flatnonzero(np.diff(cell, prepend=-1))
-            if len(new):
-                held[cell[new]] = _added(held[cell[new]], np.add.reduceat(weight, new), least)
-    for k in range(0, cells, BLOCK):
-        if held[k : k + BLOCK].any():
-            yield pa.RecordBatch.from_arrays([pa.array([k // BLOCK]), pa.array([held[k : k + BLOCK].tobytes()], pa.binary())], names=["block", "counts"])
-
-
-def _merged(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """The bits of the counters that reach least, for the blocks of one task."""
-    kind, held = np.uint8 if least < 256 else np.int64, {}
-    for b in batches:
-        for block, counts in zip(b.column("block").to_pylist(), b.column("counts"), strict=True):
-            counts = np.frombuffer(counts.as_buffer(), kind)
-            held[block] = _added(held[block], counts, least) if block in held else counts
-    for block, counts in held.items():
-        yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([np.packbits(counts >= least, bitorder="little").tobytes()], pa.binary())], names=["block", "counts"])
-
-
-def frequent_cells(dictionary: DataFrame, cells: int, least: int, longest: int = 2, first: Broadcast | None = None) -> np.ndarray:
-    """One bit for each counter: whether what shares it occurs at least that often together."""
-    blocks = -(-cells // BLOCK)
-    each = dictionary.mapInArrow(lambda b: _sketched(b, cells, least, longest, first), "block bigint, counts binary")
-    each = each.repartition(min(blocks, shuffle_partitions(dictionary.sparkSession)), "block").mapInArrow(lambda b: _merged(b, least), "block bigint, counts binary")
-    out = np.zeros(blocks * BLOCK // 8, np.uint8)
-    for r in each.toLocalIterator():
-        out[r.block * BLOCK // 8 : r.block * BLOCK // 8 + len(r.counts)] = np.frombuffer(r.counts, np.uint8)
-    return out
-
-
-def _counted(batches: Iterator[pa.RecordBatch], frequent: Broadcast, cells: int, longest: int) -> Iterator[pa.RecordBatch]:
+            held.append((w.keys(k, bits)[some], np.minimum(w.weight[some], least)))
+            size += len(held[-1][0])
+        if size >= together:
+            yield summed(held)
+            held, size = [], 0
+    if size:
+        yield summed(held)
+
+
+def _frequent(table: pa.Table, least: int, cells: int) -> pa.Table:
+    """The bits of a block's hashes that occur often enough."""
+    key = np.frombuffer(b"".join(table.column("keys").to_pylist()), "<u4")
+    n = np.frombuffer(b"".join(table.column("counts").to_pylist()), np.uint8 if least < 256 else np.int64).astype(np.int64)
+    order = np.argsort(key)
+    key, n = key[order].astype(np.int64), n[order]
+    new = np.flatnonzero(np.diff(key, prepend=-1))
+    often = key[new][np.add.reduceat(n, new) >= least]
+    block = table.column("block")[0].as_py()
+    return pa.table({"at": ((block << 32) | often) & (cells - 1)})
+
+
+def frequent_grams(dictionary: DataFrame, bits: int, least: int, cells: int, longest: int = 2, first: Broadcast | None = None) -> np.ndarray:
+    """A bitmap of ``cells`` bits (a power of two): those of what occurs at least that often by its hash are set."""
+    each = dictionary.mapInArrow(lambda b: _hashed(b, bits, least, longest, first), "block bigint, keys binary, counts binary")
+    return bitmap(each.groupBy("block").applyInArrow(lambda t: _frequent(t, least, cells), "at bigint"), cells.bit_length() - 1)[: max(1, cells // 8)]
+
+
+def _counted(batches: Iterator[pa.RecordBatch], frequent: Broadcast, bits: int, longest: int) -> Iterator[pa.RecordBatch]:
     """lang, k, phrase and n: the n-grams that a batch's owned words begin, numbered by their bytes and summed."""
     for b in slices(batches, "chunk"):
         w = Words(b)
@@ -183,7 +186,7 @@ def _counted(batches: Iterator[pa.RecordBatch], frequent: Broadcast, cells: int,
         word = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(w.begin), [None, pa.py_buffer(bounds), pa.py_buffer(flat)]).dictionary_encode()
         n_words, word = len(word.dictionary), word.indices.to_numpy().astype(np.int64)
         gram = w.lang.copy()
-        for k, some in w.left(frequent.value, cells, longest):
+        for k, some in w.left(frequent.value, bits, longest):
             at = np.flatnonzero(some)
             # The number of the (k - 1)-gram and the next word: both below 2**31.
             _, first, number = np.unique(gram[at] * n_words + word[at + k - 1], return_index=True, return_inverse=True)
@@ -204,10 +207,12 @@ def phrase_counts(docs: DataFrame, text_col: str, lang_col: str, longest: int, l
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).alias("text"))
     parsed = texts.mapInArrow(lambda b: _parsed(b, longest, spacing, most), "lang string, own int, chunk string")
     dictionary = scratch.write(parsed.groupBy("lang", "own", "chunk").agg(F.count("*").alias("n")), "dictionary")
-    first = spark.sparkContext.broadcast(frequent_cells(dictionary, cells, least))
-    longer = [frequent_cells(dictionary, cells, least, longest, first)] if longest > 2 else []
+    words = dictionary.agg(F.sum(F.col("own") * F.col("n"))).first()[0] or 0
+    bits = 32 + max(0, words >> 20).bit_length()
+    first = spark.sparkContext.broadcast(frequent_grams(dictionary, bits, least, cells))
+    longer = [frequent_grams(dictionary, bits, least, cells, longest, first)] if longest > 2 else []
     frequent = spark.sparkContext.broadcast([first.value, *longer])
-    counts = dictionary.mapInArrow(lambda b: _counted(b, frequent, cells, longest), "lang string, k int, phrase string, n bigint")
+    counts = dictionary.mapInArrow(lambda b: _counted(b, frequent, bits, longest), "lang string, k int, phrase string, n bigint")
     counts = counts.groupBy("lang", "k", "phrase").agg(F.sum("n").alias("f")).filter(F.col("f") >= least)
     totals = dictionary.groupBy("lang").agg(F.sum(F.col("own") * F.col("n")).alias("n"))
     return scratch.write(counts, "counts"), scratch.write(totals, "totals")
@@ -217,7 +222,7 @@ def _part(begin: Column | int, size: Column) -> Column:
     return F.array_join(F.slice("w", begin, size), " ")
 
 
-def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", longest: int = 4, least: int = 30, top: int = 2_000, inside_pct: int = 80, cells: int = 1 << 24, spacing: int = 32, most: int = 512) -> DataFrame:
+def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", longest: int = 4, least: int = 30, top: int = 2_000, inside_pct: int = 80, cells: int = 1 << 27, spacing: int = 32, most: int = 512) -> DataFrame:
     """lang, rank, phrase, a (occurrences), l and r (of the parts of the lowest-scoring cut), n (words of the language), score."""
     counts, totals = phrase_counts(docs, text_col, lang_col, longest, least, cells, spacing, most)
     scratch = Scratch(docs.sparkSession, "phrases")

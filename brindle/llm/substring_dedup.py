@@ -38,39 +38,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brindle.llm.common import Scratch, shuffle_partitions, text_hash
+from brindle.llm.bitmaps import bitmap, is_set
+from brindle.llm.common import Scratch, text_hash
 from brindle.llm.texts import ODD, WHITE, apart, chained, codes, joined, mixed, picked, slices, spaced
 
 RANGES = "doc_id bigint, th bigint, begin bigint, stop bigint"
 SEGMENTS = "anchor bigint, doc_id bigint, th bigint, begin bigint, long boolean, words string"
 RESULTS = {"n_words": T.LongType(), "n_removed": T.LongType(), "kept_text": T.StringType()}
-BLOCK_BITS = 19
-
-
-def _bitmap(positions: DataFrame, bits: int) -> np.ndarray:
-    """Bits 0 to 2 ** bits - 1, set at the positions (column at). Tasks fill blocks of 64 KB; the driver gets the blocks."""
-    blocks = 1 << max(0, bits - BLOCK_BITS)
-    rows = positions.select(F.shiftright("at", BLOCK_BITS).alias("block"), F.col("at").bitwiseAND((1 << BLOCK_BITS) - 1).cast("int").alias("bit"))
-    parts = min(blocks, shuffle_partitions(positions.sparkSession))
-
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
-        for b in batches:
-            block, bit = (b.column(c).to_numpy() for c in ("block", "bit"))
-            for k in np.unique(block).tolist():
-                held.setdefault(k, np.zeros(1 << BLOCK_BITS, bool))[bit[block == k]] = True
-        for k, x in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([np.packbits(x, bitorder="little").tobytes()], pa.binary())], names=["block", "bits"])
-
-    out = np.zeros(blocks << (BLOCK_BITS - 3), np.uint8)
-    for r in rows.repartition(parts, "block").mapInArrow(fill, "block bigint, bits binary").toLocalIterator():
-        at = r.block << (BLOCK_BITS - 3)
-        out[at : at + len(r.bits)] = np.frombuffer(r.bits, np.uint8)
-    return out
-
-
-def _set(bitmap: np.ndarray, at: np.ndarray) -> np.ndarray:
-    return (bitmap[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
 
 
 def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -112,11 +86,11 @@ def _anchors(batches: Iterator[pa.RecordBatch], n: int, m: int) -> Iterator[pa.R
 
 
 def _segments(batches: Iterator[pa.RecordBatch], n: int, m: int, shared: Broadcast, bits: int) -> Iterator[pa.RecordBatch]:
-    bitmap, frequent = shared.value
+    marked, frequent = shared.value
     for b in slices(batches, "text"):
         flat, begin, end, first = _words(b.column("text"))
         anchor, opens, closes, text = window_runs(codes(flat, begin, end), first, n, m)
-        some = _set(bitmap, anchor & ((1 << bits) - 1))
+        some = is_set(marked, anchor & ((1 << bits) - 1))
         anchor, opens, closes, text = anchor[some], opens[some], closes[some], text[some]
         rows = pa.array(text)
         held = pa.array(picked(flat, begin[opens], end[closes + n - 1]), pa.binary()).view(pa.string())
@@ -235,8 +209,8 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # Fewer than a million anchors have over a millionth of the segments.
     frequent = found.filter(F.col("n") > max(group_rows // 4, total // 1_000_000)).select("anchor")
     frequent = np.array([r.anchor for r in frequent.collect()], np.int64)
-    bitmap = _bitmap(found.select(F.col("anchor").bitwiseAND((1 << filter_bits) - 1).alias("at")), filter_bits)
-    shared = spark.sparkContext.broadcast((bitmap, frequent))
+    marked = bitmap(found.select(F.col("anchor").bitwiseAND((1 << filter_bits) - 1).alias("at")), filter_bits)
+    shared = spark.sparkContext.broadcast((marked, frequent))
     keyed = texts.withColumn("th", text_hash("text"))
     segments = keyed.mapInArrow(lambda b: _segments(b, n, m, shared, filter_bits), SEGMENTS)
     at = scratch.path("segments")
@@ -284,10 +258,10 @@ def _cut(batches: Iterator[pa.RecordBatch], text_col: str, n_kept: int) -> Itera
         yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), *made], names=[*names, *RESULTS])
 
 
-def _sifted(batches: Iterator[pa.RecordBatch], bitmap: Broadcast, wanted: bool) -> Iterator[pa.RecordBatch]:
+def _sifted(batches: Iterator[pa.RecordBatch], marked: Broadcast, wanted: bool) -> Iterator[pa.RecordBatch]:
     """The rows whose bit (at) is set, or those whose bit isn't."""
     for b in batches:
-        yield b.filter(pa.array(_set(bitmap.value, b.column("at").to_numpy()) == wanted))
+        yield b.filter(pa.array(is_set(marked.value, b.column("at").to_numpy()) == wanted))
 
 
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 13, **how: int) -> DataFrame:
@@ -296,7 +270,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     ranges = repeated_ranges(docs, id_col, text_col, min_words, **how)
     bits = 24
     at = F.xxhash64("doc_id", "th").bitwiseAND((1 << bits) - 1)
-    shared = _bitmap(ranges.select("doc_id", "th").distinct().select(at.alias("at")), bits)
+    shared = bitmap(ranges.select("doc_id", "th").distinct().select(at.alias("at")), bits)
     blocks = spark.sparkContext.broadcast(shared)
 
     keep = [c for c in docs.columns if c.lower() not in RESULTS]
