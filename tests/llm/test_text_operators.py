@@ -12,7 +12,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from brindle.llm import fill_middle, language_id, phrases, quality_classifier, substring_dedup, token_files, vector_graph
+from brindle.llm import fill_middle, language_id, phrases, quality_classifier, queries, substring_dedup, token_files, vector_graph
+from tests.compare import assert_same, connect
 
 DOCS = "doc_id bigint, text string"
 
@@ -319,3 +320,9 @@ def test_equal_rows_are_dealt_to_files(spark, tmp_path):
     assert [r.start for r in got] == np.cumsum([0, *[r.n_tokens for r in got]])[:-1].tolist()
     sizes = [r["count"] for r in token_files.read_tokens(spark, at).groupBy("file").count().collect()]
     assert len(sizes) == 4 and max(sizes) < 150
+
+
+@pytest.mark.parametrize("name", ["op11_phrases", "op12_substring_dedup", "op13_fill_middle"])
+def test_queries_against_sql(spark, sf_dir, name):
+    query, sql = queries.OPERATORS[name]
+    assert_same(query(spark, sf_dir), connect(sf_dir), sql)
