@@ -225,3 +225,11 @@ def test_rounding_keeps_expectations(spark):
         for r in mixing.pivotal_rounding(items, {0: 30}, seed=seed, group=8).collect():
             hits[r.p] += r.x
     assert 0.2 < sum(hits.values()) / (12 * 30) < 0.4
+
+
+def test_url_rules_of_the_contract(spark):
+    """Each rule's own verdict, on URLs that only it decides."""
+    urls = ["http://a.com/en/1", "http://www.example.com/en/77", "http://a.net/de/1", "http://example.net/de/80", "http://x.org/es/"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.filter_urls(pages, url_filter.rules_frame(spark)).collect()}
+    assert [got[i] for i in range(5)] == [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block")]
