@@ -222,3 +222,26 @@ def test_nested_writes_by_hand(spark):
     assert rows(kids) == [(1, 70, "a"), (2, 70, "b"), (3, 40, "c")] and rows(all_parents) == [(20, "p"), (40, "q"), (70, "new")]
     kids, all_parents = W.upsert_parent(children, "fk", parents, "id", {"name": F.upper("name")}, {"id": -F.col("k"), "name": F.col("v")})
     assert rows(kids) == sorted([(1, 10, "a"), (2, 20, "b"), (3, -3, "c")], key=str) and rows(all_parents) == sorted([(20, "P"), (40, "q"), (-3, "c")], key=str)
+
+
+def test_all_pairs_and_links_at_a_low_cosine(spark):
+    """No pair is missed, by cosine or by product, whatever the size of cells; of many rows, after pivots."""
+    rnd = np.random.default_rng(11)
+    rows = [(k * 3, (x * rnd.uniform(0.5, 2)).tolist()) for k, x in enumerate(rnd.standard_normal((1_500, 24)) / 5)]
+    df = spark.createDataFrame(rows, VECTORS).withColumn("b", F.col("id") % 2)
+    x = np.array([v for _, v in rows], np.float32).astype(float)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for cosines, s in ((True, unit @ unit.T), (False, x @ x.T)):
+        exact = {(3 * a, 3 * b) for a, b in zip(*np.nonzero(s >= 0.45), strict=True) if a != b and a % 2 == b % 2}
+        got = [(r.new_id, r.old_id) for r in N.near_pairs(df, df, "id", "v", 0.45, block="b", cosines=cosines).collect()]
+        assert len(got) == len(set(got)) and set(got) == exact and exact
+    for least, pivots in ((0.45, 400), (0.62, 40), (0.62, 400)):
+        found = N.components(N.links(df, "id", "v", least, pivots=pivots, cell=500))
+        assert {i: i for i, _ in rows} | {r.id: r.root for r in found.collect()} == _roots(rows, least)
+
+
+def test_copies_make_no_pairs_of_links(spark):
+    """A clump of copies is one cell's matrix, and gives a link a row."""
+    df = spark.range(5_000).select("id", F.array(F.lit(1.0), F.col("id") * 0 + 2.0).cast("array<float>").alias("v"))
+    found = N.links(df, "id", "v", 0.4)
+    assert found.count() < 5_000 * 8 and N.components(found).filter("root = 0").count() == 5_000
