@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from brindle.operators import intervals as I
 from brindle.operators import nested_writes as W
 from brindle.operators import similarity as N
 from brindle.operators import sketches as K
@@ -245,3 +246,14 @@ def test_copies_make_no_pairs_of_links(spark):
     df = spark.range(5_000).select("id", F.array(F.lit(1.0), F.col("id") * 0 + 2.0).cast("array<float>").alias("v"))
     found = N.links(df, "id", "v", 0.4)
     assert found.count() < 5_000 * 8 and N.components(found).filter("root = 0").count() == 5_000
+
+
+def test_open_ends_leave_no_bin_of_everything(spark):
+    points = spark.range(2_000).select(F.col("id"), (F.col("id") * 500).alias("at"))
+    some = spark.range(900).select("id", F.lit(None).cast("bigint").alias("begin"), (F.col("id") * 3).alias("end"))
+    hull = I._hull((points, ("at", "at")), (some, ("begin", "end")))
+    a, b = I._side(points, "at", "at", [], "left", hull), I._side(some, "begin", "end", [], "right", hull)
+    met = [I._binned(x, n, I._levels(y, o)).groupBy("level", "bin").agg(F.count("*").alias(n)) for x, n, y, o in ((a, "left", b, "right"), (b, "right", a, "left"))]
+    assert met[0].join(met[1].toDF("level", "bin", "right"), ["level", "bin"]).agg(F.sum(F.col("left") * F.col("right"))).first()[0] < 2_000 * 900 / 50
+    got = Counter((r.left.id, r.right.id) for r in overlaps(points, some, ("at", "at"), ("begin", "end")).collect())
+    assert got == Counter((p, k) for p in range(2_000) for k in range(900) if p * 500 <= k * 3)
