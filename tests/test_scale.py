@@ -17,7 +17,7 @@ from brindle.operators import sketches as K
 from brindle.operators import words as B
 from brindle.operators.bucketed import bucketed
 from brindle.operators.extensions import Client, Extension
-from brindle.operators.intervals import overlaps
+from brindle.operators.intervals import overlap_counts, overlaps
 
 VECTORS = "id bigint, v array<float>"
 
@@ -257,3 +257,15 @@ def test_open_ends_leave_no_bin_of_everything(spark):
     assert met[0].join(met[1].toDF("level", "bin", "right"), ["level", "bin"]).agg(F.sum(F.col("left") * F.col("right"))).first()[0] < 2_000 * 900 / 50
     got = Counter((r.left.id, r.right.id) for r in overlaps(points, some, ("at", "at"), ("begin", "end")).collect())
     assert got == Counter((p, k) for p in range(2_000) for k in range(900) if p * 500 <= k * 3)
+
+
+def test_overlap_counts_against_pairs(spark):
+    rnd = random.Random(12)
+    rows = []
+    for k in range(300):
+        begin = rnd.randrange(500)
+        rows.append((rnd.choice([k, k, k % 40]), rnd.choice([None, begin, begin]), rnd.choice([None, begin, begin + rnd.randrange(60), begin - 1]), rnd.choice(["x", "y", None])))
+    rows += [(None, 1, 2, "x"), (5_000, 10**6, 10**6, "z")]
+    df = spark.createDataFrame(rows, "k bigint, begin bigint, end bigint, brand string")
+    pairs = overlaps(df, df, ("begin", "end"), ("begin", "end"), on=("brand",)).filter("left.k <> right.k").groupBy("left.k").count()
+    assert {tuple(r) for r in overlap_counts(df, "k", ("begin", "end"), "brand").collect()} == {tuple(r) for r in pairs.collect()}
