@@ -18,6 +18,7 @@ from brindle.operators import words as B
 from brindle.operators.bucketed import bucketed
 from brindle.operators.extensions import Client, Extension
 from brindle.operators.intervals import overlap_counts, overlaps
+from brindle.operators.ranks import values_at
 
 VECTORS = "id bigint, v array<float>"
 
@@ -269,3 +270,13 @@ def test_overlap_counts_against_pairs(spark):
     df = spark.createDataFrame(rows, "k bigint, begin bigint, end bigint, brand string")
     pairs = overlaps(df, df, ("begin", "end"), ("begin", "end"), on=("brand",)).filter("left.k <> right.k").groupBy("left.k").count()
     assert {tuple(r) for r in overlap_counts(df, "k", ("begin", "end"), "brand").collect()} == {tuple(r) for r in pairs.collect()}
+
+
+def test_values_at_ranks(spark):
+    rows = [("a", float(x)) for x in (5, 1, 1, 3)] + [(None, 2.0), (None, float("nan")), (None, -1.0), ("b", None), ("c", 7.0)]
+    df = spark.createDataFrame(rows, "k string, x double")
+    got = {r.k: (r.n, r.found) for r in values_at(df, ["k"], "x", lambda n: F.array(F.lit(1), F.ceil(n / 2))).collect()}
+    assert got == {"a": (4, [1.0, 1.0]), None: (3, [-1.0, 2.0]), "c": (1, [7.0, 7.0])}
+    big = spark.range(50_000).select(F.lit(1).alias("k"), F.pmod(F.xxhash64("id"), F.lit(900)).alias("x"), F.lit(3).alias("times"))
+    one = values_at(big, ["k"], "x", lambda n: F.array(F.ceil(n / 2)), "times").first()
+    assert one.n == 150_000 and one.found == [sorted(r.x for r in big.collect())[24_999]]
