@@ -6,6 +6,7 @@ import math
 import random
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -19,6 +20,8 @@ from brindle.operators.bucketed import bucketed
 from brindle.operators.extensions import Client, Extension
 from brindle.operators.intervals import overlap_counts, overlaps
 from brindle.operators.ranks import values_at
+from brindle.plans import scale_queries
+from tests.compare import assert_same
 
 VECTORS = "id bigint, v array<float>"
 
@@ -280,3 +283,16 @@ def test_values_at_ranks(spark):
     big = spark.range(50_000).select(F.lit(1).alias("k"), F.pmod(F.xxhash64("id"), F.lit(900)).alias("x"), F.lit(3).alias("times"))
     one = values_at(big, ["k"], "x", lambda n: F.array(F.ceil(n / 2)), "times").first()
     assert one.n == 150_000 and one.found == [sorted(r.x for r in big.collect())[24_999]]
+
+
+@pytest.mark.parametrize("name", ["A17_daily_sketches"])
+def test_daily_figures_are_exact(spark, tmp_path, name):
+    """More users and values than a sketch keeps whole."""
+    rows = spark.range(60_000).select(
+        F.col("id").alias("event_id"), F.timestamp_seconds(F.lit(1_704_067_200) + F.col("id") * 40).cast("timestamp_ntz").alias("ts"), F.pmod(F.xxhash64("id"), F.lit(17_000)).alias("user_id"),
+        F.element_at(F.array(F.lit("a"), F.lit("b"), F.lit(None)), (F.col("id") % 3 + 1).cast("int")).alias("event_type"), F.when(F.col("id") % 11 > 0, F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1_000_000)) / 100).alias("value"), F.lit("{}").alias("props"),
+    )
+    rows.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    assert_same(scale_queries.QUERIES[name][0](spark, str(tmp_path)), con, scale_queries.QUERIES[name][1])
