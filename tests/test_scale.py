@@ -285,7 +285,7 @@ def test_values_at_ranks(spark):
     assert one.n == 150_000 and one.found == [sorted(r.x for r in big.collect())[24_999]]
 
 
-@pytest.mark.parametrize("name", ["A17_daily_sketches"])
+@pytest.mark.parametrize("name", ["A17_daily_sketches", "A17_common_users"])
 def test_daily_figures_are_exact(spark, tmp_path, name):
     """More users and values than a sketch keeps whole."""
     rows = spark.range(60_000).select(
