@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from brindle.operators.stored import stored
+
 WORD = r"[\p{Ll}\p{Nd}]+"
 
 
@@ -54,7 +56,7 @@ def classify(rows: DataFrame, key: list[str], text: str, model: tuple[DataFrame,
 def keyness(rows: DataFrame, group: str, text: str, top: int = 10, least: int = 3) -> DataFrame:
     """group, word, a (in the group), b (elsewhere), g2, rank: the ``top`` words that the group has more often than the
     others, by log-likelihood; ties by the word. Words with fewer than ``least`` in the group aren't ranked."""
-    n = counted(rows.filter(F.col(group).isNotNull()), [group], text)
+    n = stored(counted(rows.filter(F.col(group).isNotNull()), [group], text), "counts")  # read four times
     of_word = n.groupBy("word").agg(F.sum("n").alias("of_word"))
     of_group = n.groupBy(group).agg(F.sum("n").alias("c"))
     all_words = n.agg(F.sum("n").alias("all"))
