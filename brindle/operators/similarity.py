@@ -197,26 +197,43 @@ def _across(few: DataFrame, many: DataFrame, few_parts: int, many_parts: int, le
     return both.groupBy("low", "high").applyInArrow(_forest(least), "a bigint, b bigint")
 
 
+def _distinct(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of rows (id, v, fresh, root): one row for each vector, and the links a, b of the roots of equal vectors. Equal vectors
+    without a fresh row among them make no link, so there each root keeps a row."""
+    by_root = rows.groupBy("v", "root").agg(F.min("id").alias("id"), F.max("fresh").alias("fresh"))
+    of_vector = by_root.groupBy("v").agg(F.min("id").alias("_id"), F.min("root").alias("_root"), F.max("fresh").alias("_fresh"))
+    # With a hash before it, vectors are compared as a whole only where it is equal.
+    hashed = lambda df: df.withColumn("_hash", F.xxhash64("v"))
+    both = stored(hashed(by_root).join(hashed(of_vector), ["_hash", "v"]).drop("_hash"), "vectors")
+    one = both.filter(~F.col("_fresh") | (F.col("id") == F.col("_id")))
+    one = one.select("id", "v", F.col("_fresh").alias("fresh"), F.when(F.col("_fresh"), F.col("_root")).otherwise(F.col("root")).alias("root"))
+    return one, both.filter(F.col("_fresh") & (F.col("root") != F.col("_root"))).select(F.col("_root").alias("a"), F.col("root").alias("b"))
+
+
 def links(vectors: DataFrame, key: str, vector: str, least: float, fresh: Column | None = None, recall: float = 0.999, cell: int | None = None, root: Column | None = None, pivots: int = CELL) -> DataFrame:
     """a, b (ids, a < b): links that connect whatever pairs of at least this cosine connect. fresh: only pairs with a row
     for which it is true. root: what is linked already, as the smallest id; the links are then among roots.
 
-    All pairs of different roots are compared, in cells of bounded size, so no link is lost whatever recall is asked for. Of
-    more than ``pivots`` rows, first those with the smallest hashes meet all rows; rows that are then in the largest
-    component need not be compared with one another, so only the others meet all. Where one component takes most rows,
-    work grows with the rows; where none does, with their square.
+    Equal vectors are linked by grouping, and one row of them is compared. All pairs of different roots are compared, in cells
+    of bounded size, so no link is lost whatever recall is asked for. Of more than ``pivots`` vectors, first those with
+    the smallest hashes meet all others; what is then in the largest component need not be compared with itself, so only
+    the rest meets all. Where one component takes most vectors, or most rows are copies, work grows with the rows; where
+    neither is so, with the square of the distinct vectors.
     """
     spark = vectors.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = vectors.filter(usable(F.col(vector))).select(F.col(key).alias("id"), F.col(vector).alias("v"), (F.lit(True) if fresh is None else fresh).alias("fresh"), (F.col(key) if root is None else root).alias("root"))
     rows = stored(rows, "vectors")
+    if least > 1:  # no pair has such a cosine
+        return rows.select(F.col("root").alias("a"), F.col("root").alias("b")).limit(0)
+    rows, equal = _distinct(rows)
     n = rows.count()
     size = cell or _cell_rows(n, 2 * parts)
     if n <= pivots:
-        return stored(_meet(rows, max(1, -(-n // size)), least).distinct(), "links")
+        return stored(equal.union(_meet(rows, max(1, -(-n // size)), least)).distinct(), "links")
     # About as many pivots as asked for: a share of the hashes.
     pivot = F.pmod(F.xxhash64(F.lit(SEED), "id"), F.lit(n)) < pivots
-    first = stored(_across(rows.filter(pivot), rows, max(1, pivots // CELL), max(1, -(-n // size)), least).distinct(), "links")
+    first = stored(_across(rows.filter(pivot), rows, max(1, pivots // CELL), max(1, -(-n // size)), least).union(equal).distinct(), "links")
     now = components(first).select(F.col("id").alias("_c"), F.col("root").alias("_r"))
     now = stored(rows.join(now, F.col("root") == F.col("_c"), "left").select("id", "v", "fresh", F.coalesce("_r", "root").alias("root")), "vectors")
     largest = now.groupBy("root").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "root").first()["root"]

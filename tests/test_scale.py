@@ -252,6 +252,30 @@ def test_copies_make_no_pairs_of_links(spark):
     assert found.count() < 5_000 * 8 and N.components(found).filter("root = 0").count() == 5_000
 
 
+@pytest.mark.parametrize("pivots", [20, 1_000])
+def test_of_equal_vectors_one_is_compared(spark, monkeypatch, pivots):
+    """Clusters of copies, none of them most rows: what is compared grows with the vectors, not with their copies."""
+    rnd, compared = np.random.default_rng(13), []
+    some = [x.tolist() for x in rnd.standard_normal((60, 24))] + [[0.0] * 23 + [1.0], [-0.0] * 23 + [1.0]]
+    rows = [(k, some[k % 62]) for k in range(62 * 30)]
+    for name, at in (("_meet", (0,)), ("_across", (0, 1))):
+        was = getattr(N, name)
+        monkeypatch.setattr(N, name, lambda *a, was=was, at=at: (compared.extend(a[i].count() for i in at), was(*a))[1])
+    df = spark.createDataFrame(rows, VECTORS)
+    found = N.components(N.links(df, "id", "v", 0.45, pivots=pivots))
+    assert {i: i for i, _ in rows} | {r.id: r.root for r in found.collect()} == _roots(rows, 0.45)
+    assert compared and max(compared) <= 61
+    assert N.links(df, "id", "v", 1.5).collect() == []
+
+
+def test_equal_vectors_without_a_fresh_row_stay_apart(spark):
+    rows = [(1, [1.0, 0.0], False, 1), (2, [1.0, 0.0], False, 2), (3, [0.0, 1.0], False, 3), (4, [0.0, 1.0], True, 4), (5, [0.0, 2.0], False, 5), (6, [-1.0, 0.0], True, 6)]
+    df = spark.createDataFrame(rows, f"{VECTORS}, fresh boolean, root bigint")
+    roots = lambda df: {r.id: r.root for r in N.components(N.links(df, "id", "v", 0.9, F.col("fresh"), root=F.col("root"))).filter("id <> root").collect()}
+    assert roots(df) == {4: 3, 5: 3}
+    assert roots(df.union(spark.createDataFrame([(9, [2.0, 0.0], True, 9)], df.schema))) == {4: 3, 5: 3, 2: 1, 9: 1}
+
+
 def test_open_ends_leave_no_bin_of_everything(spark):
     points = spark.range(2_000).select(F.col("id"), (F.col("id") * 500).alias("at"))
     some = spark.range(900).select("id", F.lit(None).cast("bigint").alias("begin"), (F.col("id") * 3).alias("end"))
