@@ -331,3 +331,19 @@ def test_daily_figures_are_exact(spark, tmp_path, name):
     con = duckdb.connect()
     con.execute(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
     assert_same(scale_queries.QUERIES[name][0](spark, str(tmp_path)), con, scale_queries.QUERIES[name][1])
+
+
+def test_every_offer_holds_once_begun(spark, tmp_path):
+    """An event at each place where an offer begins finds it: no part is left out by an end before its begin."""
+    part = spark.range(1, 400).select(F.col("id").alias("p_partkey"), *[F.lit("x").alias(c) for c in ("p_name", "p_brand", "p_type")], (F.col("id") % 50 + 1).cast("int").alias("p_size"), F.lit(1.0).alias("p_retailprice"))
+    at = F.explode(F.array(F.lit(scale_queries.START), scale_queries.START + (F.col("id") * 7919) % 2_592_000))
+    events = spark.range(1, 400).select("id", at.alias("at")).select(
+        F.monotonically_increasing_id().alias("event_id"), F.timestamp_seconds("at").cast("timestamp_ntz").alias("ts"), F.col("id").alias("user_id"), F.lit("a").alias("event_type"), F.lit(1.0).alias("value"), F.lit("{}").alias("props")
+    )
+    con = duckdb.connect()
+    for name, df in (("part", part), ("events", events)):
+        df.coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+        con.execute(f"create view {name} as select * from '{tmp_path}/{name}.parquet/*.parquet'")
+    got = scale_queries.offered(spark, str(tmp_path))
+    assert {r.part for r in got.select("part").distinct().collect()} == set(range(1, 400))
+    assert_same(got, con, scale_queries.QUERIES["J14_interval_join"][1])
