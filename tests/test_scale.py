@@ -347,3 +347,36 @@ def test_every_offer_holds_once_begun(spark, tmp_path):
     got = scale_queries.offered(spark, str(tmp_path))
     assert {r.part for r in got.select("part").distinct().collect()} == set(range(1, 400))
     assert_same(got, con, scale_queries.QUERIES["J14_interval_join"][1])
+
+
+def test_one_bin_is_many_tasks(spark):
+    """All rows at a few places, so in a few bins."""
+    points = spark.range(13_000).select("id", (F.col("id") % 10).alias("at"))
+    some = spark.range(40).select("id", F.when(F.col("id") % 2 == 0, 0).cast("bigint").alias("begin"), F.when(F.col("id") % 3 == 0, 9).cast("bigint").alias("end"))
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        made = overlaps(points, some, ("at", "at"), ("begin", "end")).groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert sum(r["count"] for r in made) == 13_000 * 40 and max(r["count"] for r in made) < 13_000 * 40 / 8
+
+
+def test_arrays_of_a_bin_are_bounded(spark):
+    """Rows that are all alike, and some of another level."""
+    rows = spark.range(3_000).select(F.lit(7).alias("id"), F.lit(5).cast("bigint").alias("begin"), F.when(F.col("id") % 100 == 0, 900).otherwise(6).cast("bigint").alias("end"))
+    side = I._side(rows, "begin", "end", [], "right", (0, 1_000))
+    blocks = I._blocks(side, [0], ["level", "bin"]).withColumn("n", F.size("block"))
+    assert blocks.agg(F.max("n")).first()[0] <= I.BLOCK
+    assert {tuple(r) for r in blocks.filter("right_level = 0").groupBy("level", "bin").agg(F.sum("n")).collect()} == {(0, 5, 2_970), (0, 6, 2_970)}
+
+
+def test_events_without_time_find_no_offer(spark, tmp_path):
+    rows = [(1, None), (2, scale_queries.START + 100), (3, None)]
+    events = spark.createDataFrame(rows, "event_id bigint, at bigint").select("event_id", F.timestamp_seconds("at").cast("timestamp_ntz").alias("ts"))
+    part = spark.range(9, 300).select(F.col("id").alias("p_partkey"), F.when(F.col("id") % 5 > 0, F.col("id") % 50).cast("int").alias("p_size"))
+    con = duckdb.connect()
+    for name, df in (("part", part), ("events", events)):
+        df.coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+        con.execute(f"create view {name} as select * from '{tmp_path}/{name}.parquet/*.parquet'")
+    assert_same(scale_queries.offered(spark, str(tmp_path)), con, scale_queries.QUERIES["J14_interval_join"][1])
